@@ -12,15 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsgauge.functions.dates import window_days
-from newsgauge.functions.text import uniform
+from newsgauge.functions.text import squeeze, uniform
 from newsgauge.operators import coverage as C
+from newsgauge.operators import texts as X
 from newsgauge.operators import themes as TH
+from newsgauge.operators import vocabulary as V
 from newsgauge.session import cut_point
 
 NON_RESPONSE = ["5-LOW"]
 CATCH_ALL = ["4-NOT SPECIFIED"]
 ARCHIVED_NATION = 24
 FULLTEXT_FROM = 1996
+# Common words of the four languages, a small stop list.
+STOPWORDS = ["the", "and", "of", "to", "in", "that", "is", "for", "with", "on", "as", "der", "die", "das", "und", "ein", "den", "le", "la",
+             "les", "de", "des", "un", "une", "et", "que", "qui", "pour", "dans", "el", "los", "las", "en", "por", "con", "sie", "ich", "nicht"]
 
 
 _OPEN: dict[tuple[str, str], "Domain"] = {}
@@ -251,3 +256,65 @@ class Domain:
     @cached_property
     def theme_coverage(self) -> DataFrame:
         return cut_point(TH.theme_group_coverage(self.week_events, self.datasets, self.activity, self.groups, self.messages), "theme_coverage")
+
+    # ------------------------------------------------------------------ texts and vocabulary
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Documents as posts: the language is the event; every second post is signed by its channel."""
+        number = F.substring("source", 4, 9).cast("int")
+        signed = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" read more | "), F.col("source"))).otherwise("")
+        return self.table("documents").select(
+            F.col("lang").alias("event_id"), F.concat("lang", F.when(F.col("lang").isin("en", "fr"), "_fulltext").otherwise("")).alias("event_slug"),
+            F.concat(F.lit("g"), number % 5).alias("media_group"), F.col("source").alias("source_name"), F.col("doc_id").alias("message_id"),
+            F.concat("text", signed).alias("post_text"))
+
+    @cached_property
+    def stopwords(self) -> DataFrame:
+        return self.spark.createDataFrame([(w,) for w in STOPWORDS], "term string")
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return V.tokens(self.texts)
+
+    @cached_property
+    def lexicon(self) -> DataFrame:
+        words = self.tokens.select("word").distinct()
+        dictionary = words.select("word", F.regexp_replace("word", "s$", "").alias("lemma"))
+        overrides = words.filter(F.length("word") == 4).select("word", F.substring("word", 1, 3).alias("lemma"))
+        return cut_point(V.lexicon(self.tokens, self.stopwords, self.texts.select("source_name"), dictionary, overrides), "lexicon")
+
+    @cached_property
+    def word_posts(self) -> DataFrame:
+        return V.posts_with_words(self.texts, self.tokens, self.lexicon)
+
+    @cached_property
+    def forms(self) -> DataFrame:
+        return cut_point(V.term_forms(self.tokens, self.lexicon), "forms")
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return V.post_terms(self.forms)
+
+    @cached_property
+    def source_terms(self) -> DataFrame:
+        return cut_point(V.source_terms(self.word_posts, self.terms), "source_terms")
+
+    @cached_property
+    def kept_terms(self) -> DataFrame:
+        return cut_point(V.term_scores(self.word_posts, self.source_terms), "kept_terms")
+
+    @cached_property
+    def term_posts(self) -> DataFrame:
+        return V.term_posts(self.word_posts, self.terms, self.kept_terms)
+
+    @cached_property
+    def term_labels(self) -> DataFrame:
+        return V.term_labels(self.kept_terms, self.term_posts, self.forms, self.source_terms)
+
+    @cached_property
+    def squeezed(self) -> DataFrame:
+        return self.texts.select("source_name", "message_id", squeeze(F.col("post_text")).alias("t"))
+
+    @cached_property
+    def footers(self) -> DataFrame:
+        return X.find_footers(self.squeezed, ["source_name"], "t")
