@@ -8,21 +8,25 @@ from __future__ import annotations
 from functools import cached_property
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsgauge.functions.dates import window_days
 from newsgauge.functions.text import squeeze, uniform
 from newsgauge.operators import coverage as C
+from newsgauge.operators import relevance as RL
+from newsgauge.operators import retrieval as RT
 from newsgauge.operators import texts as X
 from newsgauge.operators import themes as TH
 from newsgauge.operators import vocabulary as V
+from newsgauge.operators.scaling import rank_by_score
 from newsgauge.session import cut_point
 
 NON_RESPONSE = ["5-LOW"]
 CATCH_ALL = ["4-NOT SPECIFIED"]
 ARCHIVED_NATION = 24
 FULLTEXT_FROM = 1996
+RANK_EDGES = (0, 150, 500, 1000, 2000, 3000)
 # Common words of the four languages, a small stop list.
 STOPWORDS = ["the", "and", "of", "to", "in", "that", "is", "for", "with", "on", "as", "der", "die", "das", "und", "ein", "den", "le", "la",
              "les", "de", "des", "un", "une", "et", "que", "qui", "pour", "dans", "el", "los", "las", "en", "por", "con", "sie", "ich", "nicht"]
@@ -318,3 +322,55 @@ class Domain:
     @cached_property
     def footers(self) -> DataFrame:
         return X.find_footers(self.squeezed, ["source_name"], "t")
+
+    # ------------------------------------------------------------------ candidates and labels
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """Documents as candidates of their language's event, scored by two scorers and labelled by several readers."""
+        ident = F.col("doc_id")
+        labels = self.table("labels").select("doc_id", "quality")
+        base = self.table("documents").select("doc_id", "lang", F.length("text").alias("chars")).join(labels, "doc_id", "left")
+        q = F.coalesce(F.col("quality"), F.lit(0))
+        truth = F.col("quality") == 1
+
+        def flipped(salt: str, share: float):
+            return F.when(uniform(salt, ident) < share, ~truth).otherwise(truth)
+
+        def blend(salt: str, own: float):
+            return uniform(salt, ident) * own + q * (1 - own)
+
+        d = base.select(
+            F.col("lang").alias("event"), ident.alias("post_id"), "chars", (uniform("cos", ident) * 0.6 + q * 0.3).alias("cos"),
+            blend("a", 0.7).alias("score_a"), blend("b", 0.8).alias("score_b"), uniform("c", ident).alias("score_c"), truth.alias("truth"),
+            flipped("j2", 0.10).alias("judge2"), flipped("j3", 0.15).alias("judge3"),
+            F.when(uniform("rd", ident) >= 0.05, flipped("r1", 0.08)).alias("reader"), flipped("r2", 0.20).alias("reader2"))
+        ranked = rank_by_score(d, ["event"], "cos", "post_id", 0.0, 1.0)
+        banded = ranked.withColumn("band", F.coalesce(RL.rank_band(F.col("rank"), RANK_EDGES), F.lit(len(RANK_EDGES) - 1)))
+        weights = banded.groupBy("event", "band").agg(
+            (F.count(F.lit(1)).cast("double") / F.nullif(F.count("truth"), F.lit(0))).alias("_w"))
+        full = banded.join(weights, ["event", "band"]).withColumn("weight", F.when(F.col("truth").isNotNull(), F.col("_w"))).drop("_w")
+        return cut_point(full, "candidates")
+
+    @cached_property
+    def labelled(self) -> DataFrame:
+        return self.candidates.filter(F.col("truth").isNotNull())
+
+    # ------------------------------------------------------------------ vectors
+    @cached_property
+    def vectors(self) -> DataFrame:
+        """Unit vectors as fragments of posts; every fourth vector starts a new post."""
+        owner = F.floor(F.col("vec_id") / 4)
+        return self.table("embeddings").select(
+            F.col("vec_id").alias("id"), owner.alias("owner_id"), (owner % 3).cast("int").alias("window"), "label",
+            RT.unit("embedding").alias("vector"))
+
+    @cached_property
+    def probes(self) -> DataFrame:
+        """Each label's event asks with the three lowest vectors of the label."""
+        first = Window.partitionBy("label").orderBy("id")
+        return self.vectors.withColumn("rn", F.row_number().over(first)).filter("rn <= 3").select(
+            F.col("label").alias("event_id"), (F.col("label") % 3).alias("window"), (F.col("rn") - 1).alias("probe"), F.col("vector").alias("probe_vector"))
+
+    @cached_property
+    def probe_scores(self) -> DataFrame:
+        return cut_point(RT.probe_scores(self.vectors, self.probes, "window", "id", "vector"), "probe_scores")
