@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +41,6 @@ def probe_scores(vectors: DataFrame, probes: DataFrame, window: str, ident: str,
     one matrix product. Events sharing a window share the read, and a crowded window is many blocks.
     Vectors and probes must be unit length. Probes of a window (a week's events) are a few hundred rows.
     """
-    import numpy as np
-    import pandas as pd
-
     sizes = vectors.groupBy(window).agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("_nb"))
     dealt = vectors.join(sizes, window).select(F.col(window).alias("_w"), F.col(ident).alias("_id"), F.col(vector).alias("_v"),
                                                F.pmod(F.xxhash64(ident), F.col("_nb")).cast("int").alias("_b"))

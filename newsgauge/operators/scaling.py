@@ -19,7 +19,8 @@ def score_block(score: Column, lo: float, hi: float, blocks: int = VALUE_BLOCKS,
     """The block of a score; block numbers grow in the direction of the order."""
     share = (F.lit(hi) - score) if descending else (score - F.lit(lo))
     part = F.floor(share / F.lit(float(hi - lo)) * F.lit(blocks))
-    return F.coalesce(F.least(F.greatest(part, F.lit(0)), F.lit(blocks)), F.lit(blocks + 1)).cast("int")
+    held = F.least(F.greatest(part, F.lit(0)), F.lit(blocks))
+    return F.when(part.isNull(), blocks + 1).otherwise(held).cast("int")      # NULL scores come last
 
 
 def magnitude_block(value: Column, per_octave: int = 64) -> Column:

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,9 +92,6 @@ def typical_phrase(rows: DataFrame, keys: Sequence[str], ident: str, text: str,
     every other one, so phrases are dealt into blocks and one task multiplies two blocks as word
     matrices: no pair is ever a row, and no key is ever in one task.
     """
-    import numpy as np
-    import pandas as pd
-
     keys = list(keys)
     trimmed = rows.select(*keys, F.col(ident).alias("_id"), F.trim(F.col(text)).alias("_p")).filter(F.length("_p").between(shortest, longest))
     cand = trimmed.groupBy(*keys, F.lower("_p").alias("_l")).agg(F.min_by("_p", "_id").alias("_p"), F.min("_id").alias("_id"))

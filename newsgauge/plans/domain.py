@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from newsgauge.functions.dates import window_days
 from newsgauge.functions.text import squeeze, uniform
 from newsgauge.operators import coverage as C
+from newsgauge.operators import framing as FR
 from newsgauge.operators import relevance as RL
 from newsgauge.operators import retrieval as RT
 from newsgauge.operators import texts as X
@@ -374,3 +375,49 @@ class Domain:
     @cached_property
     def probe_scores(self) -> DataFrame:
         return cut_point(RT.probe_scores(self.vectors, self.probes, "window", "id", "vector"), "probe_scores")
+
+    # ------------------------------------------------------------------ framing records
+    @cached_property
+    def all_records(self) -> DataFrame:
+        """One framing record per document, its fields drawn from digests of the document id."""
+        ident = F.col("doc_id").cast("string")
+
+        def h(salt: str, n: int, *more):
+            digest = F.md5(F.concat_ws("|", F.lit(salt), *[m.cast("string") for m in more], ident))
+            return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
+
+        def pick(values: list[str], index):
+            return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+        def several(n, build):
+            return F.transform(F.slice(F.array(F.lit(1), F.lit(2), F.lit(3)), F.lit(1), n.cast("int")), build)
+
+        g = F.substring("source", 4, 9).cast("int") % 5
+        statuses = ["asserted"] * 5 + ["attributed", "attributed", "hedged", "denied", "questioned"]
+        quote = F.substring(F.col("text"), (h("q", 40) + 1).cast("int"), F.lit(40))
+        broken = F.concat(F.substring(quote, 1, 10), F.lit(" zzz "), F.substring(quote, 16, 25))
+        evidence = F.when(h("qq", 3) == 0, broken).otherwise(F.concat(F.lit("«"), quote, F.lit("»")))
+        entity = several(h("ne", 3) + 1, lambda i: F.struct(
+            F.concat(F.lit("m"), i).alias("mention"), F.concat(F.lit("actor"), h("en", 8, i)).alias("canonical"), pick(["person", "org", "place"], h("et", 3, i)).alias("type")))
+        label = several(h("na", 4), lambda i: F.struct(
+            F.concat(F.lit("act"), i).alias("action"), F.concat(F.lit("term"), h("at", 12, i)).alias("term"),
+            pick(["positive", "negative", "neutral"], (h("av", 4, i) + g) % 3).alias("valence"), F.lit(None).cast("string").alias("evidence")))
+        moral = several(h("nm", 4), lambda i: F.struct(
+            F.concat(F.lit("actor"), h("me", 6, i)).alias("entity"), pick(FR.ROLES, (h("mr", 6, i) * 3 + g) % 18).alias("role"),
+            F.when(h("mx", 10, i) != 0, (h("mp", 7, i) - 3).cast("int")).alias("polarity"), h("mi", 4, i).cast("int").alias("intensity"), F.lit(None).cast("string").alias("evidence")))
+        first = F.regexp_extract("text", r"^[^.]*\.", 0)
+        none = F.lit(None).cast("string")
+        return self.table("documents").select(
+            F.col("lang").alias("event"), F.col("doc_id").alias("message_id"), "source", F.concat(F.lit("g"), g).alias("media_group"),
+            F.concat(F.lit("2025-03-"), F.lpad((h("dy", 28) + 1).cast("string"), 2, "0"), F.lit("T10:00:00")).alias("date"), uniform("a", ident).alias("rerank_score"),
+            F.col("text").alias("text_used"), F.when(h("on", 20) > 0, h("on", 20) != 1).alias("on_event"), none.alias("on_event_evidence"),
+            entity.alias("entities"), F.trim(first).alias("problem_definition"), evidence.alias("problem_definition_evidence"), label.alias("action_labels"),
+            F.struct(F.when(h("cc", 3) != 0, F.concat(F.lit("actor"), h("ce", 8))).alias("cause_entity"), none.alias("mechanism"), none.alias("evidence")).alias("causal_attribution"),
+            moral.alias("moral_evaluation"), F.when(h("tr", 3) != 0, F.trim(first)).alias("treatment"), pick(statuses, (h("ep", 10) + g) % 10).alias("epistemic_status"),
+            F.substring("text", 1, 30).alias("epistemic_evidence"), F.array(F.concat(F.lit("theme"), h("em", 5))).alias("emphasized"),
+            F.struct(*[(h("sem", 100, F.lit(i)) < 20 + 10 * i + 4 * g).alias(f) for i, f in enumerate(FR.FRAMES)]).alias("semetko"),
+            F.concat(F.lit("n"), (h("nar", 10) + g) % 4).alias("narrative_id"))
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return cut_point(FR.on_event(self.all_records), "records")
