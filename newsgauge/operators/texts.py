@@ -46,7 +46,9 @@ def strip_footers(posts: DataFrame, ident: str, text: str, footers: DataFrame, p
         return F.array_join(F.slice(F.split(F.col(column), " "), -2, 2), " ")
 
     pool = footers.select("ending").distinct().withColumn("_tail", tail("ending"))
-    d = posts.select(ident, F.col(text).alias("_t"))
+    # Posts move once, by their id; while the pool of endings is small enough to be sent to every
+    # task, no pass moves them again.
+    d = posts.select(ident, F.col(text).alias("_t")).repartition(ident)
     for _ in range(passes):
         several = F.size(F.split("_t", " ")) >= 2
         keyed = d.withColumn("_k", F.when(several, tail("_t")))
@@ -54,7 +56,7 @@ def strip_footers(posts: DataFrame, ident: str, text: str, footers: DataFrame, p
         longest = F.max(F.when(F.col("ending").isNotNull(), F.length("ending"))).alias("_cut")
         cut = F.substring(F.col("_t"), F.lit(1), F.length("_t") - F.col("_cut"))
         d = (
-            keyed.join(pool, hit, "left").groupBy(ident).agg(F.first("_t").alias("_t"), longest)
+            keyed.join(pool, hit, "left").groupBy(ident, "_t").agg(longest)
             .select(ident, F.when(F.col("_cut").isNull(), F.col("_t")).otherwise(F.rtrim(cut, F.lit(FOOTER_EDGE))).alias("_t")))
     return d.select(ident, F.col("_t").alias(text))
 

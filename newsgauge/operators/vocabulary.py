@@ -25,7 +25,7 @@ def tokens(posts: DataFrame) -> DataFrame:
     The neighbour is taken from the array, so pairs need no join and no window. Only words of two
     characters or more are rows; places still count the dropped ones.
     """
-    texts = with_text_id(posts).select("post_text_id", "post_text").dropDuplicates(["post_text_id"])
+    texts = with_text_id(posts.select("post_text").distinct())
     words = F.split(F.lower("post_text"), WORD_BREAK, -1)
     pairs = F.arrays_zip(F.col("w").alias("word"), F.slice(F.col("w"), F.lit(2), F.size("w")).alias("next_word"))
     return (
@@ -45,9 +45,12 @@ def lemmas(words: DataFrame, dictionary: DataFrame, overrides: DataFrame) -> Dat
         .select("word", F.coalesce("_o", "_d").alias("lemma"), F.when(F.col("_o").isNotNull(), "override").otherwise("dictionary").alias("lemma_source")))
 
 
-def lexicon(tokens: DataFrame, stopwords: DataFrame, source_names: DataFrame, dictionary: DataFrame, overrides: DataFrame) -> DataFrame:
+def distinct_words(tokens: DataFrame) -> DataFrame:
+    return tokens.select("word").distinct()
+
+
+def lexicon(words: DataFrame, stopwords: DataFrame, source_names: DataFrame, dictionary: DataFrame, overrides: DataFrame) -> DataFrame:
     """Every distinct word once, with its flags and the form it is counted under."""
-    words = tokens.select("word").distinct()
     flagged = (
         words.join(stopwords.select(F.col("term").alias("word"), F.lit(True).alias("_s")).distinct(), "word", "left")
         .join(source_names.select(F.col("source_name").alias("word"), F.lit(True).alias("_n")).distinct(), "word", "left")
@@ -76,7 +79,8 @@ def term_forms(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def post_terms(forms: DataFrame) -> DataFrame:
-    return forms.groupBy("post_text_id", *TERM).agg(F.sum("term_uses").alias("term_uses"))
+    """Uses per text and term; kept together by text, which is how posts will ask for them."""
+    return forms.repartition("post_text_id").groupBy("post_text_id", *TERM).agg(F.sum("term_uses").alias("term_uses"))
 
 
 def posts_with_words(posts: DataFrame, tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -106,17 +110,21 @@ def term_scores(posts: DataFrame, source_terms: DataFrame, smoothing: float = 0.
         F.sum("n").alias("group_posts"), F.count(F.lit(1)).alias("group_sources")).withColumn(
         "same_method", F.col("event_slug").endswith(fulltext_suffix)).drop("event_slug")
     source_posts = per_source.groupBy("event_id", "source_name").agg(F.sum("n").alias("source_posts"))
-    all_terms = source_terms.join(source_posts, ["event_id", "source_name"]).groupBy(*PLACE, *TERM).agg(
+    group_totals = groups.groupBy("media_group", "same_method").agg(F.sum("group_posts").alias("group_posts_all"))
+    event_totals = groups.groupBy("event_id").agg(F.sum("group_posts").alias("event_posts"))
+    # One shuffle, on the term alone: the group's figures and both totals of a term are then on one task.
+    # A term has at most one row per event and source here, however many posts carry it.
+    by_term = source_terms.join(source_posts, ["event_id", "source_name"]).repartition(*TERM)
+    all_terms = by_term.groupBy(*PLACE, *TERM).agg(
         F.sum("posts_with_term").alias("posts_with_term"), F.count(F.lit(1)).alias("sources_with_term"), F.sum("term_uses").alias("term_uses"),
         F.max(F.col("posts_with_term").cast("double") / F.col("source_posts")).alias("max_share_within_one_source"),
         (F.max("posts_with_term").cast("double") / F.nullif(F.sum("posts_with_term"), F.lit(0))).alias("top_source_share_of_term"))
-    event_terms = source_terms.groupBy("event_id", *TERM).agg(F.sum("posts_with_term").alias("event_posts_with_term"))
-    group_terms = source_terms.join(groups.select(*PLACE, "same_method"), PLACE).groupBy("media_group", "same_method", *TERM).agg(
-        F.sum("posts_with_term").alias("group_posts_with_term"))
-    group_totals = groups.groupBy("media_group", "same_method").agg(F.sum("group_posts").alias("group_posts_all"))
-    event_totals = groups.groupBy("event_id").agg(F.sum("group_posts").alias("event_posts"))
+    carried = F.sum("posts_with_term")
     passing = (
-        all_terms.filter(F.col("posts_with_term") >= min_posts).join(groups.filter(F.col("group_posts") >= min_group_posts), PLACE)
+        all_terms.join(groups, PLACE)
+        .withColumn("event_posts_with_term", carried.over(Window.partitionBy("event_id", *TERM)))
+        .withColumn("group_posts_with_term", carried.over(Window.partitionBy("media_group", "same_method", *TERM)))
+        .filter((F.col("posts_with_term") >= min_posts) & (F.col("group_posts") >= min_group_posts))
         .filter(F.col("sources_with_term") >= F.least(F.lit(2), F.col("group_sources")))
         .filter((F.col("group_sources") < 3) | (F.col("top_source_share_of_term") <= max_top_share)))
     other, others = F.col("event_posts_with_term") - F.col("posts_with_term"), F.col("event_posts") - F.col("group_posts")
@@ -126,8 +134,7 @@ def term_scores(posts: DataFrame, source_terms: DataFrame, smoothing: float = 0.
         return F.log2((F.col("share_in_group") + smoothing) / (F.coalesce(F.col(against), F.lit(0.0)) + smoothing))
 
     return (
-        passing.join(event_terms, ["event_id", *TERM]).join(group_terms, ["media_group", "same_method", *TERM])
-        .join(group_totals, ["media_group", "same_method"]).join(event_totals, "event_id")
+        passing.join(group_totals, ["media_group", "same_method"]).join(event_totals, "event_id")
         .select(
             *PLACE, *TERM, "posts_with_term", "sources_with_term", "term_uses", "max_share_within_one_source", "top_source_share_of_term",
             "group_posts", "group_sources", other.alias("other_posts_with_term"), others.alias("other_posts"),

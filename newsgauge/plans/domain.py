@@ -161,7 +161,7 @@ class Domain:
         seen = F.when(F.col("survey_week") % 7 == 0, 0.8).otherwise(1.0)
         kept, out = F.coalesce("kept", F.lit(0)), F.coalesce("archived_posts_excluded", F.lit(0))
         total = F.coalesce("posts_in_window_all_sources", F.lit(0))
-        return self.measured.join(counts, "event_id", "left").join(windows, "event_id", "left").select(
+        built = self.measured.join(counts, "event_id", "left").join(windows, "event_id", "left").select(
             "event_id", "event_slug", "event_name", "survey_year", "survey_week", "attention_percentage",
             F.col("quote_examples").alias("quotes"),
             F.date_add("week_start", 20).alias("built_at"), "match_start", "match_end_exclusive",
@@ -171,6 +171,7 @@ class Domain:
             (kept * 2).alias("candidates_reranked"), kept.alias("matched_posts_reported"),
             out.alias("archived_posts_excluded"), (kept - out).alias("matched_posts_expected"),
             F.floor(total * seen).cast("long").alias("searchable_posts_in_window"), total.alias("posts_in_window_all_sources"))
+        return cut_point(built, "datasets")
 
     @cached_property
     def empty_searches(self) -> DataFrame:
@@ -283,14 +284,14 @@ class Domain:
 
     @cached_property
     def lexicon(self) -> DataFrame:
-        words = self.tokens.select("word").distinct()
+        words = cut_point(V.distinct_words(self.tokens), "words")
         dictionary = words.select("word", F.regexp_replace("word", "s$", "").alias("lemma"))
         overrides = words.filter(F.length("word") == 4).select("word", F.substring("word", 1, 3).alias("lemma"))
-        return cut_point(V.lexicon(self.tokens, self.stopwords, self.texts.select("source_name"), dictionary, overrides), "lexicon")
+        return cut_point(V.lexicon(words, self.stopwords, self.texts.select("source_name"), dictionary, overrides), "lexicon")
 
     @cached_property
     def word_posts(self) -> DataFrame:
-        return V.posts_with_words(self.texts, self.tokens, self.lexicon)
+        return cut_point(V.posts_with_words(self.texts, self.tokens, self.lexicon), "word_posts")
 
     @cached_property
     def forms(self) -> DataFrame:
@@ -310,7 +311,7 @@ class Domain:
 
     @cached_property
     def term_posts(self) -> DataFrame:
-        return V.term_posts(self.word_posts, self.terms, self.kept_terms)
+        return cut_point(V.term_posts(self.word_posts, self.terms, self.kept_terms), "term_posts")
 
     @cached_property
     def term_labels(self) -> DataFrame:

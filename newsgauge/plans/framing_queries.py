@@ -391,7 +391,7 @@ def _clusters(d):
     return d.vectors.select("id", F.when(F.col("id") % 13 == 0, -1).otherwise(F.col("label")).alias("cluster"), "vector")
 
 
-@query("frm_cluster_exemplars", "select cluster, id, similarity, place, size from x_near where place <= 6", "similarity")
+@query("frm_cluster_exemplars", "select cluster, id, similarity, place, size from x_near where place <= 6")
 def _(d):
     return CL.nearest(_clusters(d), "cluster", "id", "vector", 6)
 

@@ -244,10 +244,10 @@ def _(d):
     return RL.best_cut(d.labelled, E, "score_a", "truth", "weight")
 
 
-sql_view("x_auc", """select a.event, sum(a.weight * b.weight * case when a.score_a > b.score_a then 1 when a.score_a = b.score_a then 0.5 else 0 end)::double
-  / sum(a.weight * b.weight) as auc from x_lab a join x_lab b on a.event = b.event where a.truth and not b.truth group by 1""")
-sql_view("x_aucb", """select a.event, sum(a.weight * b.weight * case when a.score_b > b.score_b then 1 when a.score_b = b.score_b then 0.5 else 0 end)::double
-  / sum(a.weight * b.weight) as auc from x_lab a join x_lab b on a.event = b.event where a.truth and not b.truth group by 1""")
+sql_view("x_auc", """select e.event, auc from (select distinct event from x_lab) e left join (select a.event, sum(a.weight * b.weight * case when a.score_a > b.score_a then 1 when a.score_a = b.score_a then 0.5 else 0 end)::double
+  / sum(a.weight * b.weight) as auc from x_lab a join x_lab b on a.event = b.event where a.truth and not b.truth group by 1) p using (event)""")
+sql_view("x_aucb", """select e.event, auc from (select distinct event from x_lab) e left join (select a.event, sum(a.weight * b.weight * case when a.score_b > b.score_b then 1 when a.score_b = b.score_b then 0.5 else 0 end)::double
+  / sum(a.weight * b.weight) as auc from x_lab a join x_lab b on a.event = b.event where a.truth and not b.truth group by 1) p using (event)""")
 
 
 @query("rel_auc_weighted", "select event, auc from x_auc", "auc")
