@@ -27,7 +27,7 @@ def upper_tail(chi2: str, dof: str) -> Column:
             term = math.exp(-h) * math.sqrt(h) / math.gamma(1.5)
             p += term
             for i in range(2, (k - 1) // 2 + 1):
-                term *= h / (i + 0.5)
+                term *= h / (i - 0.5)
                 p += term
         return min(p, 1.0)
 
