@@ -34,34 +34,59 @@ def unit(vector: str):
     return F.transform(v, lambda x: x / norm)
 
 
-def probe_scores(vectors: DataFrame, probes: DataFrame, window: str, ident: str, vector: str, rows_per_block: int = 4096) -> DataFrame:
+def _score_block(ids, matrix: np.ndarray, asked: pd.DataFrame) -> pd.DataFrame:
+    """Best probe of every event for a block of vectors: one matrix product per event."""
+    out = []
+    for event, mine in asked.sort_values("probe").groupby("event_id"):
+        s = matrix @ np.stack(mine["probe_vector"].to_numpy()).T
+        top = s.argmax(axis=1)
+        out.append(pd.DataFrame({"event_id": event, "id": ids, "score": s[np.arange(len(s)), top], "probe": mine["probe"].to_numpy()[top]}))
+    return pd.concat(out) if out else pd.DataFrame({"event_id": [], "id": [], "score": [], "probe": []})
+
+
+def probe_scores(vectors: DataFrame, probes: DataFrame, window: str, ident: str, vector: str, rows_per_block: int = 4096,
+                 max_shared_values: int = 16_000_000) -> DataFrame:
     """The best probe of every event for every vector of the event's window, as (event, id, score, probe).
 
-    Vectors of a window are dealt into blocks of about 4,096; each block meets its window's probes as
-    one matrix product. Events sharing a window share the read, and a crowded window is many blocks.
-    Vectors and probes must be unit length. Probes of a window (a week's events) are a few hundred rows.
+    Vectors and probes must be unit length. Events sharing a window share the read. Probes are counted
+    first: up to `max_shared_values` numbers (128 MB) they go to every task and the vectors never move;
+    beyond that vectors are dealt into blocks that meet their window's probes (see probe_scores_in_blocks).
     """
+    asked = probes.select(F.col(window).alias("window"), "event_id", "probe", "probe_vector")
+    numbers = asked.agg(F.sum(F.size("probe_vector")).alias("n")).first()["n"] or 0
+    if numbers > max_shared_values:
+        return probe_scores_in_blocks(vectors, probes, window, ident, vector, rows_per_block)
+    shared = vectors.sparkSession.sparkContext.broadcast(asked.toPandas())
+    kinds = dict(asked.dtypes) | {"id": dict(vectors.dtypes)[ident]}
+    schema = f"event_id {kinds['event_id']}, id {kinds['id']}, score double, probe {kinds['probe']}"
+
+    def score(batches):
+        by_window = dict(list(shared.value.groupby("window")))
+        for batch in batches:
+            for w, rows in batch.groupby("_w"):
+                if w in by_window:
+                    for i in range(0, len(rows), rows_per_block):
+                        part = rows.iloc[i:i + rows_per_block]
+                        yield _score_block(part["_id"].to_numpy(), np.stack(part["_v"].to_numpy()), by_window[w])
+
+    return vectors.select(F.col(window).alias("_w"), F.col(ident).alias("_id"), F.col(vector).alias("_v")).mapInPandas(score, schema)
+
+
+def probe_scores_in_blocks(vectors: DataFrame, probes: DataFrame, window: str, ident: str, vector: str, rows_per_block: int = 4096) -> DataFrame:
+    """probe_scores for probe sets too large to share: a crowded window is many blocks, each with a copy of its probes."""
     sizes = vectors.groupBy(window).agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("_nb"))
     dealt = vectors.join(sizes, window).select(F.col(window).alias("_w"), F.col(ident).alias("_id"), F.col(vector).alias("_v"),
                                                F.pmod(F.xxhash64(ident), F.col("_nb")).cast("int").alias("_b"))
     copies = probes.join(sizes, window).select(
-        F.col(window).alias("_pw"), F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_pb"), F.col("event_id").alias("_e"),
-        F.col("probe").alias("_p"), F.col("probe_vector").alias("_q"))
+        F.col(window).alias("_pw"), F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_pb"), "event_id", "probe", "probe_vector")
+    kinds = dict(copies.dtypes) | dict(dealt.dtypes)
+    schema = f"event_id {kinds['event_id']}, id {kinds['_id']}, score double, probe {kinds['probe']}"
 
     def best(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if block.empty or asked.empty:
             return pd.DataFrame({"event_id": [], "id": [], "score": [], "probe": []})
-        x = np.stack(block["_v"].to_numpy())
-        out = []
-        for event, mine in asked.sort_values("_p").groupby("_e"):
-            s = x @ np.stack(mine["_q"].to_numpy()).T
-            top = s.argmax(axis=1)
-            out.append(pd.DataFrame({"event_id": event, "id": block["_id"].to_numpy(), "score": s[np.arange(len(s)), top],
-                                     "probe": mine["_p"].to_numpy()[top]}))
-        return pd.concat(out)
+        return _score_block(block["_id"].to_numpy(), np.stack(block["_v"].to_numpy()), asked)
 
-    kinds = dict(copies.dtypes) | dict(dealt.dtypes)
-    schema = f"event_id {kinds['_e']}, id {kinds['_id']}, score double, probe {kinds['_p']}"
     return dealt.groupBy("_w", "_b").cogroup(copies.groupBy("_pw", "_pb")).applyInPandas(best, schema)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsgauge.operators.scaling import chunked_list
+from newsgauge.operators.scaling import chunked_list, rank_in_blocks, score_block
 
 WORD_BREAK = "[^a-zа-яё0-9]+"
 TERM = ["term_type", "term_key"]
@@ -83,10 +83,10 @@ def post_terms(forms: DataFrame) -> DataFrame:
     return forms.repartition("post_text_id").groupBy("post_text_id", *TERM).agg(F.sum("term_uses").alias("term_uses"))
 
 
-def posts_with_words(posts: DataFrame, tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+def posts_with_words(posts: DataFrame, tokens: DataFrame, source_names: DataFrame) -> DataFrame:
     """Posts with at least one word that is not a source's name: the denominator of every share."""
-    countable = lexicon.filter(~F.col("is_source_name")).select("word")
-    texts = tokens.select("post_text_id", "word").distinct().join(countable, "word", "left_semi").select("post_text_id").distinct()
+    names = source_names.select(F.col("source_name").alias("word")).distinct()
+    texts = tokens.select("post_text_id", "word").join(names, "word", "left_anti").select("post_text_id").distinct()
     return with_text_id(posts).join(texts, "post_text_id", "left_semi").select(
         "event_id", "event_slug", "media_group", "source_name", "message_id", "post_text_id")
 
@@ -174,6 +174,10 @@ def term_lists(term_posts: DataFrame, chunk: int = 10_000) -> DataFrame:
 
 
 def group_terms(kept: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinctive terms ranked inside event, group and type (survivors only, a short list)."""
-    rank = Window.partitionBy(*PLACE, "term_type").orderBy(F.desc("distinctiveness"), F.desc("posts_with_term"), "term_key")
-    return kept.join(labels, PLACE + TERM).withColumn("distinctiveness_rank", F.row_number().over(rank).cast("long"))
+    """Distinctive terms ranked inside event, group and type.
+
+    Both shares lie in 0 … 1, so with the smoothing distinctiveness lies within ±6 and is cut into blocks there.
+    """
+    order = [F.desc("distinctiveness"), F.desc("posts_with_term"), F.col("term_key")]
+    block = score_block(F.col("distinctiveness"), -6.0, 6.0)
+    return rank_in_blocks(kept.join(labels, PLACE + TERM), [*PLACE, "term_type"], block, order, "distinctiveness_rank")

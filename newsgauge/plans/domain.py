@@ -291,7 +291,7 @@ class Domain:
 
     @cached_property
     def word_posts(self) -> DataFrame:
-        return cut_point(V.posts_with_words(self.texts, self.tokens, self.lexicon), "word_posts")
+        return cut_point(V.posts_with_words(self.texts, self.tokens, self.texts.select("source_name")), "word_posts")
 
     @cached_property
     def forms(self) -> DataFrame:

@@ -80,7 +80,7 @@ def test_one_channels_habit_is_no_group_term(spark):
     empty = spark.createDataFrame([], "word string, lemma string")
     lex = V.lexicon(V.distinct_words(tok), spark.createDataFrame([("and",)], "term string"), posts.select("source_name"), empty, empty)
     forms = V.term_forms(tok, lex)
-    terms, pww = V.post_terms(forms), V.posts_with_words(posts, tok, lex)
+    terms, pww = V.post_terms(forms), V.posts_with_words(posts, tok, posts.select("source_name"))
     st = V.source_terms(pww, terms)
     kept = V.term_scores(pww, st)
     names = {(r.event_id, r.media_group, r.term_key): r for r in kept.filter("term_type = 'word'").collect()}
