@@ -40,11 +40,9 @@ def stage_survey(raw: DataFrame, non_response: list[str], catch_all: list[str],
 
 def source_activity(posts: DataFrame, archived: DataFrame | None = None) -> DataFrame:
     """Posts per source and day, the denominator; archived sources and undated posts are left out."""
-    p = posts.filter(F.col("published_at").isNotNull())
-    if archived is not None:
-        p = p.join(archived.select("source_name"), "source_name", "left_anti")
-    return p.groupBy("source_name", F.to_date("published_at").alias("activity_date")).agg(
+    per_day = posts.filter(F.col("published_at").isNotNull()).groupBy("source_name", F.to_date("published_at").alias("activity_date")).agg(
         F.count(F.lit(1)).alias("post_count"))
+    return per_day if archived is None else per_day.join(archived.select("source_name"), "source_name", "left_anti")
 
 
 def corpus_day_posts(posts: DataFrame) -> DataFrame:

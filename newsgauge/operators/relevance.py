@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from newsgauge.functions.text import uniform
 from newsgauge.operators.scaling import rank_by_digest, score_block
+from newsgauge.session import summary
 
 GRID = 10_000
 
@@ -130,7 +131,7 @@ def threshold_sweep(df: DataFrame, keys: Sequence[str], scorers: Mapping[str, st
 # ---------------------------------------------------------------------------- sampling
 def width_bands(df: DataFrame, keys: Sequence[str], score: str, bands: int = 10) -> DataFrame:
     """Equal-width bands over each key's score range; the last band is closed."""
-    spread = df.groupBy(*keys).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    spread = summary(df.groupBy(*keys).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi")))
     share = (F.col(score) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     return df.join(spread, list(keys)).withColumn("band", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bands), F.lit(bands - 1)).cast("int")).drop("_lo", "_hi")
 
@@ -199,7 +200,7 @@ def leave_one_out_cut(df: DataFrame, event: str, score: str, truth: str, weight:
         .join(mine, [event, "step"], "left")
         .select(event, "step", (F.col("pos") - F.coalesce("_p", F.lit(0.0))).alias("pos"), (F.col("neg") - F.coalesce("_q", F.lit(0.0))).alias("neg"),
                 ((F.col("n_cut") - F.coalesce("_c", F.lit(0))) > 0).cast("int").alias("is_cut")))
-    cuts = pick_best(curve(others, [event]), [event]).select(event, F.col("cut").alias("global_cut"))
+    cuts = summary(pick_best(curve(others, [event]), [event]).select(event, F.col("cut").alias("global_cut")))
     scored = df.join(cuts, event)
     return confusion(scored, [event, "global_cut"], F.col(score) >= F.col("global_cut"), truth, weight)
 

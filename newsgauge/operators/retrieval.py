@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgauge.operators.scaling import rank_by_score
+from newsgauge.session import summary
 
 
 def keyword_search(posts: DataFrame, start: str, end_exclusive: str, terms: Mapping[str, Sequence[str]], limit: int) -> DataFrame:
@@ -74,7 +75,7 @@ def probe_scores(vectors: DataFrame, probes: DataFrame, window: str, ident: str,
 
 def probe_scores_in_blocks(vectors: DataFrame, probes: DataFrame, window: str, ident: str, vector: str, rows_per_block: int = 4096) -> DataFrame:
     """probe_scores for probe sets too large to share: a crowded window is many blocks, each with a copy of its probes."""
-    sizes = vectors.groupBy(window).agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("_nb"))
+    sizes = summary(vectors.groupBy(window).agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("_nb")))
     dealt = vectors.join(sizes, window).select(F.col(window).alias("_w"), F.col(ident).alias("_id"), F.col(vector).alias("_v"),
                                                F.pmod(F.xxhash64(ident), F.col("_nb")).cast("int").alias("_b"))
     copies = probes.join(sizes, window).select(

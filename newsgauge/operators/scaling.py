@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsgauge.session import summary
+
 TIE_BITS = 20          # rows that share one score are cut by id into blocks of at most 2^20 ids
 VALUE_BLOCKS = 1024    # equal-width blocks of a score range
 
@@ -57,30 +59,25 @@ def rank_by_score(
     a pair. Rows sharing one hot score are spread by id; distinct scores are spread by block.
     """
     keys = list(keys)
-    d = df.withColumn("_sb", score_block(F.col(score), lo, hi, blocks, descending)).withColumn(
-        "_tb", F.shiftright(F.col(tie).cast("long"), TIE_BITS)
-    )
-    by_score = F.col(score).desc_nulls_last() if descending else F.col(score).asc_nulls_last()
-    pairs = d.groupBy(*keys, "_sb", score, "_tb").agg(F.count(F.lit(1)).alias("_n"))
+    # Missing scores come last; a stand-in value keeps the join below a plain equality, so it uses the window's shuffle.
+    stand_in = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf") if descending else float("inf")))
+    d = (
+        df.withColumn("_sb", score_block(F.col(score), lo, hi, blocks, descending)).withColumn("_s", stand_in)
+        .withColumn("_tb", F.shiftright(F.col(tie).cast("long"), TIE_BITS)))
+    by_score = F.col("_s").desc() if descending else F.col("_s").asc()
+    pairs = d.groupBy(*keys, "_sb", "_s", "_tb").agg(F.count(F.lit(1)).alias("_n"))
     top = pairs.groupBy(*keys, "_sb").agg(F.sum("_n").alias("_bn"))
     prior = Window.partitionBy(*keys).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
     top = top.select(*keys, "_sb", F.coalesce(F.sum("_bn").over(prior), F.lit(0)).alias("_b0"))
     prior = Window.partitionBy(*keys, "_sb").orderBy(by_score, "_tb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         pairs.withColumn("_p0", F.coalesce(F.sum("_n").over(prior), F.lit(0)))
-        .join(top, keys + ["_sb"])
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(score).alias("_k_score"),
-                F.col("_tb").alias("_k_tb"), (F.col("_b0") + F.col("_p0")).alias("_before"))
-    )
-    inside = Window.partitionBy(*keys, score, "_tb").orderBy(tie)
-    match = F.col(score).eqNullSafe(F.col("_k_score")) & (F.col("_tb") == F.col("_k_tb"))
-    for k in keys:
-        match = match & (F.col(k) == F.col(f"_k_{k}"))
+        .join(top, keys + ["_sb"]).select(*keys, "_s", "_tb", (F.col("_b0") + F.col("_p0")).alias("_before")))
+    inside = Window.partitionBy(*keys, "_s", "_tb").orderBy(tie)
     return (
-        d.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, match)
+        d.withColumn("_rn", F.row_number().over(inside)).join(offsets, keys + ["_s", "_tb"])
         .withColumn(out, (F.col("_before") + F.col("_rn")).cast("long"))
-        .drop("_sb", "_tb", "_rn", "_before", "_k_score", "_k_tb", *[f"_k_{k}" for k in keys])
+        .select(*df.columns, out)
     )
 
 
@@ -151,7 +148,7 @@ def chunked_list(df: DataFrame, keys: Sequence[str], item: str, out: str, chunk:
     gets ten thousand rows instead of one array that no task could hold.
     """
     keys = list(keys)
-    parts = df.groupBy(*keys).agg(F.ceil(F.count(item) / F.lit(chunk)).cast("long").alias("_parts"))
+    parts = summary(df.groupBy(*keys).agg(F.ceil(F.count(item) / F.lit(chunk)).cast("long").alias("_parts")))
     return (
         df.join(parts, keys)
         .withColumn("part", F.pmod(F.xxhash64(item), F.col("_parts")))

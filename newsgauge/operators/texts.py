@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newsgauge.functions.text import squeeze
 from newsgauge.operators.scaling import rank_by_id, rank_in_blocks, running_sum
+from newsgauge.session import summary
 
 # Signs that an ending is about running a channel.
 FOOTER_MARKERS = ["@", "t.me", "http", "подпис", "подпиш", "subscribe", "|", "¦", "прислать", "наш канал", "канал в", "по ссылке"]
@@ -26,7 +27,7 @@ def find_footers(posts: DataFrame, groups: Sequence[str], text: str, min_posts:
         posts.select(*groups, words.alias("_w")).filter(F.size("_w") > 2)
         .select(*groups, F.explode(F.transform(lengths, lambda k: F.array_join(F.slice("_w", -k, k), " "))).alias("ending"))
         .groupBy(*groups, "ending").agg(F.count(F.lit(1)).alias("posts_ending")))
-    totals = posts.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    totals = summary(posts.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")))
     marked = F.exists(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(F.lower("ending"), m))
     share = F.col("posts_ending") / F.col("_n")
     return (
@@ -97,7 +98,7 @@ def typical_phrase(rows: DataFrame, keys: Sequence[str], ident: str, text: str,
     keys = list(keys)
     trimmed = rows.select(*keys, F.col(ident).alias("_id"), F.trim(F.col(text)).alias("_p")).filter(F.length("_p").between(shortest, longest))
     cand = trimmed.groupBy(*keys, F.lower("_p").alias("_l")).agg(F.min_by("_p", "_id").alias("_p"), F.min("_id").alias("_id"))
-    n_blocks = cand.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb"))
+    n_blocks = summary(cand.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb")))
     dealt = cand.join(n_blocks, keys).select(
         *keys, "_id", "_p", "_nb", F.array_distinct(F.split(squeeze(F.col("_l")), " ")).alias("_w"),
         F.pmod(F.xxhash64("_l"), F.col("_nb")).cast("int").alias("_b"))

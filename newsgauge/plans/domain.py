@@ -21,7 +21,7 @@ from newsgauge.operators import texts as X
 from newsgauge.operators import themes as TH
 from newsgauge.operators import vocabulary as V
 from newsgauge.operators.scaling import rank_by_score
-from newsgauge.session import cut_point
+from newsgauge.session import cut_point, summary
 
 NON_RESPONSE = ["5-LOW"]
 CATCH_ALL = ["4-NOT SPECIFIED"]
@@ -47,8 +47,9 @@ def open_domain(spark: SparkSession, folder: str) -> Domain:
 class Domain:
     """Lazily built DataFrames over one data folder.
 
-    The marts that feed many others are cut points: written to the shared folder when first read,
-    as the warehouse they belong to keeps them as tables. Everything else stays a plan.
+    Tables that feed many others are cut points: written to the shared folder when first read, as the
+    warehouse they belong to keeps them as tables. Written dimensions also have a known size, so Spark
+    sends them to every task only while they are small. Everything else stays a plan.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -79,17 +80,19 @@ class Domain:
         staged = C.stage_survey(self.raw_survey, NON_RESPONSE, CATCH_ALL)
         suffix = F.when(F.col("survey_year") >= FULLTEXT_FROM, "_fulltext").otherwise("")
         digit = F.substring("event_name", 1, 1).cast("int")
-        return staged.withColumn("digit", digit).withColumn(
+        named = staged.withColumn("digit", digit).withColumn(
             "event_slug", F.concat(F.format_string("event_%dw%02d_%d", "survey_year", "survey_week", "digit"), suffix))
+        return cut_point(named, "survey")
 
     # ------------------------------------------------------------------ sources and posts
     @cached_property
     def all_sources(self) -> DataFrame:
-        return (
+        rows = (
             self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
             .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("source_name"), F.lower("r_name").alias("media_group_key"),
                     F.col("r_name").alias("media_group"), "n_nationkey"))
+        return cut_point(rows, "sources")
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -348,8 +351,8 @@ class Domain:
             F.when(uniform("rd", ident) >= 0.05, flipped("r1", 0.08)).alias("reader"), flipped("r2", 0.20).alias("reader2"))
         ranked = rank_by_score(d, ["event"], "cos", "post_id", 0.0, 1.0)
         banded = ranked.withColumn("band", F.coalesce(RL.rank_band(F.col("rank"), RANK_EDGES), F.lit(len(RANK_EDGES) - 1)))
-        weights = banded.groupBy("event", "band").agg(
-            (F.count(F.lit(1)).cast("double") / F.nullif(F.count("truth"), F.lit(0))).alias("_w"))
+        weights = summary(banded.groupBy("event", "band").agg(
+            (F.count(F.lit(1)).cast("double") / F.nullif(F.count("truth"), F.lit(0))).alias("_w")))
         full = banded.join(weights, ["event", "band"]).withColumn("weight", F.when(F.col("truth").isNotNull(), F.col("_w"))).drop("_w")
         return cut_point(full, "candidates")
 

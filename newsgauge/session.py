@@ -50,3 +50,13 @@ def cut_point(df: DataFrame, name: str) -> DataFrame:
     path = run_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def summary(df: DataFrame) -> DataFrame:
+    """Per-key figures about to be joined back to their rows, written first so that their true size is known.
+
+    Spark estimates an aggregate as large as its input and would shuffle the rows, a hot key in one
+    partition. A written summary is sent to every task where it is below the broadcast threshold, and
+    joined by shuffle, with skew splitting, where it is not.
+    """
+    return cut_point(df, "summary")
