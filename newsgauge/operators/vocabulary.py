@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgauge.operators.scaling import chunked_list, rank_in_blocks, score_block
+from newsgauge.session import summary
 
 WORD_BREAK = "[^a-zа-яё0-9]+"
 TERM = ["term_type", "term_key"]
@@ -105,7 +106,7 @@ def term_scores(posts: DataFrame, source_terms: DataFrame, smoothing: float = 0.
     "Other events" are those matched by the same method. Terms that fail the cheap filters are gone
     before the totals are joined.
     """
-    per_source = posts.groupBy("event_id", "event_slug", "media_group", "source_name").agg(F.count(F.lit(1)).alias("n"))
+    per_source = summary(posts.groupBy("event_id", "event_slug", "media_group", "source_name").agg(F.count(F.lit(1)).alias("n")))
     groups = per_source.groupBy("event_id", "event_slug", "media_group").agg(
         F.sum("n").alias("group_posts"), F.count(F.lit(1)).alias("group_sources")).withColumn(
         "same_method", F.col("event_slug").endswith(fulltext_suffix)).drop("event_slug")
@@ -180,4 +181,5 @@ def group_terms(kept: DataFrame, labels: DataFrame) -> DataFrame:
     """
     order = [F.desc("distinctiveness"), F.desc("posts_with_term"), F.col("term_key")]
     block = score_block(F.col("distinctiveness"), -6.0, 6.0)
-    return rank_in_blocks(kept.join(labels, PLACE + TERM), [*PLACE, "term_type"], block, order, "distinctiveness_rank")
+    ranked = rank_in_blocks(kept, [*PLACE, "term_type"], block, order, "distinctiveness_rank")
+    return ranked.join(labels, PLACE + TERM)
