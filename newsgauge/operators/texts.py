@@ -21,19 +21,25 @@ def find_footers(posts: DataFrame, groups: Sequence[str], text: str, min_posts:
                  share_without_marker: float = 0.30, max_words: int = 25, markers: Sequence[str] = tuple(FOOTER_MARKERS)) -> DataFrame:
     """Endings of 2 to 25 words that a group's posts repeat, shorter than the post they end."""
     groups = list(groups)
-    words = F.split(F.col(text), " ")
+    long_enough = posts.select(*groups, F.split(F.col(text), " ").alias("_w")).filter(F.size("_w") > 2).withColumn(
+        "_tail", F.array_join(F.slice("_w", -2, 2), " "))
+    totals = summary(posts.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")))
+    often = F.col("posts_ending") >= F.greatest(F.lit(float(min_posts)), F.col("_n") * min_share)
+    # An ending is never more frequent than its own last two words, so only posts with frequent last
+    # words are spread into their endings.
+    frequent = (
+        long_enough.groupBy(*groups, "_tail").agg(F.count(F.lit(1)).alias("posts_ending")).filter(F.col("posts_ending") >= min_posts)
+        .join(totals, groups).filter(often).select(*groups, "_tail"))
     lengths = F.sequence(F.lit(2), F.least(F.lit(max_words), F.size("_w") - 1))
     endings = (
-        posts.select(*groups, words.alias("_w")).filter(F.size("_w") > 2)
+        long_enough.join(summary(frequent), [*groups, "_tail"], "left_semi")
         .select(*groups, F.explode(F.transform(lengths, lambda k: F.array_join(F.slice("_w", -k, k), " "))).alias("ending"))
         .groupBy(*groups, "ending").agg(F.count(F.lit(1)).alias("posts_ending")))
-    totals = summary(posts.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")))
     marked = F.exists(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(F.lower("ending"), m))
     share = F.col("posts_ending") / F.col("_n")
     return (
         endings.filter(F.col("posts_ending") >= min_posts).join(totals, groups)
-        .filter(F.col("posts_ending") >= F.greatest(F.lit(float(min_posts)), F.col("_n") * min_share))
-        .withColumn("has_marker", marked).withColumn("share", share)
+        .filter(often).withColumn("has_marker", marked).withColumn("share", share)
         .filter(F.col("has_marker") | (F.col("share") >= share_without_marker)).drop("_n"))
 
 
@@ -46,7 +52,7 @@ def strip_footers(posts: DataFrame, ident: str, text: str, footers: DataFrame, p
     def tail(column: str):
         return F.array_join(F.slice(F.split(F.col(column), " "), -2, 2), " ")
 
-    pool = footers.select("ending").distinct().withColumn("_tail", tail("ending"))
+    pool = summary(footers.select("ending").distinct().withColumn("_tail", tail("ending")))
     # Posts move once, by their id; while the pool of endings is small enough to be sent to every
     # task, no pass moves them again.
     d = posts.select(ident, F.col(text).alias("_t")).repartition(ident)

@@ -202,9 +202,8 @@ def _(d):
 def _(d):
     text = d.posts.select(F.date_format("published_at", "yyyy-MM").alias("month"), F.col("original_message").alias("text"))
     path = SK.write_partitioned(text, run_dir(d.spark, "monthly"), "month", "parquet")
-    back = d.spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(path)
-    return back.groupBy(F.date_format("month", "yyyy-MM").alias("month") if dict(back.dtypes)["month"] == "date" else F.col("month").cast("string").alias("month")).agg(
-        F.count(F.lit(1)).alias("posts"), F.sum(F.length("text")).alias("characters"))
+    back = d.spark.read.schema("text string, month string").parquet(path)
+    return back.groupBy("month").agg(F.count(F.lit(1)).alias("posts"), F.sum(F.length("text")).alias("characters"))
 
 
 @query("sink_publish_marts", """select 'event_overview' as mart, (select count(*) from x_overview) as rows union all select 'event_group_coverage', (select count(*) from x_coverage)
