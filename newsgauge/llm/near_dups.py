@@ -5,8 +5,9 @@ register, and the smallest rest of the hash is kept as a count of leading zeros
 registers borrow from a full one in an order fixed per register, so short texts band like long ones. Four
 registers make a band key; two sets with a similarity of 0.75 share one of 32 bands but for about 5 in a million.
 
-Equal sets are one class. Classes that share a band key are compared with one leader per key, and only where a key
-still holds two components is a new leader chosen, so a large group of copies costs its size and not its square.
+Equal sets are one class. Classes that share a band key are compared with the key's hub, the member that shares most
+keys with others, so a group of copies costs its size and not its square. Keys that then still hold several
+components are compared block against block, members of the hub's component only with the others.
 """
 from __future__ import annotations
 
@@ -17,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsgauge.llm.common import connected, hash_words, inner_starts, mix, numbered_words, over_texts, raw_texts, slices, window_hashes
+from newsgauge.llm.common import connected, hash_words, mix, numbered_words, over_texts, raw_texts, slices, window_hashes
 from newsgauge.session import cut_point
 
 BUCKET_BITS, MANTISSA, BAND_ROWS = 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // BAND_ROWS
-LEADER_ROUNDS = 6
+BLOCK_SHINGLES, COLUMNS = 50_000, 4096
 SKETCH = "doc_id long, n_shingles long, digest binary, registers binary, filled binary"
 
 
@@ -146,13 +147,65 @@ def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "digest", "text").mapInArrow(make, "node long, shingles binary")
 
 
+def cross_links(a: dict, b: dict, percent: int) -> list[tuple[int, int]]:
+    """One link for each two components of which a block of `a` and a block of `b` hold linked sets."""
+    own = lambda x: [np.frombuffer(s, np.uint64) for s in x["sets"]]
+    sa, sb = own(a), own(b)
+    na, nb = np.array([len(s) for s in sa]), np.array([len(s) for s in sb])
+    fa, fb = np.concatenate(sa), np.concatenate(sb)
+    both = np.intersect1d(fa, fb)
+    cells = []
+    for flat, n in ((fa, na), (fb, nb)):
+        at = np.minimum(np.searchsorted(both, flat), max(len(both) - 1, 0))
+        hit = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        row, col = np.repeat(np.arange(len(n)), n)[hit], at[hit]
+        order = np.argsort(col, kind="stable")
+        cells.append((row[order], col[order], len(n)))
+    same = np.zeros((len(sa), len(sb)), np.float32)
+    for start in range(0, len(both), COLUMNS):                       # counts stay far below 2^24, so floats are exact
+        grids = []
+        for row, col, n in cells:
+            lo, hi = np.searchsorted(col, (start, start + COLUMNS))
+            grid = np.zeros((n, COLUMNS), np.float32)
+            grid[row[lo:hi], col[lo:hi] - start] = 1
+            grids.append(grid)
+        same += grids[0] @ grids[1].T
+    same = same.astype(np.int64)
+    ca, cb = np.array(a["comps"]), np.array(b["comps"])
+    i, j = np.nonzero((100 * same >= percent * (na[:, None] + nb[None, :] - same)) & (ca[:, None] != cb[None, :]))
+    _, first = np.unique(np.column_stack([ca[i], cb[j]]), axis=0, return_index=True) if len(i) else (None, np.empty(0, np.int64))
+    return [(a["nodes"][i[k]], b["nodes"][j[k]]) for k in first]
+
+
+def block_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside band keys that still hold several, block against block.
+
+    A block holds about BLOCK_SHINGLES shingles of one key. Members of the leader's component meet only the others.
+    No pair of documents is a row; a row is two blocks, and what comes out is a link for each two components.
+    """
+    rows = mixed.join(sets, "node").withColumn("inside", F.col("component") == F.col("component_a"))
+    size = rows.groupBy("bucket").agg(F.ceil(F.sum(F.length("shingles")) / F.lit(8 * BLOCK_SHINGLES)).alias("n_blocks"))
+    blocks = rows.join(size, "bucket").groupBy("bucket", "inside", F.pmod(F.xxhash64("node"), "n_blocks").alias("block")).agg(
+        F.collect_list(F.struct("node", "component", "shingles")).alias("x"))
+    blocks = cut_point(blocks.select("bucket", F.struct("inside", "block").alias("block"), F.struct(
+        F.col("x.node").alias("nodes"), F.col("x.component").alias("comps"), F.col("x.shingles").alias("sets")).alias("x")), "blocks")
+    pairs = blocks.select("bucket", F.col("block").alias("block_a"), F.col("x").alias("xa")).join(
+        blocks.select("bucket", F.col("block").alias("block_b"), F.col("x").alias("xb")), "bucket").filter(
+        (F.col("block_a") <= F.col("block_b")) & ~(F.col("block_a.inside") & F.col("block_b.inside")))
+
+    def run(batches):
+        for x in batches:
+            found = [p for k in range(x.num_rows) for p in cross_links(x.column("xa")[k].as_py(), x.column("xb")[k].as_py(), percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+    return pairs.select("xa", "xb").mapInArrow(run, "a long, b long")
+
+
 def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, for every row of docs (doc_id, text).
 
     Documents without a word are linked with nothing. Rows that repeat an id and a text are one document; a row
     without an id is linked with nothing and is kept. Other columns are ignored. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
     sketch = cut_point(sketches(docs), "sketches")
     some = sketch.filter("n_shingles > 0 and doc_id is not null")
     sketched = F.struct("n_shingles", "registers", "filled")
@@ -160,38 +213,23 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     nodes = cut_point(classes.select("digest", "doc_id", "s.*").withColumn("node", F.monotonically_increasing_id()), "classes")
     part = lambda b: F.substring("registers", F.lit(1) + b * 2 * BAND_ROWS, F.lit(2 * BAND_ROWS))
     bands = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "registers").select("node", "band", part(F.col("band")).alias("key"))
-    shared = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = cut_point(bands.join(shared, ["band", "key"]).select("node", F.xxhash64("band", "key").alias("bucket")), "members")
+    shared = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = cut_point(bands.join(shared, ["band", "key"]).select("node", F.xxhash64("band", "key").alias("bucket"), "n"), "members")
     wanted = cut_point(nodes.select("node", "doc_id", "digest").join(members.select("node").distinct(), "node", "left_semi"), "wanted")
     sets = cut_point(set_table(docs, wanted), "sets")
-    links = tested = spark.createDataFrame([], "a long, b long")
-    comps = wanted.select("node", F.col("node").alias("component"))
-    split, turn = members, 0
-    while True:
-        labelled = split.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                               F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("leader")).filter("low <> high")
-        found = labelled.join(mixed.select("bucket", F.col("leader.node").alias("a"), F.col("leader.component").alias("component_a")), "bucket")
-        split = cut_point(found.select("bucket", F.col("node"), "component", "a", "component_a"), "mixed")
-        if split.isEmpty():
-            break
-        if turn < LEADER_ROUNDS:
-            pairs = split.filter("component <> component_a").select("a", F.col("node").alias("b"))
-        else:
-            other = split.select("bucket", F.col("node").alias("a"), F.col("component").alias("component_a"))
-            pairs = split.select("bucket", F.col("node").alias("b"), "component").join(other, "bucket").filter("a < b and component <> component_a").select("a", "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = cut_point(pairs, "pairs")
-        tested = tested.union(pairs)
-        new = cut_point(confirmed(likely(pairs, nodes, percent), sets, percent), "links")
-        links = links.union(new)
-        if turn >= LEADER_ROUNDS:
-            comps = connected(links)
-            break
-        if not new.isEmpty():
-            comps = connected(links)
-        split = split.select("node", "bucket")
-        turn += 1
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    hub = F.max(F.struct("weight", "node")).alias("hub")
+    weighted = members.join(weight, "node")
+    led = cut_point(weighted.join(weighted.groupBy("bucket").agg(hub), "bucket").select("bucket", "node", F.col("hub.node").alias("a")), "led")
+    pairs = led.filter("a <> node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    links = cut_point(confirmed(likely(pairs, nodes, percent), sets, percent), "links")
+    comps = connected(links)
+    component = lambda of, name: comps.select(F.col("node").alias(of), F.col("component").alias(name))
+    named = led.join(component("node", "component"), "node", "left").join(component("a", "component_a"), "a", "left").select(
+        "bucket", "node", F.coalesce("component", "node").alias("component"), F.coalesce("component_a", "a").alias("component_a"))
+    mixed = named.join(named.filter("component <> component_a").select("bucket").distinct(), "bucket", "left_semi")
+    more = cut_point(block_links(mixed, sets, percent), "links")
+    comps = connected(links.union(more)) if not more.isEmpty() else comps
     named = comps.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = nodes.join(comps.join(named, "component").select("node", "component_id"), "node", "left").select(
         "digest", F.coalesce("component_id", "doc_id").alias("class_component"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsgauge.llm.common import table
+from newsgauge.llm.line_dedup import CHECK_SQL as LINE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,3 +29,21 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op5_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     from newsgauge.llm.near_dups import near_groups
     return near_groups(table(spark, folder, "documents"))
+
+
+SQL["op9_line_dedup"] = LINE_SQL
+
+
+@query
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from newsgauge.llm.line_dedup import without_repeats
+    return without_repeats(table(spark, folder, "documents")).select("doc_id", "text", "n_chunks", "n_removed")
+
+
+@query
+def op6_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from newsgauge.llm.wavelet import token_table
+    found = token_table(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
