@@ -47,3 +47,10 @@ def op6_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     from newsgauge.llm.wavelet import token_table
     found = token_table(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    from newsgauge.llm.language_model import judged
+    done = judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return done.withColumn("perplexity", F.round("perplexity", 6)).withColumn("threshold", F.round("threshold", 6))
