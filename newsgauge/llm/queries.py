@@ -54,3 +54,18 @@ def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
     from newsgauge.llm.language_model import judged
     done = judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return done.withColumn("perplexity", F.round("perplexity", 6)).withColumn("threshold", F.round("threshold", 6))
+
+
+SHARDS = {f"shard-{k:03d}": 2 if k % 16 == 0 else 1 for k in range(64)}        # every sixteenth machine is twice as large
+
+
+@query
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    from newsgauge.llm.sharding import placed
+    return placed(table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars"), ["doc_id"], SHARDS)
+
+
+@query
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from newsgauge.llm.decontaminate import leaks
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).withColumn("score", F.round("score", 6))
