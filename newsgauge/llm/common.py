@@ -112,3 +112,29 @@ def connected(links: DataFrame, name: str = "components") -> DataFrame:
         labels = step.select("node", "component")
         if step.filter("before <> component").isEmpty():
             return labels
+
+
+class Pool:
+    """Sequences of numbers by key, in one growing array, so that many keys unfold without a loop."""
+
+    def __init__(self):
+        self.known: dict = {}
+        self.starts, self.lens, self.flat, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+
+    def add(self, keys: list, lens: np.ndarray, flat: np.ndarray) -> None:
+        n = len(self.known)
+        while n + len(keys) > len(self.starts):
+            self.starts, self.lens = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lens))
+        while self.filled + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[self.filled:self.filled + len(flat)] = flat
+        self.lens[n:n + len(keys)] = lens
+        self.starts[n:n + len(keys)] = self.filled + np.cumsum(lens) - lens
+        self.filled += len(flat)
+        self.known.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def unfold(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the sequences at these places one after the other, their ends)."""
+        size = self.lens[place]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.starts[place] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)], ends

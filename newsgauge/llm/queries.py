@@ -69,3 +69,11 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from newsgauge.llm.decontaminate import leaks
     return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).withColumn("score", F.round("score", 6))
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from newsgauge.llm.pieces import encoded
+    return encoded(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

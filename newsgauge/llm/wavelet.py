@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsgauge.llm.common import slices
+from newsgauge.llm.common import Pool, slices
 from newsgauge.session import cut_point, run_dir
 
 MAGIC, BLOCK = b"WMX1", 512
@@ -141,11 +141,7 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.lens, self.pool, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+        self.pool = Pool()
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -154,16 +150,7 @@ class Encoder:
         got = [e.ids for e in self.tokenizer.encode_batch_fast([c if c[0] == "\n" else " " + c for c in chunks], add_special_tokens=False)]
         lens = np.fromiter(map(len, got), np.int64, len(got))
         ids = np.fromiter((i for g in got for i in g), np.uint32, int(lens.sum()))
-        n = len(self.known)
-        while n + len(got) > len(self.starts):
-            self.starts, self.lens = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lens))
-        while self.filled + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        self.pool[self.filled:self.filled + len(ids)] = ids
-        self.lens[n:n + len(got)] = lens
-        self.starts[n:n + len(got)] = self.filled + np.cumsum(lens) - lens
-        self.filled += len(ids)
-        self.known.update(zip(chunks, range(n, n + len(got)), strict=True))
+        self.pool.add(chunks, lens, ids)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
@@ -175,15 +162,13 @@ class Encoder:
             at += n
         codes, distinct = pd.factorize(flat)
         odd = np.array([not c or (len(c) == 1 or c[1].isspace() if c[0] == "\n" else c[0].isspace()) for c in distinct], bool)
-        if len(self.known) + len(distinct) > CACHE:
-            self.clear()
-        new = [c for c, o in zip(distinct, odd, strict=True) if not o and c not in self.known]
+        if len(self.pool.known) + len(distinct) > CACHE:
+            self.pool = Pool()
+        new = [c for c, o in zip(distinct, odd, strict=True) if not o and c not in self.pool.known]
         if new:
             self.learn(new)
-        place = np.array([self.known.get(c, 0) for c in distinct], np.int64)[codes] if len(codes) else codes
-        size = np.where(odd[codes], 0, self.lens[place]) if len(codes) else np.empty(0, np.int64)
-        total = np.cumsum(size)
-        ids = self.pool[np.repeat(self.starts[place] - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)]
+        place = np.array([self.pool.known.get(c, 0) for c in distinct], np.int64)[codes] if len(codes) else codes
+        ids, total = self.pool.unfold(place)
         ends = np.cumsum(lens)
         bad = np.add.reduceat(odd[codes].astype(np.int64), ends - lens) > 0 if len(texts) else []
         cut = np.concatenate(([0], total))
