@@ -1,6 +1,7 @@
 """A corpus pipeline of five stages over `documents`: quality rules, line dedup, near-dedup, decontamination, encoding.
 
-Each stage reads all that the one before kept, and is written as Parquet before the next one starts.
+Each stage reads all that the one before kept, and is written as Parquet before the next one starts. All but the last
+return the columns of documents.
 """
 from __future__ import annotations
 
@@ -17,15 +18,39 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts rid of chunks of lines that occurred before; n_chars is counted anew. A document of which nothing but white space is left goes."""
+    from newsgauge.llm.line_dedup import without_repeats
+    cut = without_repeats(docs)
+    left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    counted = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.filter(left).withColumn("n_chars", counted).select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
     from newsgauge.llm.near_dups import near_groups
-    extra = near_groups(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    extra = cut_point(near_groups(docs).filter(~F.col("kept")).select("doc_id").distinct(), "extra")
     return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup)]
-# The trees of the first stage are fitted, which SQL cannot express; tests hold run() against a brute-force version.
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item was found."""
+    from newsgauge.llm.decontaminate import leaks
+    found = cut_point(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaking")
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text, and whether they decode to it."""
+    import public_tokenizers
+
+    from newsgauge.llm.pieces import encoded
+    return encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("decontamination", decontamination), ("encoding", encoding)]
+# The trees of the first stage are fitted and the last one encodes, which SQL cannot express; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

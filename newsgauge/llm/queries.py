@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from newsgauge.llm.common import table
 from newsgauge.llm.line_dedup import CHECK_SQL as LINE_SQL
+from newsgauge.llm.url_filter import CHECK_SQL as URL_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +32,7 @@ def op5_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(table(spark, folder, "documents"))
 
 
+SQL["op2_url_filter"] = URL_SQL
 SQL["op9_line_dedup"] = LINE_SQL
 
 
@@ -77,3 +79,41 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
     from newsgauge.llm.pieces import encoded
     return encoded(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    from newsgauge.llm.url_filter import judged
+    return judged(table(spark, folder, "pages"), table(spark, folder, "labels"))
+
+
+TOOLS = {
+    "search": {"query": {"type": "string", "required": True}, "limit": {"type": "integer"}},
+    "count": {"text": {"type": "string", "required": True}, "unit": {"type": "string", "enum": ["words", "chars"], "required": True}},
+    "quote": {"turn": {"type": "integer", "required": True}},
+}
+
+
+def with_calls(conversations: DataFrame) -> DataFrame:
+    """The given conversations hold no tool calls, so each user turn gets a call over its own words and each assistant turn answers the turn before.
+
+    Every third conversation has its calls wait for later ones, every seventh for both sides (a circle), and some calls, arguments or answers are at fault.
+    """
+    c, t = F.col("conv_id"), F.col("turn")
+    cid = lambda turn: F.concat(F.lit("c"), c, F.lit("-"), turn)
+    words = F.substring("text", 1, 40)
+    args = (F.when(t % 4 == 0, F.to_json(F.struct(words.alias("query"), (t + 1).alias("limit")))).when(t % 4 == 1, F.to_json(F.struct(words.alias("text"), F.lit("words").alias("unit"))))
+            .when(c % 5 == 0, F.to_json(F.struct(F.lit("two").alias("turn")))).otherwise(F.to_json(F.struct(t.alias("turn")))))
+    name = F.when(c % 11 == 0, "delete").when(t % 4 == 0, "search").when(t % 4 == 1, "count").otherwise("quote")
+    back = F.when((t >= 2) & ((c % 3 != 0) | (c % 7 == 0)), F.concat(F.lit('"'), cid(t - 2), F.lit('"')))
+    on = F.when((c % 3 == 0) | (c % 7 == 0), F.concat(F.lit('"'), cid(t + 2), F.lit('"')))
+    call = F.concat(F.lit('{"tool_call":{"id":"'), cid(t), F.lit('","name":"'), name, F.lit('","arguments":'), args, F.lit(',"after":['), F.concat_ws(",", back, on), F.lit("]}}"))
+    result = F.concat(F.lit('{"tool_result":{"id":"'), cid(t - 1), F.lit('","content":'), F.to_json(F.struct(F.length("text").alias("chars"))), F.lit("}}"))
+    line = F.when(F.col("role") == "user", call).when((F.col("role") == "assistant") & (c % 13 != 0), result)
+    return conversations.withColumn("text", F.concat_ws("\n", "text", line))
+
+
+@query
+def op8_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    from newsgauge.llm.tool_calls import formatted
+    return formatted(with_calls(table(spark, folder, "conversations")), TOOLS)
