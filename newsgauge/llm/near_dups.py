@@ -227,7 +227,9 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     component = lambda of, name: comps.select(F.col("node").alias(of), F.col("component").alias(name))
     named = led.join(component("node", "component"), "node", "left").join(component("a", "component_a"), "a", "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("component"), F.coalesce("component_a", "a").alias("component_a"))
-    mixed = named.join(named.filter("component <> component_a").select("bucket").distinct(), "bucket", "left_semi")
+    named = cut_point(named.filter("node <> a"), "named")                     # every pair with a hub has been compared
+    several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    mixed = named.join(several.select("bucket"), "bucket", "left_semi")
     more = cut_point(block_links(mixed, sets, percent), "links")
     comps = connected(links.union(more)) if not more.isEmpty() else comps
     named = comps.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
