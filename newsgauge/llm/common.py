@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +96,28 @@ def over_texts(docs: DataFrame, columns: list[str], make: Callable[[pa.RecordBat
     return docs.select(*columns).mapInArrow(run, schema)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, packed): texts compressed before they travel to meet a table of ids."""
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=1).compress
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([press(t) for t in raw_texts(b)], pa.binary())], names=["doc_id", "packed"])
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
+
+
+def unpacked(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """(a part of a batch with `packed`, its texts), cut so that the texts of a part hold about `limit` bytes."""
+    unpress = zstandard.ZstdDecompressor().decompress
+    for b in batches:
+        texts, size, start = [], 0, 0
+        for i, t in enumerate(b.column("packed").to_pylist()):
+            texts.append(unpress(t))
+            size += len(texts[-1])
+            if size >= limit or i == b.num_rows - 1:
+                yield b.slice(start, i + 1 - start), texts
+                texts, size, start = [], 0, i + 1
+
+
 def connected(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of every node in `links` (a, b); a component is called by its smallest node.
 

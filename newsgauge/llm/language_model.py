@@ -11,12 +11,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsgauge.llm.common import raw_texts, slices
+from newsgauge.llm.common import packed, raw_texts, slices, unpacked
 from newsgauge.session import cut_point
 
 ORDER, HEAVY, SLICE, HELD = 5, 300_000, 1 << 20, 3_000_000
@@ -48,39 +47,23 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(key, n) of the longest grams of the trusted documents. Texts travel compressed to meet their labels."""
-    def pack(batches):
-        press = zstandard.ZstdCompressor(level=1).compress
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([press(t) for t in raw_texts(b)], pa.binary())], names=["doc_id", "text"])
-
     def count(batches):
-        keys, counts, held, size, texts = [], [], 0, 0, []
-        unpress = zstandard.ZstdDecompressor().decompress
-
-        def take() -> None:
-            nonlocal texts, size, keys, counts, held
+        keys, counts, held = [], [], 0
+        for _, texts in unpacked(batches, SLICE):
             buf, places, _ = padded(texts)
             k, c = summed([keys_at(buf, places, ORDER)], [np.ones(len(places))])
-            keys, counts, held, texts, size = [*keys, k], [*counts, c], held + len(k), [], 0
+            keys, counts, held = [*keys, k], [*counts, c], held + len(k)
             if held > HELD:
                 k, c = summed(keys, counts)
                 keys, counts, held = [k], [c], len(k)
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                texts.append(unpress(t))
-                size += len(texts[-1])
-                if size >= SLICE:
-                    take()
-                if held > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0])], names=["key", "n"])
-                    keys, counts, held = [], [], 0
-        if texts:
-            take()
+            if held > HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["key", "n"])
+                keys, counts, held = [], [], 0
         if keys:
             k, c = summed(keys, counts)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["key", "n"])
-    mine = docs.select("doc_id", "text").mapInArrow(pack, "doc_id long, text binary").join(trusted.select("doc_id"), "doc_id")
-    return mine.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    mine = packed(docs).join(trusted.select("doc_id"), "doc_id")
+    return mine.select("packed").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def byte_tail(key, length: int, tag: int):

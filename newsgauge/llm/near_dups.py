@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsgauge.llm.common import connected, hash_words, mix, numbered_words, over_texts, raw_texts, slices, window_hashes
+from newsgauge.llm.common import connected, hash_words, mix, numbered_words, over_texts, packed, raw_texts, unpacked, window_hashes
 from newsgauge.session import cut_point
 
 BUCKET_BITS, MANTISSA, BAND_ROWS = 7, 10, 4
@@ -138,13 +138,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the classes in `wanted` (node, doc_id, digest), made from the text of the class's first document."""
     def make(batches):
-        for part in slices(batches):
-            sets = shingle_sets(raw_texts(part))
+        for part, texts in unpacked(batches):
+            sets = shingle_sets(texts)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             right = [i for i, (d, w) in enumerate(zip(digest, part.column("digest").to_pylist(), strict=True)) if d == w]
             yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(right, pa.int64())), pa.array([sets[i].tobytes() for i in right], pa.binary())],
                                              names=["node", "shingles"])
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "digest", "text").mapInArrow(make, "node long, shingles binary")
+    return packed(docs).join(wanted, "doc_id").select("node", "digest", "packed").mapInArrow(make, "node long, shingles binary")
 
 
 def cross_links(a: dict, b: dict, percent: int) -> list[tuple[int, int]]:
