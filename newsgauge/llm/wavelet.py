@@ -11,6 +11,7 @@ import os
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from newsgauge.llm.common import Pool, slices
 from newsgauge.session import cut_point, run_dir
 
 MAGIC, BLOCK = b"WMX1", 512
-SHARD_TOKENS, CACHE = 2_000_000, 400_000
+SHARD_TOKENS, CACHE = 2_000_000, 1_000_000
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard string"
 
 
@@ -134,23 +135,38 @@ class Wavelet:
 
 class Encoder:
     """Whole texts to ids. A blank before a word or a line break before one always ends the piece before, so such chunks are
-    encoded once and looked up; texts in which white space meets white space there are encoded whole."""
+    encoded once and looked up; texts in which white space meets white space there are encoded whole. New chunks are encoded as
+    one text: only a chunk's first piece begins with a blank or a line break, which tells them apart again."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pool = Pool()
+        words = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.first = np.zeros(max(words.values()) + 1, bool)
+        self.first[[i for w, i in words.items() if w[0] in "\u0120\u010a"]] = True          # how the vocabulary spells blank and line break
+        self.clear()
+
+    def clear(self) -> None:
+        self.pool, self.odd = Pool(), np.zeros(1024, bool)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def learn(self, chunks: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([c if c[0] == "\n" else " " + c for c in chunks], add_special_tokens=False)]
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for g in got for i in g), np.uint32, int(lens.sum()))
+        odd = np.array([not c or (len(c) == 1 or c[1].isspace() if c[0] == "\n" else c[0].isspace()) for c in chunks], bool)
+        plain = [c if c[0] == "\n" else " " + c for c, o in zip(chunks, odd, strict=True) if not o]
+        joined = ["".join(plain[i:i + 1000]) for i in range(0, len(plain), 1000)]
+        got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate([*got, np.empty(0, np.uint32)])
+        lens = np.zeros(len(chunks), np.int64)
+        lens[~odd] = np.diff(np.flatnonzero(self.first[ids]), append=len(ids))
+        n = len(self.pool.known)
         self.pool.add(chunks, lens, ids)
+        if len(self.odd) < len(self.pool.starts):
+            self.odd = np.concatenate((self.odd, np.zeros(len(self.pool.starts) - len(self.odd), bool)))
+        self.odd[n:n + len(chunks)] = odd
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
@@ -161,20 +177,27 @@ class Encoder:
             flat[at:at + n] = chunks
             at += n
         codes, distinct = pd.factorize(flat)
-        odd = np.array([not c or (len(c) == 1 or c[1].isspace() if c[0] == "\n" else c[0].isspace()) for c in distinct], bool)
         if len(self.pool.known) + len(distinct) > CACHE:
-            self.pool = Pool()
-        new = [c for c, o in zip(distinct, odd, strict=True) if not o and c not in self.pool.known]
-        if new:
-            self.learn(new)
-        place = np.array([self.pool.known.get(c, 0) for c in distinct], np.int64)[codes] if len(codes) else codes
+            self.clear()
+        place = np.array([self.pool.known.get(c, -1) for c in distinct], np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = len(self.pool.known) + np.arange(len(new))
+            self.learn(list(distinct[new]))
+        place = place[codes]
         ids, total = self.pool.unfold(place)
         ends = np.cumsum(lens)
-        bad = np.add.reduceat(odd[codes].astype(np.int64), ends - lens) > 0 if len(texts) else []
+        bad = np.add.reduceat(self.odd[place].astype(np.int64), ends - lens) > 0 if len(texts) else []
         cut = np.concatenate(([0], total))
         return [self.whole(t) if b else ids[cut[e - n] + 1:cut[e]] for t, b, e, n in zip(texts, bad, ends, lens, strict=True)]   # the first id is the added line break
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder for each Python worker, so that what it has learned serves later tasks too."""
+    return Encoder(path)
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str, vocabulary: int = 50_257, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write docs (doc_id, text) as shard files under `path`; returns the manifest (part, seq, file, n_docs, n_tokens, before).
 
@@ -187,7 +210,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, vocabulary: int = 5
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
 
     def run(batches):
-        encode, seq, ids, names = Encoder(tokenizer), 0, [], []
+        encode, seq, ids, names = encoder(tokenizer), 0, [], []
         store, base = fs.FileSystem.from_uri(path)
         end = np.array([end_id], np.uint32)
 
