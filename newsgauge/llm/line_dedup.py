@@ -14,7 +14,7 @@ from newsgauge.session import cut_point
 
 LONG_WORDS = 50
 ENDS_BELOW = "4"           # a chunk ends where the rolling hash's first hex digit is below this: one line in four
-WORD = r"[^\x20\x09-\x0D]+"
+BLANKS, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 
 
 def lines_of(text: Column) -> Column:
@@ -27,10 +27,12 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def chunked(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
-    """docs with `_key` (a hash of the text) and `_chunks`, the array of its chunks; joined by line breaks they give the text."""
+    """docs with `_key` (a hash of the text) and `_chunks`: each chunk and whether a later copy of it goes, which takes two lines with a
+    word or one line of `long_words` words. Joined by line breaks the chunks give the text."""
     d = once(docs.withColumn("_key", F.xxhash64("text")), "_lines", lines_of(F.col("text")))
-    long = lambda x: (F.length(x) >= 2 * long_words - 1) & (F.regexp_count(x, F.lit(WORD)) >= long_words)
-    d = once(d, "_facts", F.transform("_lines", lambda x: F.struct(F.md5(x).alias("h"), long(x).alias("long"))))
+    many = rf"^{BLANKS}*+(?:{WORD}++{BLANKS}++){{{long_words - 1}}}{WORD}"       # read once from the start, and only up to the last word needed
+    long = lambda x: (F.length(x) >= 2 * long_words - 1) & x.rlike(many)
+    d = once(d, "_facts", F.transform("_lines", lambda x: F.struct(F.md5(x).alias("h"), long(x).alias("long"), x.rlike(WORD).alias("rich"))))
     facts, n = F.col("_facts"), F.size("_facts")
 
     def ends(i: Column) -> Column:
@@ -39,20 +41,19 @@ def chunked(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
         return (i == n - 1) | alone | (F.substring(F.md5(F.concat(before, F.get(facts, i)["h"])), 1, 1) < ENDS_BELOW)
     d = once(d, "_ends", F.filter(F.sequence(F.lit(0), n - 1), ends))
     start = lambda i: F.when(i > 0, F.get(F.col("_ends"), i - 1) + 1).otherwise(F.lit(0))
-    cut = F.transform("_ends", lambda e, i: F.array_join(F.slice(F.col("_lines"), start(i) + 1, e - start(i) + 1), "\n"))
-    return once(d, "_chunks", cut).drop("_lines", "_facts", "_ends")
+    part = lambda c, e, i: F.slice(F.col(c), start(i) + 1, e - start(i) + 1)
 
-
-def removable(chunk: Column, long_words: int = LONG_WORDS) -> Column:
-    """Two lines with a word or more, or one line of `long_words` words."""
-    several = F.regexp_count(F.concat(F.lit("\n"), chunk), F.lit(r"\n[^\n]*?[^\x20\x09-\x0D]")) >= 2
-    return several | ((F.instr(chunk, "\n") == 0) & (F.length(chunk) >= 2 * long_words - 1) & (F.regexp_count(chunk, F.lit(WORD)) >= long_words))
+    def chunk(e: Column, i: Column) -> Column:
+        several = F.size(F.filter(part("_facts", e, i), lambda f: f["rich"])) >= 2
+        removable = several | ((e == start(i)) & F.get(facts, e)["long"])
+        return F.struct(F.array_join(part("_lines", e, i), "\n").alias("chunk"), removable.alias("removable"))
+    return once(d, "_chunks", F.transform("_ends", chunk)).drop("_lines", "_facts", "_ends")
 
 
 def repeated_chunks(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     """(doc_id, _key, drop): the places of the chunks of each document that occurred before. Only those documents are returned."""
-    rows = chunked(docs.select("doc_id", "text"), long_words).select("doc_id", "_key", F.posexplode("_chunks").alias("pos", "chunk")).filter(
-        removable(F.col("chunk"), long_words)).withColumn("digest", F.xxhash64("chunk"))
+    rows = chunked(docs.select("doc_id", "text"), long_words).select("doc_id", "_key", F.posexplode("_chunks").alias("pos", "x")).filter("x.removable").select(
+        "doc_id", "_key", "pos", F.col("x.chunk").alias("chunk"), F.xxhash64("x.chunk").alias("digest"))
     again = cut_point(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "repeated")
     copies = cut_point(rows.join(again, "digest", "left_semi"), "copies")
     place = F.struct("doc_id", "_key", "pos")
@@ -72,7 +73,7 @@ def without_repeats(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     d = chunked(d.join(drop, d["doc_id"].eqNullSafe(drop["_id"]) & (d["_key"] == drop["_at"]), "left").drop("_id", "_at"), long_words)
     held = F.filter("_chunks", lambda c, i: ~F.array_contains("_drop", i))
     names = [c for c in docs.columns if c not in ("text", "n_chunks", "n_removed")]
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(held, "\n"))
+    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(held, lambda c: c["chunk"]), "\n"))
     return d.select(*names, text.alias("text"), F.size("_chunks").cast("long").alias("n_chunks"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"))
 
 

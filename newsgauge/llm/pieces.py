@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from newsgauge.llm.common import Pool, slices
 
 BLANK = "▁"
-CACHE, SHORT, SLICE = 400_000, 48, 8 << 20
+CACHE, SHORT, SLICE, INDEXED = 300_000, 48, 4 << 20, 30_000
 ENCODED = "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean"
 
 
@@ -239,8 +239,8 @@ class Coder:
         if len(self.pool.known) + len(distinct) > CACHE:
             self.pool = Pool()
         new = [s for s in distinct if s not in self.pool.known]
-        if new:
-            self.pool.add(new, *encode_segments(new, self.pieces))
+        for k in range(0, len(new), INDEXED):                               # one suffix array holds so many segments
+            self.pool.add(new[k:k + INDEXED], *encode_segments(new[k:k + INDEXED], self.pieces))
         place = np.fromiter((self.pool.known[s] for s in distinct), np.int64, len(distinct))
         ids, ends = self.pool.unfold(place[codes] if len(codes) else np.empty(0, np.int64))
         return ids, np.concatenate(([0], ends))[np.cumsum(lens)]

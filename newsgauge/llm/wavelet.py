@@ -26,7 +26,7 @@ from newsgauge.llm.common import Pool, slices
 from newsgauge.session import cut_point, run_dir
 
 MAGIC, BLOCK = b"WMX1", 512
-SHARD_TOKENS, CACHE = 2_000_000, 1_000_000
+SHARD_TOKENS, CACHE = 2_000_000, 700_000
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard string"
 
 
