@@ -12,7 +12,6 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from newsgauge.llm.common import Pool, slices
 
 BLANK = "▁"
-CACHE, SHORT, SLICE, INDEXED = 300_000, 48, 4 << 20, 30_000
+CACHE, SHORT, SLICE, INDEXED = 150_000, 48, 2 << 20, 15_000
 ENCODED = "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean"
 
 
@@ -246,12 +245,6 @@ class Coder:
         return ids, np.concatenate(([0], ends))[np.cumsum(lens)]
 
 
-@lru_cache(maxsize=2)
-def coder_of(path: str) -> Coder:
-    """One coder for each Python worker, so that segments met in one task are known in the next."""
-    return Coder(path)
-
-
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, n_pieces, ids_crc32 (of little-endian 32-bit ids), round_trip (decoding gives the text) of every row of docs (doc_id, text).
 
@@ -259,7 +252,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     Where the model's own rules change a text before encoding, round_trip compares with the changed text.
     """
     def run(batches):
-        coder = coder_of(path)
+        coder = Coder(path)                                                  # goes with the task, and its memory too
         for b in slices(batches, limit=SLICE):
             texts = [t or "" for t in b.column("text").to_pylist()]
             ids, ends = coder.encode(texts)
