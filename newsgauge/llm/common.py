@@ -1,6 +1,8 @@
 """Helpers of the text operators: bounded slices of Arrow batches, words as numbers, 64-bit hashes, links to components."""
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -22,6 +24,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):                       # a C library without it keeps its memory
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each slice holds about `limit` bytes of text; a longer single text is a slice of its own."""
     for batch in batches:
@@ -32,6 +41,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
         starts = np.flatnonzero(np.diff(part, prepend=-1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+        trim()
 
 
 def raw_texts(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
