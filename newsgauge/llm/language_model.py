@@ -1,6 +1,6 @@
 """Quality by an interpolated modified Kneser-Ney model of bytes, trained on trusted text.
 
-The model's grams are runs of up to five bytes, so a gram is its own 64-bit key and nothing is hashed. Counts are taken over
+The model's grams are runs of up to four bytes, so a gram is its own 64-bit key and nothing is hashed. Counts are taken over
 every trusted document, combined per task, and summed by key; lower orders count distinct left neighbours. A text's log
 probability is a plain sum over its places of one weight per gram: what the gram adds over its back-off, and the back-off
 mass it has as a context. So grams can be looked up apart. Those with at least 1/HEAVY of all places are at most HEAVY per
@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from newsgauge.llm.common import packed, raw_texts, slices, unpacked
 from newsgauge.session import cut_point
 
-ORDER, HEAVY, SLICE, HELD = 5, 300_000, 1 << 20, 3_000_000
+ORDER, HEAVY, SLICE, HELD = 4, 500_000, 2 << 20, 3_000_000
 ALPHABET = 257
 HOLD_OUT = 5               # every fifth trusted document is kept out of training and sets the thresholds
 LOOKED = "rid long, doc_id long, lang string, places long, score double, key long, docs binary"
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes with four zero bytes before each text and a one after it, the places that are scored, text of each place)."""
+    """(bytes with zero bytes before each text and a one after it, the places that are scored, text of each place)."""
     buf = np.frombuffer(b"".join(b"\0" * (ORDER - 1) + t + b"\1" for t in texts), np.uint8).astype(np.int64)
     lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     text = np.repeat(np.arange(len(texts)), lens)
@@ -164,7 +164,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, heavy: int = HEAVY) -> Dat
     weights = train(gram_counts(docs, trusted))
     places = weights.groupBy(F.shiftright("key", 56).alias("order")).agg(F.sum("seen").alias("n")).agg(F.max("n").alias("n")).first().n or 0
     often = weights.filter(F.col("seen") >= F.lit(max(places / heavy, 1.0)))
-    top = often.toPandas().sort_values("key")                                # at most `heavy` for each of five orders
+    top = often.toPandas().sort_values("key")                                # at most `heavy` for each order
     start = float(-np.log(ALPHABET))
     top_context = weights.filter(F.col("key") == F.lit(0)).select("weight").first()          # the empty context
     start += top_context.weight if top_context else 0.0
