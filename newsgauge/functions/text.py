@@ -33,7 +33,7 @@ def parse_quotes(raw: Column) -> Column:
     Items may be in single or double quotes, with backslash escapes.
     """
     t = F.trim(F.coalesce(raw, F.lit("")))
-    item = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+    item = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""       # possessive: long quotes need no stack
     whole = r"(?s)^\[\s*(?:" + item + r")(?:\s*,\s*(?:" + item + r"))*\s*,?\s*\]$"
     found = F.regexp_extract_all(t, F.lit(item), F.lit(0))
     bare = F.transform(found, lambda q: F.trim(F.regexp_replace(F.substring(q, F.lit(2), F.length(q) - 2), r"\\(.)", "$1")))

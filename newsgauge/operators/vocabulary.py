@@ -113,9 +113,8 @@ def term_scores(posts: DataFrame, source_terms: DataFrame, smoothing: float = 0.
     source_posts = per_source.groupBy("event_id", "source_name").agg(F.sum("n").alias("source_posts"))
     group_totals = groups.groupBy("media_group", "same_method").agg(F.sum("group_posts").alias("group_posts_all"))
     event_totals = groups.groupBy("event_id").agg(F.sum("group_posts").alias("event_posts"))
-    # One shuffle, on the term alone: the group's figures and both totals of a term are then on one task.
-    # A term has at most one row per event and source here, however many posts carry it.
-    by_term = source_terms.join(source_posts, ["event_id", "source_name"]).repartition(*TERM)
+    # Sums by place and term combine before the shuffle, so that a term of all events and sources is in no one task.
+    by_term = source_terms.join(source_posts, ["event_id", "source_name"])
     all_terms = by_term.groupBy(*PLACE, *TERM).agg(
         F.sum("posts_with_term").alias("posts_with_term"), F.count(F.lit(1)).alias("sources_with_term"), F.sum("term_uses").alias("term_uses"),
         F.max(F.col("posts_with_term").cast("double") / F.col("source_posts")).alias("max_share_within_one_source"),

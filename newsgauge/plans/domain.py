@@ -270,7 +270,7 @@ class Domain:
     @cached_property
     def texts(self) -> DataFrame:
         """Documents as posts: the language is the event; every second post is signed by its channel."""
-        number = F.substring("source", 4, 9).cast("int")
+        number = F.expr("substring(source, 4)").cast("int")
         signed = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" read more | "), F.col("source"))).otherwise("")
         return self.table("documents").select(
             F.col("lang").alias("event_id"), F.concat("lang", F.when(F.col("lang").isin("en", "fr"), "_fulltext").otherwise("")).alias("event_slug"),
@@ -396,7 +396,7 @@ class Domain:
         def several(n, build):
             return F.transform(F.slice(F.array(F.lit(1), F.lit(2), F.lit(3)), F.lit(1), n.cast("int")), build)
 
-        g = F.substring("source", 4, 9).cast("int") % 5
+        g = F.expr("substring(source, 4)").cast("int") % 5
         statuses = ["asserted"] * 5 + ["attributed", "attributed", "hedged", "denied", "questioned"]
         quote = F.substring(F.col("text"), (h("q", 40) + 1).cast("int"), F.lit(40))
         broken = F.concat(F.substring(quote, 1, 10), F.lit(" zzz "), F.substring(quote, 16, 25))

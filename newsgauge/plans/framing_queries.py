@@ -186,8 +186,11 @@ sql_view("x_chi", """with c as (select event, dimension, category, media_group,
   y as (select *, abs(o - e) - case when (nr - 1) * (nc - 1) = 1 then least(0.5::double, abs(o - e)) else 0 end as d from g)
   select event, dimension, t::bigint as n, sum(d * d / e) as chi2, (nr - 1) * (nc - 1) as dof, sqrt(sum(d * d / e) / (t * (least(nr, nc) - 1))) as v, min(e) as min_expected, avg((e < 5)::int) as share_below_5
   from y group by event, dimension, t, nr, nc""")
-# P(X >= chi2): closed forms for even and odd degrees of freedom; erfc by its series is left to the tests.
-sql_view("x_tests", """select *, exp(-chi2 / 2) * (select sum(pow(chi2 / 2, i) / factorial(i::int)) from range(0, 30) r(i) where i < dof // 2) as p from x_chi where dof % 2 = 0""")
+# P(X >= chi2). Even degrees: a finite sum. Odd: erfc(z) with z = sqrt(chi2 / 2), from the series of erf with positive terms only, and a finite sum.
+sql_view("x_tests", """select *, case when chi2 <= 0 then 1.0 when chi2 > 600 then 0.0
+  when dof % 2 = 0 then exp(-chi2 / 2) * (select sum(pow(chi2 / 2, i) / factorial(i::int)) from range(0, 30) r(i) where i < dof // 2)
+  else greatest(0.0, 1 - 2 / sqrt(pi()) * (select sum(exp(2 * n * ln(2) + (2 * n + 1) * ln(sqrt(chi2 / 2)) - lgamma(2 * n + 2) + lgamma(n + 1) - chi2 / 2)) from range(0, 900) r(n)))
+    + sqrt(2 * chi2 / pi()) * exp(-chi2 / 2) * coalesce((select sum(exp((j - 1) * ln(chi2) - lgamma(2 * j + 1) + j * ln(2) + lgamma(j + 1))) from range(1, 60) r(j) where j <= (dof - 1) // 2), 0) end as p from x_chi""")
 sql_view("x_holm", """with r as (select *, row_number() over (partition by event order by p, dimension) as k, count(*) over (partition by event) as m from x_tests)
   select *, max(least(1, (m - k + 1) * p)) over (partition by event order by p, dimension rows unbounded preceding) as p_holm from r""")
 
@@ -206,19 +209,19 @@ def _(d):
     return CT.chi_square(_dims(d))
 
 
-def _even(d):
-    return CT.with_p(CT.chi_square(_dims(d)).filter("dof % 2 = 0"))
+def _tests(d):
+    return CT.with_p(CT.chi_square(_dims(d)))
 
 
 @query("frm_holm", "select event, dimension, chi2, dof, p, p_holm from x_holm", "chi2 p p_holm", digits=7)
 def _(d):
-    return CT.holm(_even(d)).select("event", "dimension", "chi2", "dof", "p", "p_holm")
+    return CT.holm(_tests(d)).select("event", "dimension", "chi2", "dof", "p", "p_holm")
 
 
 @query("frm_association_leaderboard", """select event, dimension, n, dof, v, p_holm, share_below_5 > 0.2 as thin, case when p_holm < 0.001 then '***' when p_holm < 0.01 then '**' when p_holm < 0.05 then '*' else 'ns' end as stars,
   row_number() over (partition by event order by round(v, 12) desc, dimension) as place from x_holm""", "v p_holm", digits=7)
 def _(d):
-    return CT.leaderboard(_even(d)).select("event", "dimension", "n", "dof", "v", "p_holm", "thin", "stars", "place")
+    return CT.leaderboard(_tests(d)).select("event", "dimension", "n", "dof", "v", "p_holm", "thin", "stars", "place")
 
 
 @query("frm_distributions", f"""with roles as (select event, media_group, 'role' as field, role as value, count(*)::double / sum(count(*)) over (partition by event, media_group) as share from x_men group by event, media_group, role),

@@ -71,7 +71,7 @@ def _(d):
 
 def _config(d, rows, key):
     """Sources listed under a key in lists of at most a thousand, as a config file would name them."""
-    number = F.substring("source_name", 2, 20).cast("long")
+    number = F.expr("substring(source_name, 2)").cast("long")
     return rows.groupBy(key, F.floor(number / 1000).alias("part")).agg(F.array_sort(F.collect_list("source_name")).alias("sources"))
 
 

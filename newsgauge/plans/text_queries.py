@@ -217,7 +217,7 @@ sql_view("x_turn", """select doc_id, g, cost, turn, row_number() over (order by
 
 
 def _turns(d):
-    rows = d.table("documents").select("doc_id", F.concat(F.lit("g"), F.substring("source", 4, 9).cast("int") % 5).alias("g"), T.estimated_tokens(F.col("text")).alias("cost"))
+    rows = d.table("documents").select("doc_id", F.concat(F.lit("g"), F.expr("substring(source, 4)").cast("int") % 5).alias("g"), T.estimated_tokens(F.col("text")).alias("cost"))
     return X.interleave(rows, "g", "doc_id")
 
 

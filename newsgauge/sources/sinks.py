@@ -41,8 +41,8 @@ def detail_bundles(events: DataFrame, parts: Mapping[str, DataFrame]) -> DataFra
 
 
 def write_partitioned(df: DataFrame, path: str, by: str, fmt: str = "json") -> str:
-    """One folder per value; rows of one value are brought together first, so files stay few."""
-    df.repartition(by).write.partitionBy(by).format(fmt).save(path)
+    """One folder per value; rows of one value are brought together first, so files stay few, and a large value is split over tasks."""
+    df.hint("rebalance", by).write.partitionBy(by).format(fmt).save(path)
     return path
 
 

@@ -74,3 +74,9 @@ def test_dates(spark):
     phrases = [("Опрос «Х» 14–16 марта.", 2025), ("Опрос 28–30 декабря 2024 г..", 2025), ("нет", 2025), ("Опрос 31 кабря.", 2025)]
     found = values(spark, phrases, "t string, y int", D.survey_week_from_phrase(F.col("t"), F.col("y")))
     assert [tuple(r[0]) if r[0] else None for r in found] == [date(2025, 3, 16).isocalendar()[:2], date(2024, 12, 30).isocalendar()[:2], None, None]
+
+
+def test_long_quotes_are_parsed(spark):
+    from newsgauge.functions.text import parse_quotes
+    got = spark.createDataFrame([("['" + "x" * 20_000 + "', \"it's\"]",)], "t string").select(parse_quotes(F.col("t")).alias("q")).first().q
+    assert [len(x) for x in got] == [20_000, 4]
