@@ -90,8 +90,8 @@ def train(longest: DataFrame) -> DataFrame:
     for m in range(1, ORDER + 1):
         t = tables[m].withColumn("context", byte_head(F.col("key"), m))
         kinds = t.agg(*[F.count(F.when(F.col("c") == i, 1)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        cut = lambda i: F.coalesce(F.greatest(F.least(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(i - 0.05)), F.lit(0.05)), F.lit(0.5))
+        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+        cut = lambda i: F.coalesce(F.greatest(F.least(i - (i + 1) * y * F.try_divide(f"n{i + 1}", f"n{i}"), F.lit(i - 0.05)), F.lit(0.05)), F.lit(0.5))
         cuts = cut_point(kinds.select(cut(1).alias("d1"), cut(2).alias("d2"), cut(3).alias("d3")), "discounts").first()
         d = F.when(F.col("c") == 1, cuts.d1).when(F.col("c") == 2, cuts.d2).otherwise(cuts.d3)
         contexts = t.groupBy("context").agg(F.sum("c").alias("total"), F.sum(d).alias("left")).withColumn("back", F.col("left") / F.col("total"))
