@@ -62,7 +62,7 @@ def gram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         if keys:
             k, c = summed(keys, counts)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["key", "n"])
-    mine = packed(docs).join(trusted.select("doc_id"), "doc_id")
+    mine = packed(docs).join(trusted.select("doc_id").hint("merge"), "doc_id")           # ids have no bound, so they are not sent to every task
     return mine.select("packed").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
@@ -133,7 +133,7 @@ def lookups(docs: DataFrame, heavy_keys: np.ndarray, heavy_weights: np.ndarray,
                 which, doc = pair // len(texts), pair % len(texts)
                 cuts = np.flatnonzero(np.diff(which, prepend=-1))
                 held = np.column_stack([doc + task + at, times]).astype("<i8")
-                rest += [(int(distinct[which[a]]), held[a:z].tobytes()) for a, z in zip(cuts, [*cuts[1:], len(which)], strict=True)]
+                rest += [(int(distinct[which[a]]), held[a:z].tobytes()) for a, z in zip(cuts, [*cuts[1:], len(which)][:len(cuts)], strict=True)]
             none = lambda k, kind: pa.nulls(k, kind)
             rows, k = len(texts), len(rest)
             yield pa.RecordBatch.from_arrays([

@@ -144,7 +144,7 @@ def set_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             right = [i for i, (d, w) in enumerate(zip(digest, part.column("digest").to_pylist(), strict=True)) if d == w]
             yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(right, pa.int64())), pa.array([sets[i].tobytes() for i in right], pa.binary())],
                                              names=["node", "shingles"])
-    return packed(docs).join(wanted, "doc_id").select("node", "digest", "packed").mapInArrow(make, "node long, shingles binary")
+    return packed(docs).join(wanted.hint("merge"), "doc_id").select("node", "digest", "packed").mapInArrow(make, "node long, shingles binary")
 
 
 def cross_links(a: dict, b: dict, percent: int) -> list[tuple[int, int]]:

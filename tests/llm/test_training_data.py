@@ -229,7 +229,7 @@ def test_pipeline_keeps_columns_and_decides(spark, tmp_path, docs, labels):
     import corpus_pipeline as C
     item = words(30, 55, 5000)
     more = [(50 + i, words(100, 100 + i), "en", "s", 0) for i in range(20)] + [(90, words(50, 200) + " " + item, "en", "s", 0)]
-    d = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long"))
+    d = docs.filter("doc_id is not null").select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long"))
     d.write.parquet(f"{tmp_path}/documents.parquet")
     labels.filter("quality = 1").write.parquet(f"{tmp_path}/labels.parquet")          # one kind only: no trees, the base rules decide
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
