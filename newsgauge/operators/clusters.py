@@ -7,10 +7,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsgauge.session import cut_point
 
-def kmeans_by_silhouette(vectors: DataFrame, ident: str, vector: str, lo: int = 3, hi: int = 12, seed: int = 0) -> DataFrame:
+
+def kmeans_by_silhouette(vectors: DataFrame, ident: str, vector: str, lo: int = 3, hi: int = 14, seed: int = 0) -> DataFrame:
     """Labels of the k with the highest cosine silhouette, with k and the silhouette on every row."""
-    data = vectors.select(ident, array_to_vector(F.col(vector)).alias("features"))
+    data = cut_point(vectors.select(ident, array_to_vector(F.col(vector)).alias("features")), "features")
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", distanceMeasure="cosine")
     best = None
     for k in range(lo, hi + 1):

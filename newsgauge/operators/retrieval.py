@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from newsgauge.operators.scaling import rank_by_score
 from newsgauge.session import summary
 
+# Up to this many rows per key Spark cuts a ranking to its first rows before the shuffle.
+LIMITED = 1000
+
 
 def keyword_search(posts: DataFrame, start: str, end_exclusive: str, terms: Mapping[str, Sequence[str]], limit: int) -> DataFrame:
     """Browse candidates: posts of a window with any of the terms in the named columns, earliest first."""
@@ -45,50 +48,30 @@ def _score_block(ids, matrix: np.ndarray, asked: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"event_id": [], "id": [], "score": [], "probe": []})
 
 
-def probe_scores(vectors: DataFrame, probes: DataFrame, window: str, ident: str, vector: str, rows_per_block: int = 4096,
-                 max_shared_values: int = 16_000_000) -> DataFrame:
-    """The best probe of every event for every vector of the event's window, as (event, id, score, probe).
+def probe_scores(vectors: DataFrame, probes: DataFrame, window: str, ident: str, vector: str, rows_per_block: int = 4096, probes_per_block: int = 256) -> DataFrame:
+    """The best probe of every event for every vector of the event's window, as (event_id, id, score, probe); ties go to the smaller probe.
 
-    Vectors and probes must be unit length. Events sharing a window share the read. Probes are counted
-    first: up to `max_shared_values` numbers (128 MB) they go to every task and the vectors never move;
-    beyond that vectors are dealt into blocks that meet their window's probes (see probe_scores_in_blocks).
+    Vectors and probes must be unit length. Both are dealt into blocks of their window, each block of vectors meets
+    each block of probes as one matrix product, and the best probes of the blocks are combined.
     """
-    asked = probes.select(F.col(window).alias("window"), "event_id", "probe", "probe_vector")
-    numbers = asked.agg(F.sum(F.size("probe_vector")).alias("n")).first()["n"] or 0
-    if numbers > max_shared_values:
-        return probe_scores_in_blocks(vectors, probes, window, ident, vector, rows_per_block)
-    shared = vectors.sparkSession.sparkContext.broadcast(asked.toPandas())
-    kinds = dict(asked.dtypes) | {"id": dict(vectors.dtypes)[ident]}
-    schema = f"event_id {kinds['event_id']}, id {kinds['id']}, score double, probe {kinds['probe']}"
-
-    def score(batches):
-        by_window = dict(list(shared.value.groupby("window")))
-        for batch in batches:
-            for w, rows in batch.groupby("_w"):
-                if w in by_window:
-                    for i in range(0, len(rows), rows_per_block):
-                        part = rows.iloc[i:i + rows_per_block]
-                        yield _score_block(part["_id"].to_numpy(), np.stack(part["_v"].to_numpy()), by_window[w])
-
-    return vectors.select(F.col(window).alias("_w"), F.col(ident).alias("_id"), F.col(vector).alias("_v")).mapInPandas(score, schema)
-
-
-def probe_scores_in_blocks(vectors: DataFrame, probes: DataFrame, window: str, ident: str, vector: str, rows_per_block: int = 4096) -> DataFrame:
-    """probe_scores for probe sets too large to share: a crowded window is many blocks, each with a copy of its probes."""
-    sizes = summary(vectors.groupBy(window).agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("_nb")))
-    dealt = vectors.join(sizes, window).select(F.col(window).alias("_w"), F.col(ident).alias("_id"), F.col(vector).alias("_v"),
-                                               F.pmod(F.xxhash64(ident), F.col("_nb")).cast("int").alias("_b"))
-    copies = probes.join(sizes, window).select(
-        F.col(window).alias("_pw"), F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_pb"), "event_id", "probe", "probe_vector")
-    kinds = dict(copies.dtypes) | dict(dealt.dtypes)
+    count = lambda rows, per, name: rows.groupBy(window).agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias(name))
+    grid = summary(count(vectors, rows_per_block, "_nv").join(count(probes, probes_per_block, "_np"), window))
+    block = lambda n, *of: F.pmod(F.xxhash64(*of), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = vectors.join(grid, window).select(
+        F.col(window).alias("_w"), F.col(ident).alias("_id"), F.col(vector).alias("_v"), block("_nv", ident).alias("_b"), every("_np").alias("_p"))
+    asked = probes.join(grid, window).select(
+        F.col(window).alias("_pw"), every("_nv").alias("_pb"), block("_np", "event_id", "probe").alias("_pp"), "event_id", "probe", "probe_vector")
+    kinds = dict(asked.dtypes) | dict(dealt.dtypes)
     schema = f"event_id {kinds['event_id']}, id {kinds['_id']}, score double, probe {kinds['probe']}"
 
-    def best(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if block.empty or asked.empty:
+    def best(rows: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or mine.empty:
             return pd.DataFrame({"event_id": [], "id": [], "score": [], "probe": []})
-        return _score_block(block["_id"].to_numpy(), np.stack(block["_v"].to_numpy()), asked)
+        return _score_block(rows["_id"].to_numpy(), np.stack(rows["_v"].to_numpy()), mine)
 
-    return dealt.groupBy("_w", "_b").cogroup(copies.groupBy("_pw", "_pb")).applyInPandas(best, schema)
+    partial = dealt.groupBy("_w", "_b", "_p").cogroup(asked.groupBy("_pw", "_pb", "_pp")).applyInPandas(best, schema)
+    return partial.groupBy("event_id", "id").agg(F.max("score").alias("score"), F.min_by("probe", F.struct(-F.col("score"), F.col("probe"))).alias("probe"))
 
 
 def pool_fragments(scores: DataFrame, fragments: DataFrame, owners: DataFrame) -> DataFrame:
@@ -101,6 +84,9 @@ def candidates(scores: DataFrame, keys: Sequence[str], score: str, ident: str, t
                lo: float = -1.0, hi: float = 1.0) -> DataFrame:
     """Posts in score order, ties by id, above the floor and within the first K."""
     kept = scores if floor is None else scores.filter(F.col(score) >= floor)
+    if top_k is not None and top_k <= LIMITED:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), ident))
+        return kept.withColumn("rank", place).filter(F.col("rank") <= top_k).withColumn("rank", F.col("rank").cast("long"))
     ranked = rank_by_score(kept, keys, score, ident, lo, hi)
     return ranked if top_k is None else ranked.filter(F.col("rank") <= top_k)
 

@@ -417,4 +417,4 @@ def _(d):
 
 @query("frm_cluster_kmeans")
 def _(d):
-    return CL.kmeans_by_silhouette(d.vectors, "id", "vector", 3, 6)
+    return CL.kmeans_by_silhouette(d.vectors, "id", "vector")

@@ -8,14 +8,18 @@ from newsgauge.operators import vocabulary as V
 from newsgauge.plans.catalog import query
 
 
-@query("dq_unique", "select source_name, message_id, count(*) as rows_found from x_posts where flag <> 'N' group by all having count(*) > 1")
+@query("dq_unique", """select 'whole' as scope, source_name, message_id, count(*) as rows_found from x_posts group by all having count(*) > 1
+  union all select 'flag', source_name, message_id, count(*) from x_posts where flag <> 'N' group by all having count(*) > 1""")
 def _(d):
-    return Q.unique(d.posts, ["source_name", "message_id"], "flag <> 'N'")
+    whole, scoped = (Q.unique(d.posts, ["source_name", "message_id"], *where).withColumn("scope", F.lit(name)) for name, where in (("whole", []), ("flag", ["flag <> 'N'"])))
+    return whole.unionByName(scoped)
 
 
-@query("dq_not_null", "select event_id, source_name, message_id from x_messages where forwards is null and is_digest")
+@query("dq_not_null", """select 'whole' as scope, event_id, source_name, message_id from x_messages where forwards is null
+  union all select 'digest', event_id, source_name, message_id from x_messages where forwards is null and is_digest""")
 def _(d):
-    return Q.not_null(d.messages, "forwards", "is_digest").select("event_id", "source_name", "message_id")
+    whole, scoped = (Q.not_null(d.messages, "forwards", *where).select(F.lit(name).alias("scope"), "event_id", "source_name", "message_id") for name, where in (("whole", []), ("digest", ["is_digest"])))
+    return whole.unionByName(scoped)
 
 
 @query("dq_accepted_values", "select media_group as value, count(*) as rows_found from x_messages where media_group not in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE') group by 1")

@@ -80,8 +80,8 @@ def test_probe_scores_in_many_blocks(spark):
     probes = [(e, w, p, unit([rng.gauss(0, 1) for _ in range(8)])) for e, w in ((1, 0), (2, 1), (3, 1)) for p in range(3)]
     v = spark.createDataFrame(vecs, "id bigint, window int, vector array<double>")
     q = spark.createDataFrame(probes, "event_id int, window int, probe int, probe_vector array<double>")
-    shared, dealt = ({(r.event_id, r.id): (round(r.score, 9), r.probe) for r in RT.probe_scores(v, q, "window", "id", "vector", 20, limit).collect()}
-                     for limit in (10_000, 0))
+    whole, dealt = ({(r.event_id, r.id): (round(r.score, 9), r.probe) for r in RT.probe_scores(v, q, "window", "id", "vector", *sizes).collect()}
+                    for sizes in ((4096, 256), (20, 2)))
     want = {}
     for e in (1, 2, 3):
         mine = [p for p in probes if p[0] == e]
@@ -89,4 +89,4 @@ def test_probe_scores_in_many_blocks(spark):
             if w == mine[0][1]:
                 s = [sum(a * b for a, b in zip(vec, p[3])) for p in mine]
                 want[e, i] = (round(max(s), 9), s.index(max(s)))
-    assert shared == want and dealt == want
+    assert whole == want and dealt == want
