@@ -14,8 +14,8 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -41,7 +41,7 @@ class Wavelet:
     def build(cls, ids: np.ndarray, levels: int) -> Wavelet:
         planes, ranks, now = [], [], ids
         for k in range(levels - 1, -1, -1):
-            bit = ((now >> k) & 1).astype(bool)
+            bit = (now & now.dtype.type(1 << k)) != 0
             packed = np.packbits(bit)
             planes.append(packed)
             per = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK // 8), dtype=np.int64) if len(packed) else np.empty(0, np.int64)
@@ -100,12 +100,13 @@ class Wavelet:
 
     def decode(self) -> np.ndarray:
         """The whole sequence, from the last plane up, without a random access."""
-        now = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
         for k in range(len(self.planes) - 1, -1, -1):
-            bit, up = self.bits(k), np.empty(self.n, np.uint32)
+            bit, up = self.bits(k), np.empty(self.n, kind)
             zeros = self.n - self.ones[k]
             up[~bit] = now[:zeros]
-            up[bit] = now[zeros:] | np.uint32(1 << (len(self.planes) - 1 - k))
+            up[bit] = now[zeros:] | kind(1 << (len(self.planes) - 1 - k))
             now = up
         return now
 
@@ -168,28 +169,27 @@ class Encoder:
             self.odd = np.concatenate((self.odd, np.zeros(len(self.pool.starts) - len(self.odd), bool)))
         self.odd[n:n + len(chunks)] = odd
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        lens = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.empty(int(lens.sum()), dtype=object)
-        at = 0
-        for chunks, n in zip(split, lens, strict=True):
-            flat[at:at + n] = chunks
-            at += n
-        codes, distinct = pd.factorize(flat)
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        large = lambda x: pa.scalar(x, pa.large_string())
+        split = pc.split_pattern(pc.binary_join_element_wise(large("\n"), pc.replace_substring(texts, "\n", " \n"), large("")), " ")
+        lens = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        coded = split.flatten().dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
         if len(self.pool.known) + len(distinct) > CACHE:
             self.clear()
-        place = np.array([self.pool.known.get(c, -1) for c in distinct], np.int64)
+        known = self.pool.known.get
+        place = np.array([known(c, -1) for c in distinct], np.int64)
         new = np.flatnonzero(place < 0)
         if len(new):
             place[new] = len(self.pool.known) + np.arange(len(new))
-            self.learn(list(distinct[new]))
+            self.learn([distinct[i] for i in new])
         place = place[codes]
         ids, total = self.pool.unfold(place)
         ends = np.cumsum(lens)
         bad = np.add.reduceat(self.odd[place].astype(np.int64), ends - lens) > 0 if len(texts) else []
         cut = np.concatenate(([0], total))
-        return [self.whole(t) if b else ids[cut[e - n] + 1:cut[e]] for t, b, e, n in zip(texts, bad, ends, lens, strict=True)]   # the first id is the added line break
+        return [self.whole(texts[i].as_py()) if b else ids[cut[e - n] + 1:cut[e]] for i, (b, e, n) in enumerate(zip(bad, ends, lens, strict=True))]   # the first id is the added line break
 
 
 @lru_cache(maxsize=2)
@@ -228,7 +228,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, vocabulary: int = 5
             return row
         held = 0
         for batch in slices(batches):
-            for doc, got in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+            for doc, got in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                 ids.append(np.concatenate((got, end)))
                 names.append(doc)
                 held += len(got) + 1
