@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -179,11 +180,45 @@ def uniform(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def element_text(html: Column, entities: Sequence[tuple[str, str]] = (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))) -> Column:
-    """Visible text of one element: block tags are spaces, other tags vanish, entities decoded, spaces single."""
+def _references() -> dict[str, str]:
+    """Character references by what stands behind '&': names as HTML lists them, and the numbers that stand for Windows characters."""
+    windows = {f"#{i}": bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)}
+    return {**html5, **windows, "#0": "\ufffd"}
+
+
+def decoded_references(text: Column) -> Column:
+    """Named and numeric character references as characters, in one pass; what is no reference stays. A name needs its semicolon, but for the old ones followed by no letter."""
+    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in _references().items())), F.lit("\x01"), F.lit("\x02"))
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]*+;?)|[^&]+|&"), F.lit(0))
+
+    def char(part: Column) -> Column:
+        sixteen = part.rlike("^&#[xX]")
+        digits = F.regexp_extract(part, "^&#[xX]?([0-9a-fA-F]+)", 1)
+        n = F.when(sixteen, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        wrong = n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        number = F.coalesce(F.when(n < 160, table[F.concat(F.lit("#"), n.cast("string"))]), F.when(wrong, "\ufffd").otherwise(plain))
+        named = F.coalesce(table[F.substring(part, 2, F.length(part))], part)
+        return F.when(~part.startswith("&"), part).when(part.rlike("^&#"), F.coalesce(number, part)).otherwise(named)
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, char), "")).otherwise(text)
+
+
+def balanced(html: Column) -> Column:
+    """What stands before the end tag that closes an element already open, elements inside it included; without one, all of it."""
+    tokens = F.regexp_extract_all(html, F.lit(r"(?s)<[^>]*>|[^<]++|<"), F.lit(0))
+    # Elements that have no end tag.
+    void = r"(?i)^<(?:area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr)\b|/>$"
+    step = lambda t: F.when(t.startswith("</"), -1).when(t.rlike(void), 0).when(t.rlike("^<[A-Za-z]"), 1).otherwise(0)
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("kept"))
+
+    def fold(state: Column, by: Column) -> Column:
+        depth = F.when(state["depth"] > 0, state["depth"] + by).otherwise(0)
+        return F.struct(depth.alias("depth"), (state["kept"] + (depth > 0).cast("int")).alias("kept"))
+    return F.array_join(F.slice(tokens, F.lit(1), F.aggregate(F.transform(tokens, step), start, fold)["kept"]), "")
+
+
+def element_text(html: Column) -> Column:
+    """Visible text of one element: block tags are spaces, other tags vanish, character references decoded, white space single."""
     t = F.regexp_replace(html, r"(?i)</?(?:br|p|blockquote|div)\b[^>]*>", " ")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for entity, char in entities:
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return squeeze(t)
+    t = decoded_references(F.regexp_replace(t, r"<[^>]*>", ""))
+    return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))

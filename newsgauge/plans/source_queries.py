@@ -214,28 +214,34 @@ def _(d):
 
 
 # ---------------------------------------------------------------------------- preview pages
-_TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({x}, '(?i)</?(br|p|blockquote|div)\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"""
+_NUMBERS = r"""array_to_string(list_transform(regexp_extract_all({x}, '(?s)&#[0-9]+;|&#x[0-9a-f]+;|[^&]+|&'), lambda t: case when t like '&#x%' then chr(('0' || t[3:-2])::int) when t like '&#%;' then chr(t[3:-2]::int) else t end), '')"""
+_TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(""" + _NUMBERS.format(x=r"""regexp_replace(regexp_replace({x}, '(?i)</?(br|p|blockquote|div)\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')""") + r""",
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&hellip;', '…'), '&eacute;', 'é'), '&Auml;', 'Ä'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"""
+# Put into some posts and articles, so that nested blocks and references by number and by name are there to read.
+_NESTED = '<div class="quote">one <div>two &#1078;&#x2014;&hellip;</div> <b>&eacute; &amp;lt; &#39;</b></div> three &Auml;&nbsp;'
+_LOOSE = r"</?(?:b|article|footer|body|html)\b[^>]*>"
+_NESTED_SQL = _NESTED.replace("'", "''")
 
 
-_ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+_ARTICLE = f"regexp_extract(html, '(?s)<article>(.*?)</article>', 1) || case when page_id % 3 = 0 then '{_NESTED_SQL}' else '' end"
 
 
 @query("src_html_text", f"select page_id, md5({_TEXT.format(x=_ARTICLE)}) as digest from pages")
 def _(d):
     article = F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1)
-    return d.table("pages").select("page_id", F.md5(element_text(article)).alias("digest"))
+    more = F.when(F.col("page_id") % 3 == 0, _NESTED).otherwise("")
+    return d.table("pages").select("page_id", F.md5(element_text(F.concat(article, more))).alias("digest"))
 
 
 def preview_pages(d):
-    """Each page's paragraphs dressed as a channel preview: one marked post per paragraph."""
+    """Each page's paragraphs dressed as a channel preview: one marked post per paragraph. Previews are well formed, so tags without a partner go."""
     def post(paragraph, i):
         n = F.col("page_id") * 1000 + i + 1
-        body = F.regexp_replace(paragraph, r"(?s)</p>.*", "")
+        body = F.regexp_replace(F.regexp_replace(paragraph, r"(?s)</p>.*", ""), _LOOSE, "")
         date = F.when(n % 11 != 0, F.concat(F.lit('<time datetime="2025-01-'), F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lit('T10:00:00+03:00">'))).otherwise("<time>")
         text = (
             F.when(n % 13 == 0, '<div class="message_photo"></div>').when(n % 17 == 0, '<div class="bubble message_text">Channel created</div>').when(n % 19 == 0, "")
-            .when(n % 23 == 0, '<div class="text_not_supported_wrap"></div>').otherwise(F.concat(F.lit('<div class="message_text">'), body, F.lit("</div>"))))
+            .when(n % 23 == 0, '<div class="text_not_supported_wrap"></div>').otherwise(F.concat(F.lit('<div class="message_text">'), body, F.when(n % 7 == 0, _NESTED).otherwise(""), F.lit("</div>"))))
         views = F.when(n % 5 != 0, F.concat(F.lit('<span class="message_views">'), ((n % 90) / 10).cast("decimal(4,1)"), F.lit("K</span>"))).otherwise("")
         return F.concat(F.lit('<div class="message" data-post="ch'), F.col("page_id") % 7, F.lit("/"), n, F.lit('">'), date, text, views)
     paragraphs = F.slice(F.split("html", "<p>"), F.lit(2), F.size(F.split("html", "<p>")))
@@ -243,8 +249,8 @@ def preview_pages(d):
 
 
 sql_view("x_prev", r"""with p as (select page_id, unnest(string_split(html, '<p>')[2:]) as para, unnest(range(1, len(string_split(html, '<p>')))) as i from pages),
-  n as (select page_id, page_id * 1000 + i as n, regexp_replace(para, '(?s)</p>.*', '') as body from p),
-  t as (select *, case when n % 13 = 0 or (n % 17 <> 0 and (n % 19 = 0 or n % 23 = 0)) then '' when n % 17 = 0 then 'Channel created' else """ + _TEXT.format(x="regexp_replace(body, '(?s)</div>.*', '')") + r""" end as text from n)
+  n as (select page_id, page_id * 1000 + i as n, regexp_replace(regexp_replace(para, '(?s)</p>.*', ''), '""" + _LOOSE + r"""', '', 'g') as body from p),
+  t as (select *, case when n % 13 = 0 or (n % 17 <> 0 and (n % 19 = 0 or n % 23 = 0)) then '' when n % 17 = 0 then 'Channel created' else """ + _TEXT.format(x=f"regexp_replace(body, '(?s)</div>.*', '') || case when n % 7 = 0 and not contains(body, '</div>') then '{_NESTED_SQL}' else '' end") + r""" end as text from n)
   select *, case when n % 5 <> 0 then printf('%.1f', (n % 90) / 10) || 'K' end as views_text,
     case when n % 13 = 0 then 'media_only' when n % 17 = 0 then 'service' when n % 19 = 0 then 'empty' when n % 23 = 0 then 'unreadable' when text = '' then 'empty' else 'text' end as record_type from t""")
 

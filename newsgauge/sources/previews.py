@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsgauge.functions.text import element_text, short_count
+from newsgauge.functions.text import balanced, element_text, short_count
 
 
 @dataclass(frozen=True)
@@ -16,7 +16,7 @@ class Markup:
     post: str = 'data-post="'
     key: str = r'^([^"/]+)/(\d+)"'
     date: str = r'<time datetime="([^"]+)"'
-    text: str = r'(?s)<div class="[^"]*\bmessage_text\b[^"]*">(.*?)</div>'
+    text: str = r'(?s)<div class="[^"]*\bmessage_text\b[^"]*">(.*)'
     views: str = r'<span class="message_views">([^<]+)</span>'
     media: str = r"message_(?:photo|video|document|voice|audio|poll|sticker)"
     unreadable: str = r"message_media_not_supported|text_not_supported_wrap"
@@ -40,7 +40,7 @@ def sections(pages: DataFrame, page: str, html: str, markup: Markup = Markup())
 def parse_posts(pages: DataFrame, page: str, html: str, markup: Markup = Markup()) -> DataFrame:
     """Dated posts with their text, kind of record, media flag and view count."""
     s = F.col("section")
-    text = element_text(F.coalesce(F.regexp_extract(s, markup.text, 1), F.lit("")))
+    text = element_text(balanced(F.coalesce(F.regexp_extract(s, markup.text, 1), F.lit(""))))
     kind = (
         F.when(F.col("text").rlike(markup.service), "service").when(F.col("text") != "", "text").when(s.rlike(markup.unreadable), "unreadable")
         .when(s.rlike(markup.media), "media_only").otherwise("empty"))

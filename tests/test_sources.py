@@ -88,3 +88,10 @@ def test_resume_skips_done_and_broken_lines(spark):
     spark.createDataFrame([("a", "7", "x")], "source_name string, message_id string, views string").write.csv(stacked, header=True)
     r = RD.read_match_stack(spark, [stacked]).first()
     assert (r.message_id, r.views) == (7, None) and F is not None
+
+
+def test_nested_blocks_and_references(spark):
+    page = ('<div data-post="chan/1"><time datetime="2025-01-02T03:00:00+03:00"><div class="message_text">one <div>two<br>&#1078;&#x2014;</div> three &hellip;&nbsp;&amp;lt; &nope; &#128; &#xD800; a & b'
+            '<img src="x"> <b>four</b></div><div>not this</div>')
+    got = PV.parse_posts(spark.createDataFrame([(1, page)], "page bigint, html string"), "page", "html").first()
+    assert got.text == "one two \u0436\u2014 three \u2026 &lt; &nope; \u20ac \ufffd a & b four"
