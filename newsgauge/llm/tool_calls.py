@@ -3,7 +3,7 @@
 A message's text may hold lines of JSON: {"tool_call": {"id", "name", "arguments", "after": [ids]}} and {"tool_result": {"id",
 "content"}}. They are parsed where the messages lie. Results meet calls in an equi join on (conversation, id), so a
 long conversation spreads over its ids. Calls are ordered by levels: those that wait for nothing first, then those
-whose last need was met; a round of joins per level, cut on shared storage, and what is never freed waits in a circle.
+whose last need was met. Chains are jumped over, so deep conversations take few rounds of joins, each cut on shared storage.
 """
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from newsgauge.llm.common import slices
 from newsgauge.session import cut_point
 
 EVENTS = "conv_id long, turn long, pos int, role string, kind string, call_id string, name string, body string, after array<string>, error string"
+CIRCLE = 1 << 40            # above any level
 KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
 
 
@@ -83,23 +84,36 @@ def events_of(messages: DataFrame, tools: dict) -> DataFrame:
 
 
 def call_levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): 0 for calls that wait for no other call; null in circles and behind them. Needs without a call are ignored."""
+    """(conv_id, call_id, level): 0 for calls that wait for no other call; null in circles and behind them. Needs without a call are ignored.
+
+    A row of the state is a need that is still open, `steps` away, or, without a need, what is known of a call: its level is `least` or more.
+    Each round a need that waits for nothing becomes knowledge, and one that waits for a single call is replaced by that call, so
+    chains and trees of any depth take as many rounds as the logarithm of it. Needs of several are met when those are.
+    A way longer than the conversation has calls runs in a circle, and so does one that comes back to its start.
+    """
     needs = calls.select("conv_id", "call_id", F.explode("after").alias("need"))
-    needs = cut_point(needs.join(calls.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_semi"), "needs")
-    left = needs
-    freed = calls.select("conv_id", "call_id").join(needs.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    done, level = cut_point(freed, "levels"), 0
-    fresh = done
-    while not left.isEmpty():
-        level += 1
-        met = fresh.select("conv_id", F.col("call_id").alias("need"))
-        rest = cut_point(left.join(met, ["conv_id", "need"], "left_anti"), "needs")
-        waiting = rest.select("conv_id", "call_id").distinct()
-        fresh = cut_point(left.select("conv_id", "call_id").distinct().join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "levels")
-        if fresh.isEmpty():
-            return done.union(waiting.withColumn("level", F.lit(None).cast("int")))
-        done, left = done.union(fresh), rest
-    return done
+    needs = needs.join(calls.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_semi")
+    longest = calls.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    known = calls.select("conv_id", "call_id", F.lit(None).cast("string").alias("need"), F.lit(0).cast("long").alias("steps"), F.lit(0).cast("long").alias("least"))
+    state = cut_point(known.union(needs.select("conv_id", "call_id", "need", F.lit(1).cast("long"), F.lit(0).cast("long"))), "needs")
+    moving = True
+    while moving:
+        about = state.groupBy("conv_id", F.col("call_id").alias("need")).agg(
+            F.max("least").alias("far"), F.count("need").alias("n_open"), F.max("need").alias("next"), F.max("steps").alias("more"))
+        seen = state.filter("need is not null").join(about, ["conv_id", "need"])
+        free = F.col("n_open") <= 1
+        need, steps = F.when(free, F.col("next")).otherwise(F.col("need")), F.col("steps") + F.when(free, F.col("more")).otherwise(F.lit(0))
+        least = F.when(free, F.least(F.greatest("least", F.col("steps") + F.col("far")), F.lit(CIRCLE))).otherwise(F.col("least"))
+        seen = seen.select("conv_id", "call_id", need.alias("need"), steps.alias("steps"), least.alias("least"), free.alias("moved"))
+        circle = F.col("need").isNotNull() & ((F.col("need") == F.col("call_id")) | (F.col("steps") > longest))
+        seen = seen.select("conv_id", "call_id", F.when(~circle, F.col("need")).alias("need"), F.when(circle | F.col("need").isNull(), 0).otherwise(F.col("steps")).alias("steps"),
+                           F.when(circle, F.lit(CIRCLE)).otherwise(F.col("least")).alias("least"), (F.col("moved") | circle).alias("moved"))
+        rows = state.filter("need is null").select("conv_id", "call_id", "need", "steps", "least", F.lit(False).alias("moved")).union(seen)
+        rows = cut_point(rows.groupBy("conv_id", "call_id", "need").agg(F.max("steps").alias("steps"), F.max("least").alias("least"), F.max("moved").alias("moved")), "needs")
+        moving = rows.agg(F.max("moved").alias("any")).first()["any"]
+        state = rows.drop("moved")
+    done = state.groupBy("conv_id", "call_id").agg(F.max("least").alias("least"), F.count("need").alias("n_open"))
+    return cut_point(done.select("conv_id", "call_id", F.when((F.col("least") < CIRCLE) & (F.col("n_open") == 0), F.col("least")).cast("int").alias("level")), "levels")
 
 
 def formatted(messages: DataFrame, tools: dict) -> DataFrame:

@@ -224,6 +224,26 @@ def test_tool_calls_are_linked_ordered_and_checked(spark):
     assert formatted(df.limit(0), {}).count() == 0
 
 
+def test_call_levels_equal_brute_force(spark):
+    from newsgauge.llm.tool_calls import call_levels
+    r = random.Random(8)
+    after = {(1, f"c{i}"): [f"c{i - 1}"] for i in range(60)}                                              # a deep chain
+    after |= {(2, f"c{i}"): [f"c{(i + 1) % 7}"] for i in range(7)} | {(2, "behind"): ["c3", "free"], (2, "free"): [], (2, "own"): ["own"]}
+    after |= {(3, f"c{i}"): sorted({f"c{r.randrange(max(i - 6, 0), i)}" for _ in range(r.randrange(1, 4))}) if i else [] for i in range(80)}
+    after |= {(4, f"c{i}"): sorted({f"c{r.randrange(50)}" for _ in range(r.randrange(3))}) for i in range(40)}        # circles, and needs without a call
+    after |= {(5, f"c{i}"): [f"c{j}" for j in (i - 1, i + 1)] for i in range(5)}
+    level = {}
+    while True:
+        fresh = {k: 1 + max((level[k[0], a] for a in v if (k[0], a) in after), default=-1) for k, v in after.items()
+                 if k not in level and all((k[0], a) not in after or (k[0], a) in level for a in v)}
+        if not fresh:
+            break
+        level |= fresh
+    calls = spark.createDataFrame([(*k, v) for k, v in after.items()], "conv_id long, call_id string, after array<string>")
+    assert {(x.conv_id, x.call_id): x.level for x in call_levels(calls).collect()} == {k: level.get(k) for k in after}
+    assert call_levels(calls.limit(0)).count() == 0
+
+
 def test_pipeline_keeps_columns_and_decides(spark, tmp_path, docs, labels):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline as C
