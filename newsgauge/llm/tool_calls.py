@@ -88,8 +88,9 @@ def call_levels(calls: DataFrame) -> DataFrame:
 
     A row of the state is a need that is still open, `steps` away, or, without a need, what is known of a call: its level is `least` or more.
     Each round a need that waits for nothing becomes knowledge, and one that waits for a single call is replaced by that call, so
-    chains and trees of any depth take as many rounds as the logarithm of it. Needs of several are met when those are.
-    A way longer than the conversation has calls runs in a circle, and so does one that comes back to its start.
+    chains and trees of any depth take as many rounds as the logarithm of it. A call that waits for several is met when those are,
+    so only layers of such calls take a round each. A way longer than the conversation has calls runs in a circle, and so does
+    one that comes back to its start; what waits for a circle stays open, and the rounds end when nothing moves.
     """
     needs = calls.select("conv_id", "call_id", F.explode("after").alias("need"))
     needs = needs.join(calls.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_semi")
@@ -101,9 +102,9 @@ def call_levels(calls: DataFrame) -> DataFrame:
         about = state.groupBy("conv_id", F.col("call_id").alias("need")).agg(
             F.max("least").alias("far"), F.count("need").alias("n_open"), F.max("need").alias("next"), F.max("steps").alias("more"))
         seen = state.filter("need is not null").join(about, ["conv_id", "need"])
-        free = F.col("n_open") <= 1
+        free = (F.col("n_open") <= 1) & (F.col("far") < CIRCLE)             # what waits for a circle stays open
         need, steps = F.when(free, F.col("next")).otherwise(F.col("need")), F.col("steps") + F.when(free, F.col("more")).otherwise(F.lit(0))
-        least = F.when(free, F.least(F.greatest("least", F.col("steps") + F.col("far")), F.lit(CIRCLE))).otherwise(F.col("least"))
+        least = F.when(free, F.greatest("least", F.col("steps") + F.col("far"))).otherwise(F.col("least"))
         seen = seen.select("conv_id", "call_id", need.alias("need"), steps.alias("steps"), least.alias("least"), free.alias("moved"))
         circle = F.col("need").isNotNull() & ((F.col("need") == F.col("call_id")) | (F.col("steps") > longest))
         seen = seen.select("conv_id", "call_id", F.when(~circle, F.col("need")).alias("need"), F.when(circle | F.col("need").isNull(), 0).otherwise(F.col("steps")).alias("steps"),
