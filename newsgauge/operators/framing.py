@@ -450,8 +450,8 @@ def assign_narratives(records: DataFrame, assignments: DataFrame, taxonomy: Data
 
 
 # ---------------------------------------------------------------------------- evidence
-def evidence_spans(records: DataFrame) -> DataFrame:
-    """Every non-empty evidence quote of a record with its field."""
+def evidence_fields() -> Column:
+    """All evidence quotes of a record with their fields, empty ones too, as one array."""
     def one(path: str, value: Column) -> Column:
         return F.struct(F.lit(path).alias("field"), value.alias("span"))
     fixed = F.array(*[one(p, F.col(p)) for p in ("on_event_evidence", "problem_definition_evidence", "epistemic_evidence")],
@@ -459,18 +459,27 @@ def evidence_spans(records: DataFrame) -> DataFrame:
 
     def many(name: str) -> Column:
         return F.transform(name, lambda x, i: F.struct(F.concat(F.lit(name + "["), i, F.lit("].evidence")).alias("field"), x["evidence"].alias("span")))
-    spans = F.concat(fixed, many("action_labels"), many("moral_evaluation"))
-    carried = [c for c in ("text_used", "text_norm") if c in records.columns]
-    return records.select("event", "message_id", *carried, F.explode(spans).alias("s")).select("event", "message_id", *carried, "s.*").filter(F.trim("span") != "")
+    return F.concat(fixed, F.coalesce(many("action_labels"), F.array()), F.coalesce(many("moral_evaluation"), F.array()))
+
+
+def evidence_spans(records: DataFrame) -> DataFrame:
+    """Every non-empty evidence quote of a record with its field."""
+    return records.select("event", "message_id", "text_used", F.explode(evidence_fields()).alias("s")).select(
+        "event", "message_id", "text_used", "s.*").filter(F.trim("span") != "")
+
+
+def plain_words(text: Column) -> Column:
+    """Lower case, punctuation as spaces, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
 
 
 def normal_form(text: str) -> Column:
-    """NFKC, lower case, punctuation as spaces, single spaces."""
+    """NFKC, then plain words."""
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unicodedata.normalize("NFKC", x) if x else x)
 
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(nfkc(F.col(text))), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
+    return plain_words(nfkc(F.col(text)))
 
 
 def grounded(text: Column, span: Column, threshold: float = 0.85, shortest: int = 6) -> Column:
@@ -486,8 +495,17 @@ def grounded(text: Column, span: Column, threshold: float = 0.85, shortest: int
 
 
 def provenance(records: DataFrame) -> DataFrame:
-    """Per record the share of its evidence quotes that its text holds."""
-    once = records.withColumn("text_norm", normal_form("text_used")).drop("text_used")
-    spans = evidence_spans(once).withColumn("_s", normal_form("span"))
-    return spans.groupBy("event", "message_id").agg(n_rows().alias("n_total"), F.count_if(grounded(F.col("text_norm"), F.col("_s"))).alias("n_found")).withColumn(
+    """Per record the share of its evidence quotes that its text holds; after NFKC and without case and punctuation.
+
+    Text and quotes stay together in the record's row as one array, so no text is repeated per quote or shuffled.
+    """
+    @F.pandas_udf("array<string>")
+    def nfkc(s: pd.Series) -> pd.Series:
+        return s.map(lambda xs: [unicodedata.normalize("NFKC", x) if x else x for x in xs])
+
+    spans = F.filter(F.transform(evidence_fields(), lambda s: s["span"]), lambda s: F.trim(s) != "")
+    words = records.select("event", "message_id", F.transform(nfkc(F.concat(F.array("text_used"), spans)), plain_words).alias("_w"))
+    split = words.select("event", "message_id", F.element_at("_w", 1).alias("_t"), F.slice("_w", F.lit(2), F.size("_w")).alias("_s")).filter(F.size("_s") > 0)
+    found = split.select("event", "message_id", F.size("_s").alias("_n"), F.size(F.filter("_s", lambda s: grounded(F.col("_t"), s))).alias("_f"))
+    return found.groupBy("event", "message_id").agg(F.sum("_n").alias("n_total"), F.sum("_f").alias("n_found")).withColumn(
         "score", F.col("n_found").cast("double") / F.col("n_total"))

@@ -339,6 +339,13 @@ def _(d):
     return FR.group_metrics(d.records)
 
 
+@query("frm_actor_metrics", """select event, media_group, entity as actor, count(*) as n_role_assignments, avg(pol) as mean_polarity_all_mentions, count(*) filter (where status = 'asserted') as n_asserted_role_assignments,
+  avg(pol) filter (where status = 'asserted') as mean_polarity_asserted_only from x_men where entity in ('actor1', 'actor2', 'actor3') and polarity is not null group by all""",
+  "mean_polarity_all_mentions mean_polarity_asserted_only")
+def _(d):
+    return FR.actor_metrics(d.records, ["actor1", "actor2", "actor3"])
+
+
 @query("frm_spread_table", "with r as (" + " union all ".join(
     f"select event, media_group, '{c}' as dimension, n_messages as n, {c} as value from x_gm where n_messages >= 15" for c in _GM.split() if "action_label" not in c)
     + """ union all select event, media_group, 'positive_action_label_share', n_action_labels, positive_action_label_share from x_gm where n_messages >= 15 and n_action_labels >= 20)
