@@ -55,7 +55,7 @@ def repeated_chunks(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     rows = chunked(docs.select("doc_id", "text"), long_words).select("doc_id", "_key", F.posexplode("_chunks").alias("pos", "x")).filter("x.removable").select(
         "doc_id", "_key", "pos", F.col("x.chunk").alias("chunk"), F.xxhash64("x.chunk").alias("digest"))
     again = cut_point(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "repeated")
-    copies = cut_point(rows.join(again, "digest", "left_semi"), "copies")
+    copies = cut_point(rows.join(again.hint("merge"), "digest", "left_semi"), "copies")        # digests and ids have no bound: never sent to every task
     place = F.struct("doc_id", "_key", "pos")
     first = copies.groupBy("digest", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "chunk", "first")
     later = copies.join(first, ["digest", "chunk"]).filter(~place.eqNullSafe(F.col("first")))
@@ -70,7 +70,7 @@ def without_repeats(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     """
     drop = cut_point(repeated_chunks(docs, long_words), "drop").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_at"), F.col("drop").alias("_drop"))
     d = docs.withColumn("_key", F.xxhash64("text"))
-    d = chunked(d.join(drop, d["doc_id"].eqNullSafe(drop["_id"]) & (d["_key"] == drop["_at"]), "left").drop("_id", "_at"), long_words)
+    d = chunked(d.join(drop.hint("merge"), d["doc_id"].eqNullSafe(drop["_id"]) & (d["_key"] == drop["_at"]), "left").drop("_id", "_at"), long_words)
     held = F.filter("_chunks", lambda c, i: ~F.array_contains("_drop", i))
     names = [c for c in docs.columns if c not in ("text", "n_chunks", "n_removed")]
     text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(held, lambda c: c["chunk"]), "\n"))
