@@ -147,6 +147,56 @@ def test_language_model_prefers_trusted_text(spark, docs, labels):
     assert judged(docs.limit(0), labels).count() == 0
 
 
+def brute_perplexities(train, texts):
+    """Word trigrams, interpolated modified Kneser-Ney, with dictionaries."""
+    pad = lambda t: ["<", "<", *(t or "").split(), ">"]
+    c = {3: {}, 2: {}, 1: {}}
+    for w in map(pad, train):
+        for i in range(2, len(w)):
+            c[3][tuple(w[i - 2:i + 1])] = c[3].get(tuple(w[i - 2:i + 1]), 0) + 1
+    raw = dict(c[3])
+    for m in (2, 1):
+        low = {}
+        for g, n in raw.items():
+            low[g[1:]] = low.get(g[1:], 0) + n
+        for g in c[m + 1]:
+            c[m][g[1:]] = c[m].get(g[1:], 0) + (raw[g] if g[0] == "<" else 1)
+        raw = low
+    cuts, about = {}, {}
+    for m in c:
+        n = [sum(v == i for v in c[m].values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else None
+        cuts[m] = [max(min(i - (i + 1) * y * n[i + 1] / n[i], i - 0.05), 0.05) if y is not None and n[i] and n[i + 1] else 0.5 for i in (1, 2, 3)]
+        for g, v in c[m].items():
+            total, left = about.get(g[:-1], (0, 0))
+            about[g[:-1]] = total + v, left + cuts[m][min(v, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / (len(c[1]) + 1)
+        below = p(g[1:])
+        if g[:-1] not in about:
+            return below
+        total, left = about[g[:-1]]
+        v = c[len(g)].get(g, 0)
+        return (v - cuts[len(g)][min(v, 3) - 1] if v else 0) / total + left / total * below
+    out = []
+    for w in map(pad, texts):
+        out.append(np.exp(-np.mean([np.log(p(tuple(w[i - 2:i + 1]))) for i in range(2, len(w))])))
+    return out
+
+
+@pytest.mark.parametrize("heavy", [30, 10 ** 6])
+def test_language_model_equals_word_trigrams_by_brute_force(spark, heavy):
+    from newsgauge.llm.language_model import perplexities
+    texts = [words(40, i, 25) for i in range(30)] + ["w1 w2 w3", "w3 w2 w1", "new w1 w2", "", None, "w1", "w1 w2 w3 " * 20]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in perplexities(docs, spark.createDataFrame([(i,) for i in range(20)], "doc_id long"), heavy).collect()}
+    want = brute_perplexities(texts[:20], texts)
+    assert [got[i].places for i in range(len(texts))] == [len((t or "").split()) + 1 for t in texts]
+    assert np.allclose([got[i].perplexity for i in range(len(texts))], want, rtol=1e-9)
+
+
 def test_wavelet_and_token_files(spark, docs):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
