@@ -136,14 +136,16 @@ class Wavelet:
 
 class Encoder:
     """Whole texts to ids. A blank before a word or a line break before one always ends the piece before, so such chunks are
-    encoded once and looked up; texts in which white space meets white space there are encoded whole. New chunks are encoded as
+    encoded once and looked up; texts in which white space meets white space there, or that hold a token added to the vocabulary,
+    are encoded whole. New chunks are encoded as
     one text: only a chunk's first piece begins with a blank or a line break, which tells them apart again."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.spaced = any(c.isspace() for a in self.added for c in a)                      # such a token would not lie in one chunk
         words = self.tokenizer.get_vocab(with_added_tokens=True)
         self.first = np.zeros(max(words.values()) + 1, bool)
         self.first[[i for w, i in words.items() if w[0] in "\u0120\u010a"]] = True          # how the vocabulary spells blank and line break
@@ -156,7 +158,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def learn(self, chunks: list[str]) -> None:
-        odd = np.array([not c or (len(c) == 1 or c[1].isspace() if c[0] == "\n" else c[0].isspace()) for c in chunks], bool)
+        odd = np.array([not c or any(a in c for a in self.added) or (len(c) == 1 or c[1].isspace() if c[0] == "\n" else c[0].isspace()) for c in chunks], bool)
         plain = [c if c[0] == "\n" else " " + c for c, o in zip(chunks, odd, strict=True) if not o]
         joined = ["".join(plain[i:i + 1000]) for i in range(0, len(plain), 1000)]
         got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
@@ -188,6 +190,9 @@ class Encoder:
         ids, total = self.pool.unfold(place)
         ends = np.cumsum(lens)
         bad = np.add.reduceat(self.odd[place].astype(np.int64), ends - lens) > 0 if len(texts) else []
+        for a in self.added:
+            bad = bad | pc.match_substring(texts, a).to_numpy(zero_copy_only=False) if len(texts) else bad
+        bad = [True] * len(texts) if self.spaced else bad
         cut = np.concatenate(([0], total))
         return [self.whole(texts[i].as_py()) if b else ids[cut[e - n] + 1:cut[e]] for i, (b, e, n) in enumerate(zip(bad, ends, lens, strict=True))]   # the first id is the added line break
 

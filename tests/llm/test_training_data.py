@@ -214,6 +214,20 @@ def test_wavelet_and_token_files(spark, docs):
     assert token_table(docs.limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_added_tokens_get_the_ids_of_the_library(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from newsgauge.llm.wavelet import token_table
+    texts = ["one<|endoftext|> two", "<|endoftext|>", "a  <|endoftext|>\nb c", "x <|endoftext|><|endoftext|> y", "plain text", "<|endoftext | >", "of <|endoftext|>"]
+    t, at = Tokenizer.from_file(P.path("byte_bpe_50k.json")), 0
+    got = sorted(token_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect(), key=lambda r: r.doc_id)
+    for r, text in zip(got, texts, strict=True):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
+        at += len(ids)
+
+
 def test_pieces_equal_the_library(spark, docs):
     P, sp = pytest.importorskip("public_tokenizers"), pytest.importorskip("sentencepiece")
     from newsgauge.llm.pieces import encoded
