@@ -4,10 +4,14 @@ A text's lines are hashed; a rolling hash over each line and the one before deci
 an inserted line moves no boundary but its own. A line of fifty words or more is a chunk of its own. A chunk of two
 lines with words or more, or one such long line, that occurs again anywhere is removed, all but its first copy (smallest
 doc_id, then place). Copies are grouped by a digest first and then by their bytes, so that no collision removes a line.
+
+Chunks miss a passage whose ends they do not share. So pairs of neighbouring lines with words are looked up too: those that stood
+somewhere before are merged into runs, and a run of two lines or more with fifty words or more is removed, wherever the chunks end.
+Whatever is removed stands at an earlier place, so of every line one copy is left.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgauge.session import cut_point
@@ -46,7 +50,7 @@ def chunked(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     def chunk(e: Column, i: Column) -> Column:
         several = F.size(F.filter(part("_facts", e, i), lambda f: f["rich"])) >= 2
         removable = several | ((e == start(i)) & F.get(facts, e)["long"])
-        return F.struct(F.array_join(part("_lines", e, i), "\n").alias("chunk"), removable.alias("removable"))
+        return F.struct(F.array_join(part("_lines", e, i), "\n").alias("chunk"), removable.alias("removable"), start(i).alias("at"))
     return once(d, "_chunks", F.transform("_ends", chunk)).drop("_lines", "_facts", "_ends")
 
 
@@ -62,22 +66,66 @@ def repeated_chunks(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     return later.groupBy("doc_id", "_key").agg(F.collect_set("pos").alias("drop"))
 
 
-def without_repeats(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
-    """docs with `text` rid of repeated chunks, and n_chunks and n_removed.
+def paired(docs: DataFrame) -> DataFrame:
+    """docs with `_key` and `_pairs`: the lines with words that follow one another, with the places of the two and a digest of them."""
+    d = once(docs.withColumn("_key", F.xxhash64("text")), "_lines", lines_of(F.col("text")))
+    d = once(d, "_rich", F.filter(F.transform("_lines", lambda x, i: F.when(x.rlike(WORD), F.struct(i.alias("at"), F.xxhash64(x).alias("h")))), lambda x: x.isNotNull()))
+    following = F.slice("_rich", 2, F.greatest(F.size("_rich") - 1, F.lit(0)))
+    pair = lambda a, b: F.when(b.isNotNull(), F.struct(a["at"].alias("a"), b["at"].alias("z"), F.xxhash64(a["h"], b["h"]).alias("digest")))
+    return d.withColumn("_pairs", F.filter(F.zip_with("_rich", following, pair), lambda x: x.isNotNull())).drop("_rich")
+
+
+def repeated_runs(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """(doc_id, _key, runs): the first and last line of each run of repeated pairs with `long_words` words. Only documents with runs are returned.
+
+    Digests find the pairs that may be copies; only their lines are fetched, and compared byte by byte.
+    """
+    rows = paired(docs.select("doc_id", "text")).select("doc_id", "_key", F.posexplode("_pairs").alias("pos", "x")).select("doc_id", "_key", "pos", F.col("x.digest").alias("digest"))
+    rows = cut_point(rows, "pairs")
+    again = cut_point(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "repeated")
+    copies = rows.join(again.hint("merge"), "digest", "left_semi")
+    wanted = cut_point(copies.groupBy("doc_id", "_key").agg(F.collect_set("pos").alias("_wanted")), "wanted").select(
+        F.col("doc_id").alias("_id"), F.col("_key").alias("_at"), "_wanted")
+    d = docs.select("doc_id", "text").withColumn("_key", F.xxhash64("text"))
+    d = d.join(wanted.hint("merge"), d["doc_id"].eqNullSafe(wanted["_id"]) & (d["_key"] == wanted["_at"])).drop("_id", "_at", "_key")
+    line = lambda i: F.get(F.col("_lines"), i)
+    found = paired(d).select("doc_id", "_key", "_lines", "_pairs", F.explode("_wanted").alias("pos")).withColumn("x", F.get("_pairs", F.col("pos")))
+    words = lambda x: F.size(F.filter(F.split(x, BLANKS + "+"), lambda w: w != ""))
+    found = cut_point(found.select("doc_id", "_key", "pos", F.col("x.a").alias("a"), F.col("x.z").alias("z"), words(line(F.col("x.a"))).alias("words"), words(line(F.col("x.z"))).alias("last_words"),
+                                   F.concat(line(F.col("x.a")), F.lit("\n"), line(F.col("x.z"))).alias("lines")), "copies")
+    place = F.struct("doc_id", "_key", "pos")
+    first = found.groupBy("lines").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("lines", "first")
+    later = found.join(first.hint("merge"), "lines").filter(~place.eqNullSafe(F.col("first"))).drop("lines", "first").distinct()
+    own = Window.partitionBy("doc_id", "_key").orderBy("pos")                 # inside one text
+    runs = later.withColumn("run", F.col("pos") - F.row_number().over(own)).groupBy("doc_id", "_key", "run").agg(
+        F.min("a").alias("a"), F.max("z").alias("z"), (F.sum("words") + F.max_by("last_words", "pos")).alias("words"))
+    return runs.filter(F.col("words") >= long_words).groupBy("doc_id", "_key").agg(F.collect_list(F.struct("a", "z")).alias("runs"))
+
+
+def without_repeats(docs: DataFrame, long_words: int = LONG_WORDS, runs: bool = True) -> DataFrame:
+    """docs with `text` rid of repeated chunks and runs of lines, and n_chunks and n_removed (chunks that lost lines). Without `runs` only chunks go.
 
-    Null texts stay null and empty texts empty; a text of repeated chunks only becomes empty. Rows that repeat an id and a text
+    Null texts stay null and empty texts empty; a text of repeated lines only becomes empty. Rows that repeat an id and a text
     count as one document and are treated alike. Other columns stay as they are; columns named like the two counts are replaced.
     """
-    drop = cut_point(repeated_chunks(docs, long_words), "drop").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_at"), F.col("drop").alias("_drop"))
+    drop = repeated_chunks(docs, long_words).withColumn("runs", F.lit(None).cast("array<struct<a:int,z:int>>"))
+    if runs:
+        both = drop.unionByName(repeated_runs(docs, long_words).withColumn("drop", F.lit(None).cast("array<int>")))
+        drop = both.groupBy("doc_id", "_key").agg(F.first("drop", True).alias("drop"), F.first("runs", True).alias("runs"))
+    drop = cut_point(drop, "drop").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_at"), F.col("drop").alias("_drop"), F.col("runs").alias("_runs"), F.lit(True).alias("_cut"))
     d = docs.withColumn("_key", F.xxhash64("text"))
     d = chunked(d.join(drop.hint("merge"), d["doc_id"].eqNullSafe(drop["_id"]) & (d["_key"] == drop["_at"]), "left").drop("_id", "_at"), long_words)
-    held = F.filter("_chunks", lambda c, i: ~F.array_contains("_drop", i))
+    gone = lambda i: F.coalesce(F.array_contains("_drop", i), F.lit(False))
+    lost = lambda at: F.coalesce(F.exists("_runs", lambda r: (r["a"] <= at) & (at <= r["z"])), F.lit(False))
+    left = lambda c, i: F.when(gone(i), F.array().cast("array<string>")).otherwise(F.filter(lines_of(c["chunk"]), lambda x, k: ~lost(c["at"] + k)))
+    d = once(d, "_left", F.when(F.col("_cut"), F.transform("_chunks", lambda c, i: F.struct(left(c, i).alias("lines"), F.size(lines_of(c["chunk"])).alias("n")))))
     names = [c for c in docs.columns if c not in ("text", "n_chunks", "n_removed")]
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(held, lambda c: c["chunk"]), "\n"))
-    return d.select(*names, text.alias("text"), F.size("_chunks").cast("long").alias("n_chunks"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"))
+    text = F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(F.transform("_left", lambda c: c["lines"])), "\n"))
+    n_removed = F.when(F.col("_left").isNull(), 0).otherwise(F.size(F.filter("_left", lambda c: F.size(c["lines"]) < c["n"])))
+    return d.select(*names, text.alias("text"), F.size("_chunks").cast("long").alias("n_chunks"), n_removed.cast("long").alias("n_removed"))
 
 
-# The same rows for checking; digests are left out, as the bytes decide.
+# The rows of the chunks alone, without_repeats(runs=False), for checking; digests are left out, as the bytes decide.
 CHECK_SQL = r"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
 f AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, md5(line) AS h FROM l),

@@ -120,6 +120,35 @@ def test_line_chunks_go_once_and_bytes_stay(spark, docs):
     assert without_repeats(df.limit(0)).count() == 0
 
 
+def test_repeated_passages_go_whatever_stands_around_them(spark):
+    from newsgauge.llm.line_dedup import without_repeats
+    passage = [words(20, 300 + k, 9000) for k in range(3)]
+    rows = [(1, "\n".join(["own start", *passage, "own end"]))]
+    for i in range(2, 40):                                                                                   # a blank line inside changes nothing
+        rows.append((i, "\n".join([f"foreign {i} before", f"and {i} more", passage[0], *[""] * (i % 2), *passage[1:], f"foreign {i} after", "", f"last {i}"])))
+    short = [f"short line {k}" for k in range(3)]
+    rows += [(50, "\n".join(["x50", *short, "y50"])), (51, "\n".join(["x51", passage[0], "alone", passage[1], passage[0]]))]
+    rows += [(60, "\n".join([*passage, "z60", *passage])), (60, "\n".join([*passage, "z60", *passage])), (None, "\n".join(["n", *passage, "n2"]))]
+    got = {r.doc_id: r for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    by = dict(rows)
+    assert got[None].text == by[None]                                                                       # null ids come first
+    assert got[1].text == "own start\nown end"
+    for i in range(2, 40):
+        assert got[i].text == "\n".join([f"foreign {i} before", f"and {i} more", f"foreign {i} after", "", f"last {i}"]), i
+    assert got[50].text == by[50] and got[51].text == by[51] and got[60].text == "z60"
+    assert got[1].n_removed >= 1 and got[50].n_removed == 0
+
+
+def test_chunks_alone_equal_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from newsgauge.llm.line_dedup import CHECK_SQL, without_repeats
+    folder = "/root/testdata/sf0.001/documents.parquet"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}'")
+    got = without_repeats(spark.read.parquet(folder), runs=False).select("doc_id", "text", "n_chunks", "n_removed").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(CHECK_SQL).fetchall())
+
+
 def test_leaks_find_exact_and_edited_copies(spark, docs):
     from newsgauge.llm.decontaminate import leaks
     item = words(40, 77, 5000)
