@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds bring passages to test items, Smith-Waterman scores what they meet.
+"""Benchmark decontamination: pairs of neighbouring words bring passages to test items, Smith-Waterman scores what they meet.
 
-Test items are taken in blocks of bounded size, so what a task holds of them is bounded however many there are. For each
-block, how often its n-grams occur is counted over all documents; the seeds of an item are its rarest n-grams, one at least in
-every window of it, so that an item of common words still has seeds. Where seeds meet a text, the words around
-are aligned with the item. The alignment is skipped only where the words the two share are too few for the least score.
+Test items are taken in blocks of bounded size, so what a task holds of them is bounded however many there are. Every pair of
+neighbouring words of an item is a seed, however often it occurs in the documents. A passage that reaches the least score leaves
+some pairs whole and most words in place, within a bounded stretch of text: an insertion costs a point and parts one pair, a changed
+word costs three and parts two. Only stretches with too few pairs or words for that go without an alignment, so none is lost.
+Items too short for such a promise are matched as whole word sequences.
 """
 from __future__ import annotations
 
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 from newsgauge.llm.common import hash_words, inner_starts, numbered_words, raw_texts, slices, window_hashes
 from newsgauge.session import cut_point
 
-SEED, WINDOW, RARE = 3, 6, 20
+SEED = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 16 << 20
-LEAST_WORDS = 6
+LEAST_WORDS = 6            # items of fewer words are matched whole
 LEAKS = "doc_id long, item_id long, score double, first_word long, last_word long"
 
 
@@ -44,24 +45,20 @@ class Block:
         codes, self.lens, distinct = numbered_words([(r[1] or "").encode().lower() for r in rows])
         self.words = hash_words(distinct)[codes]
         self.ends = np.cumsum(self.lens)
-        places, self.owner = inner_starts(self.lens, SEED)
+        places, owner = inner_starts(self.lens, SEED)
         hashes = window_hashes(self.words, SEED)[places] if len(places) else np.empty(0, np.uint64)
-        self.grams, self.gram_of = np.unique(hashes, return_inverse=True)
-        self.at = places - (self.ends - self.lens)[self.owner] if len(places) else places
-
-    def choose(self, often: np.ndarray) -> None:
-        """Keep the seeds: n-grams of at most RARE occurrences and the rarest of every window."""
-        n = often[self.gram_of]
-        keep = n <= RARE
-        for k in np.unique(self.owner):
-            mine = np.flatnonzero(self.owner == k)
-            for a in range(max(1, len(mine) - WINDOW + 1)):
-                span = mine[a:a + WINDOW]
-                keep[span[n[span].argmin()]] = True
-        judged = self.lens[self.owner] >= LEAST_WORDS if len(self.owner) else keep
-        order = np.flatnonzero(keep & judged)
-        order = order[np.argsort(self.gram_of[order], kind="stable")]
-        self.seed_hash, self.seed_owner, self.seed_at = self.grams[self.gram_of[order]], self.owner[order], self.at[order]
+        use = self.lens[owner] >= LEAST_WORDS if len(places) else np.empty(0, bool)
+        self.seed_hash, self.seed_owner, self.seed_at = self.ordered(hashes[use], owner[use], (places - (self.ends - self.lens)[owner])[use] if len(places) else places)
+        self.short = {}                                                      # number of words -> (hash of the whole item, item), by hash
+        for n in range(1, LEAST_WORDS):
+            mine = np.flatnonzero(self.lens == n)
+            if len(mine):
+                self.short[n] = self.ordered(window_hashes(self.words, n)[(self.ends - n)[mine]], mine)
+
+    @staticmethod
+    def ordered(hashes: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], *(x[order] for x in others)
 
     def item(self, k: int) -> np.ndarray:
         return self.words[self.ends[k] - self.lens[k]:self.ends[k]]
@@ -80,63 +77,90 @@ def spot(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == x if len(table) else np.zeros(len(x), bool)
 
 
-def corpus_counts(docs: DataFrame, block: Block) -> np.ndarray:
-    """How often each n-gram of the block occurs in all documents; one partial count per task."""
-    grams = block.grams
+def least_pairs(size: np.ndarray, least: float) -> np.ndarray:
+    """How many pairs at least an alignment of `least` leaves whole: each point of the score that is missing parts one at most."""
+    return np.maximum(1, size - 1 - np.floor(2 * size * (1 - least) + 1e-9)).astype(np.int64)
 
-    def run(batches):
-        total = np.zeros(len(grams), np.int64)
-        for b in slices(batches):
-            at, hit = spot(grams, hashed(raw_texts(b))[3])
-            total += np.bincount(at[hit], minlength=len(grams))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["gram", "n"])
-    often = np.zeros(len(grams), np.int64)
-    for r in docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most the block's n-grams
-        often[r.gram] = r.n
-    return often
 
+def crowded(order_key: np.ndarray, where: np.ndarray, need: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Which hits belong to a group of `need` hits of one key within `width` words. Hits are ordered by key, then by place."""
+    last = np.arange(len(where)) + need - 1
+    inside = last < len(where)
+    end = np.minimum(last, len(where) - 1)
+    ok = inside & (order_key[end] == order_key) & (where[end] - where < width)
+    change = np.zeros(len(where) + 1, np.int64)
+    np.add.at(change, np.flatnonzero(ok), 1)
+    np.add.at(change, end[ok] + 1, -1)
+    return np.cumsum(change[:-1]) > 0
 
-def meet(block: Block, words: np.ndarray, places: np.ndarray, grams: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, word after the last) of the best passage of one text for each item that reaches `least`."""
-    at, hit = spot(block.seed_hash, grams)
-    if not hit.any():
-        return []
-    where, lo = places[hit], at[hit]
-    n = np.searchsorted(block.seed_hash, grams[hit], side="right") - lo
-    seed = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    where, owner = np.repeat(where, n), block.seed_owner[seed]
-    start = where - block.seed_at[seed]                                      # where the item would begin
+
+def hits(table: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the gram, row of the table) of each meeting; a table may hold a hash several times."""
+    at, hit = spot(table, grams)
+    lo = at[hit]
+    n = np.searchsorted(table, grams[hit], side="right") - lo
+    return np.repeat(np.flatnonzero(hit), n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def whole(block: Block, words: np.ndarray, ends: np.ndarray, lens: np.ndarray) -> list[tuple[int, int, float, int, int]]:
+    """(text, item, score, first word, word after the last) of the first copy of each short item in each text."""
     out = []
-    order = np.lexsort((start, owner))
-    owner, start = owner[order], start[order]
-    fresh = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(start, prepend=0) > block.lens[owner]))
-    best: dict[int, tuple[float, int, int]] = {}
-    for a, z in zip(fresh, [*fresh[1:], len(owner)], strict=True):
-        k = int(owner[a])
-        item, size = block.item(k), int(block.lens[k])
-        low, high = max(0, int(start[a]) - size // 2), min(len(words), int(start[z - 1]) + size + size // 2)
-        span = words[low:high]
-        kinds, times = np.unique(item, return_counts=True)
-        i, ok = spot(kinds, span)
-        shared = np.minimum(np.bincount(i[ok], minlength=len(kinds)), times).sum()
-        if shared < least * size:
+    for n, (table, owner) in block.short.items():
+        places, text = inner_starts(lens, n)
+        if not len(places):
             continue
-        score, end = align(item, span)
-        if score >= least * MATCH * size and score > best.get(k, (0,))[0]:
-            back, begin = align(item[::-1], span[:end][::-1])
-            best[k] = (score, low + end - begin, low + end)
-    for k, (score, first, last) in sorted(best.items()):
-        out.append((block.ids[k], score / (MATCH * int(block.lens[k])), first, last))
+        i, row = hits(table, window_hashes(words, n)[places])
+        _, first = np.unique(text[i] * len(block.ids) + owner[row], return_index=True)
+        for j in first:
+            t = int(text[i[j]])
+            start = int(places[i[j]] - (ends[t] - lens[t]))
+            out.append((t, int(owner[row[j]]), 1.0, start, start + n))
     return out
 
 
+def meet(block: Block, words: np.ndarray, ends: np.ndarray, lens: np.ndarray, places: np.ndarray, grams: np.ndarray, least: float) -> list[tuple[int, int, float, int, int]]:
+    """(text, item, score, first word, word after the last) of the best passage of each text for each item that reaches `least`."""
+    if not len(grams) or not len(block.seed_hash):
+        return []
+    i, row = hits(block.seed_hash, grams)
+    if not len(i):
+        return []
+    text = np.searchsorted(ends, places[i], side="right")
+    key = np.unique(np.stack((text * len(block.ids) + block.seed_owner[row], places[i])), axis=1)       # a place counts once for an item
+    key, where = key[0], key[1]
+    reach = np.floor(block.lens * (1 + 2 * (1 - least)) + 1e-9).astype(np.int64)                         # words of text that an alignment spans at most
+    k = key % len(block.ids)
+    keep = crowded(key, where, least_pairs(block.lens[k], least), reach[k])
+    key, where, k = key[keep], where[keep], k[keep]
+    fresh = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(where, prepend=0) > reach[k]))
+    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    sorted_items: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for a, z in zip(fresh, [*fresh[1:], len(key)], strict=True):
+        n, t = int(k[a]), int(key[a]) // len(block.ids)
+        size, far, begin = int(block.lens[n]), int(reach[n]), int(ends[t] - lens[t])
+        low, high = max(begin, int(where[a]) - far), min(int(ends[t]), int(where[z - 1]) + far + SEED)
+        span = words[low:high]
+        if n not in sorted_items:
+            sorted_items[n] = np.unique(block.item(n), return_counts=True)
+        kinds, times = sorted_items[n]
+        at, ok = spot(kinds, span)
+        if np.minimum(np.bincount(at[ok], minlength=len(kinds)), times).sum() < least * size:
+            continue
+        total = np.concatenate(([0], np.cumsum(ok)))
+        if (total[np.minimum(np.arange(len(span)) + far, len(span))] - total[:-1]).max() < least * size:  # no stretch with enough of the item's words
+            continue
+        score, end = align(block.item(n), span)
+        if score >= least * MATCH * size and score > best.get((t, n), (0,))[0]:
+            back, length = align(block.item(n)[::-1], span[:end][::-1])
+            best[t, n] = (score, low - begin + end - length, low - begin + end)
+    return [(t, n, score / (MATCH * int(block.lens[n])), first, last) for (t, n), (score, first, last) in sorted(best.items())]
+
+
 def leaks(docs: DataFrame, tests: DataFrame, least: float = 0.6, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and test item whose best local alignment reaches `least` of the item's own score: doc_id, item_id, score, first_word, last_word.
 
-    Words are lower-cased and cut at white space. Items of fewer than six words are not judged: chance would match them. Null
-    texts match nothing; repeated documents and items are judged each by itself; empty tables give an empty result. A passage
-    that shares no seed is not seen: a copy needs three words in a row from each stretch that was left of the item.
+    Words are lower-cased and cut at white space. Items of fewer than six words have to stand in the text as they are. Null
+    texts match nothing; repeated documents and items are judged each by itself; empty tables give an empty result.
     """
     spark = docs.sparkSession
     tests = tests.filter("text is not null").select("item_id", "text")
@@ -144,19 +168,16 @@ def leaks(docs: DataFrame, tests: DataFrame, least: float = 0.6, block_chars: in
     parts = []
     for k in range(blocks):
         block = Block([tuple(r) for r in tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()])   # about block_chars, by the count above
-        if not len(block.grams):
+        if not len(block.words):
             continue
-        block.choose(corpus_counts(docs, block))
 
         def run(batches, block=block):
             for b in slices(batches):
                 words, lens, places, grams = hashed(raw_texts(b))
-                ends, rows = np.cumsum(lens), []
-                if not spot(block.seed_hash, grams)[1].any():
+                ends, docs_of = np.cumsum(lens), b.column("doc_id").to_pylist()
+                rows = [(docs_of[t], block.ids[n], *r) for t, n, *r in sorted(meet(block, words, ends, lens, places, grams, least) + whole(block, words, ends, lens))]
+                if not rows:
                     continue
-                for doc, end, n in zip(b.column("doc_id").to_pylist(), ends, lens, strict=True):
-                    a, z = np.searchsorted(places, (end - n, end))
-                    rows += [(doc, *r) for r in meet(block, words[end - n:end], places[a:z] - (end - n), grams[a:z], least)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, (
                     pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "score", "first_word", "last_word"])
         parts.append(docs.select("doc_id", "text").mapInArrow(run, LEAKS))

@@ -164,6 +164,38 @@ def test_leaks_find_exact_and_edited_copies(spark, docs):
     assert leaks(df, tests.limit(0)).count() == 0 and leaks(df.limit(0), tests).count() == 0
 
 
+def test_leaks_equal_alignment_of_everything_when_all_words_are_common(spark):
+    from newsgauge.llm.decontaminate import align, hashed, leaks
+    r = random.Random(3)
+    items = [(k, words(n, 900 + k, 3000)) for k, n in enumerate([15, 15, 12, 8, 8, 6, 25, 30])]
+    rows = [(i, words(12, 7000 + i) + " " + items[i % len(items)][1] + " end") for i in range(200)]         # every trigram occurs 25 times
+    for i in range(200, 600):
+        w = items[i % len(items)][1].split()
+        for _ in range(r.randrange(1, 2 + len(w) // 3)):
+            at = r.randrange(len(w))
+            w[at:at + 1] = r.choice([["new"], [w[at], "put"], [], ["put", w[at]]])
+        rows.append((i, f"some {i} words " + " ".join(w) + f" after {i}"))
+    w = items[3][1].split()
+    rows.append((600, " ".join([*w[:2], "put", *w[2:4], "put", *w[4:6], "put", *w[6:]])))                    # no three words in a row
+    got = {(x.doc_id, x.item_id): round(x.score, 9) for x in leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    coded = {k: hashed([t.encode()])[0] for k, t in items}
+    want = {}
+    for i, t in rows:
+        text = hashed([t.encode()])[0]
+        for k, item in coded.items():
+            score = align(item, text)[0] / (2 * len(item))
+            if score >= 0.6:
+                want[i, k] = round(score, 9)
+    assert got == want and (600, 3) in want
+
+
+def test_short_items_are_matched_whole(spark):
+    from newsgauge.llm.decontaminate import leaks
+    docs = spark.createDataFrame([(1, "x the quick Fox y the quick fox"), (2, "the quick brown fox"), (3, "fox"), (4, "the quick"), (5, "fox runs")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "The quick fox"), (2, "fox"), (3, "a b c d e"), (4, " ")], "item_id long, text string")
+    assert {tuple(r) for r in leaks(docs, items).collect()} == {(1, 1, 1.0, 1, 4), (1, 2, 1.0, 3, 4), (2, 2, 1.0, 3, 4), (3, 2, 1.0, 0, 1), (5, 2, 1.0, 0, 1)}
+
+
 def test_language_model_prefers_trusted_text(spark, docs, labels):
     from newsgauge.llm.language_model import judged
     clean = [(i, words(80, i), "en") for i in range(100)]
