@@ -132,6 +132,8 @@ def meet(block: Block, words: np.ndarray, ends: np.ndarray, lens: np.ndarray, pl
     k = key % len(block.ids)
     keep = crowded(key, where, least_pairs(block.lens[k], least), reach[k])
     key, where, k = key[keep], where[keep], k[keep]
+    if not len(key):                                                         # seeds, but nowhere enough of them together
+        return []
     fresh = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(where, prepend=0) > reach[k]))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     sorted_items: dict[int, tuple[np.ndarray, np.ndarray]] = {}
