@@ -117,3 +117,10 @@ def with_calls(conversations: DataFrame) -> DataFrame:
 def op8_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     from newsgauge.llm.tool_calls import formatted
     return formatted(with_calls(table(spark, folder, "conversations")), TOOLS)
+
+
+@query
+def op11_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from newsgauge.llm.suffixes import without_repeats
+    done = without_repeats(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
