@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from newsgauge.llm.common import table
 from newsgauge.llm.line_dedup import CHECK_SQL as LINE_SQL
+from newsgauge.llm.prefix_trie import CHECK_SQL as TRIE_SQL
 from newsgauge.llm.url_filter import CHECK_SQL as URL_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +125,12 @@ def op11_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from newsgauge.llm.suffixes import without_repeats
     done = without_repeats(table(spark, folder, "documents"))
     return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from newsgauge.llm.prefix_trie import rebuilt, trie_nodes
+    return trie_nodes(rebuilt(table(spark, folder, "conversations")))
+
+
+SQL["op13_prefix_trie"] = TRIE_SQL
