@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsgauge.llm.bag_search import CHECK_SQL as BAG_SQL
 from newsgauge.llm.common import table
 from newsgauge.llm.line_dedup import CHECK_SQL as LINE_SQL
 from newsgauge.llm.prefix_trie import CHECK_SQL as TRIE_SQL
@@ -134,3 +135,12 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op13_prefix_trie"] = TRIE_SQL
+
+
+@query
+def op12_bag_search(spark: SparkSession, folder: str) -> DataFrame:
+    from newsgauge.llm.bag_search import ranked
+    return ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+SQL["op12_bag_search"] = BAG_SQL
