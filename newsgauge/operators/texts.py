@@ -5,12 +5,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgauge.functions.text import squeeze
 from newsgauge.operators.scaling import rank_by_id, rank_in_blocks, running_sum
-from newsgauge.session import summary
+from newsgauge.session import cut_point, summary
 
 # Signs that an ending is about running a channel.
 FOOTER_MARKERS = ["@", "t.me", "http", "подпис", "подпиш", "subscribe", "|", "¦", "прислать", "наш канал", "канал в", "по ссылке"]
@@ -93,46 +94,114 @@ def top_words(rows: DataFrame, keys: Sequence[str], text: str, stop: DataFrame,
     return counts.withColumn("place", F.row_number().over(rank).cast("long")).filter(F.col("place") <= k)
 
 
-def typical_phrase(rows: DataFrame, keys: Sequence[str], ident: str, text: str, shortest: int = 24, longest: int = 170,
-                   block: int = 512) -> DataFrame:
-    """Per key the phrase with the highest summed word overlap (Jaccard) with the key's other phrases.
+def _overlap_bounds(shared: np.ndarray, sizes: np.ndarray) -> tuple[float, float]:
+    """Bounds of a phrase's summed overlap, from how many phrases of each size hold each of its words (words x sizes).
 
-    Spellings differing in case count once, the earliest stands for them. Every phrase has to meet
-    every other one, so phrases are dealt into blocks and one task multiplies two blocks as word
-    matrices: no pair is ever a row, and no key is ever in one task.
+    A phrase that shares j words holds one of the rarest len - j + 1 of them, which bounds how many share so many. Overlap grows faster
+    than the number of shared words: the sum is greatest where the fewest phrases share the most words they can, and least where each shares one.
     """
+    n = len(shared)
+    j = np.arange(1, n + 1)[:, None]
+    possible = j <= np.minimum(n, sizes)
+    total = shared.sum(axis=0)
+    at_most = np.minimum.accumulate(np.where(possible, np.cumsum(np.sort(shared, axis=0), axis=0)[::-1], 0), axis=0)
+    overlap = j / np.maximum(n + sizes - j, 1)
+    step = np.where(possible, np.diff(overlap, axis=0, prepend=0.0), 0.0)
+    low, high = np.zeros(len(sizes)), at_most[0].astype(float)
+    for _ in range(30):                                                      # so many phrases, filled up in turn, use up all that is shared
+        level = (low + high) / 2
+        enough = np.minimum(at_most, level).sum(axis=0) >= total
+        low, high = np.where(enough, low, level), np.where(enough, level, high)
+    return float((total * overlap[0]).sum()), float((np.minimum(at_most, high) * step).sum())
+
+
+def _phrase_bounds(phrases: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _id, _low, _high) of every phrase, by an index of words: how many phrases of each size hold a word. Phrases never meet."""
     keys = list(keys)
-    trimmed = rows.select(*keys, F.col(ident).alias("_id"), F.trim(F.col(text)).alias("_p")).filter(F.length("_p").between(shortest, longest))
-    cand = trimmed.groupBy(*keys, F.lower("_p").alias("_l")).agg(F.min_by("_p", "_id").alias("_p"), F.min("_id").alias("_id"))
-    n_blocks = summary(cand.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb")))
-    dealt = cand.join(n_blocks, keys).select(
-        *keys, "_id", "_p", "_nb", F.array_distinct(F.split(squeeze(F.col("_l")), " ")).alias("_w"),
-        F.pmod(F.xxhash64("_l"), F.col("_nb")).cast("int").alias("_b"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
-    left = dealt.select(*keys, F.col("_b").alias("_i"), every.alias("_j"), "_id", "_w")
+    words = phrases.select(*keys, "_id", F.size("_w").alias("_n"), F.explode("_w").alias("_word"))
+    index = summary(words.groupBy(*keys, "_word", "_n").agg(F.count(F.lit(1)).alias("_c")).groupBy(*keys, "_word").agg(
+        F.collect_list("_n").alias("_sizes"), F.collect_list("_c").alias("_counts")))                # a word has as many entries as there are sizes
+    held = words.select(*keys, "_id", "_word").join(index, [*keys, "_word"]).groupBy(*keys, "_id").agg(F.collect_list("_sizes").alias("_sizes"), F.collect_list("_counts").alias("_counts"))
+
+    def bounds(batches):
+        for b in batches:
+            low, high = np.zeros(b.num_rows), np.zeros(b.num_rows)
+            for i, (lists, counts) in enumerate(zip(b.column("_sizes").to_pylist(), b.column("_counts").to_pylist(), strict=True)):
+                sizes = np.unique(np.concatenate(lists))
+                shared = np.zeros((len(lists), len(sizes)), np.int64)
+                for r, (x, c) in enumerate(zip(lists, counts, strict=True)):
+                    shared[r, np.searchsorted(sizes, x)] = c
+                shared[:, np.searchsorted(sizes, len(lists))] -= 1           # the phrase itself, whose overlap is one
+                low[i], high[i] = _overlap_bounds(shared, sizes)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (*keys, "_id")], pa.array(low + 1), pa.array(high + 1)], names=[*keys, "_id", "_low", "_high"])
+    types = dict(phrases.dtypes)
+    return held.mapInArrow(bounds, ", ".join([f"`{k}` {types[k]}" for k in (*keys, "_id")] + ["_low double", "_high double"]))
+
+
+def _phrase_scores(asked: DataFrame, phrases: DataFrame, keys: Sequence[str], asked_block: int, block: int) -> DataFrame:
+    """(keys, _id, _s): the summed overlap of each phrase in `asked` with all phrases of its key.
+
+    Both are dealt into blocks; one task looks the words of some asked phrases up in the inverted index of one block.
+    """
+    keys = list(keys)
+    count = lambda rows, per, name: rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias(name))
+    grid = summary(count(asked, asked_block, "_na").join(count(phrases, block, "_nb"), keys))
+    deal = lambda n: F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(grid, keys).select(*keys, "_id", "_w", deal("_na").alias("_i"), every("_nb").alias("_j"))
     left = left.select(*[F.col(c).alias(c) for c in left.columns])
-    right = dealt.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_b").alias("_rj"), every.alias("_ri"), F.col("_w").alias("_rw"))
+    right = phrases.join(grid, keys).select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_w").alias("_rw"), every("_na").alias("_ri"), deal("_nb").alias("_rj"))
 
     def overlap(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({k: [] for k in keys} | {"_id": [], "_s": []})
-        vocabulary = {w: i for i, w in enumerate({w for ws in a["_w"] for w in ws})}
-        def matrix(sets):
-            m = np.zeros((len(sets), len(vocabulary)), dtype=np.float32)
-            for r, ws in enumerate(sets):
-                m[r, [vocabulary[w] for w in ws if w in vocabulary]] = 1.0
-            return m
-        common = (matrix(a["_w"]) @ matrix(b["_rw"]).T).astype(np.float64)
-        sizes_a, sizes_b = a["_w"].map(len).to_numpy(), b["_rw"].map(len).to_numpy()
-        score = (common / (sizes_a[:, None] + sizes_b[None, :] - common)).sum(axis=1)
-        out = a[keys + ["_id"]].copy()
-        out["_s"] = score
-        return out
-
-    types = dict(cand.dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"_id {types['_id']}", "_s double"])
-    blocks = right.groupBy(*[f"_r_{k}" for k in keys], "_ri", "_rj")
-    parts = left.groupBy(*keys, "_i", "_j").cogroup(blocks).applyInPandas(overlap, schema)
-    scores = parts.groupBy(*keys, "_id").agg(F.round(F.sum("_s"), 9).alias("_s"))
+        number = {w: i for i, w in enumerate({w for ws in a["_w"] for w in ws})}
+        sizes = b["_rw"].map(len).to_numpy()
+        word = np.fromiter((number.get(w, -1) for ws in b["_rw"] for w in ws), np.int64, int(sizes.sum()))
+        row = np.repeat(np.arange(len(b)), sizes)[word >= 0]
+        order = np.argsort(word[word >= 0], kind="stable")
+        row, ends = row[order], np.cumsum(np.bincount(word[word >= 0], minlength=len(number)))
+        score = np.zeros(len(a))
+        for i, ws in enumerate(a["_w"]):
+            at = [number[w] for w in ws]
+            common = np.bincount(np.concatenate([row[ends[w - 1] if w else 0:ends[w]] for w in at]), minlength=len(b))
+            score[i] = (common / (len(ws) + sizes - common)).sum()
+        return a[[*keys, "_id"]].assign(_s=score)
+    types = dict(phrases.dtypes)
+    schema = ", ".join([f"`{k}` {types[k]}" for k in (*keys, "_id")] + ["_s double"])
+    parts = left.groupBy(*keys, "_i", "_j").cogroup(right.groupBy(*[f"_r_{k}" for k in keys], "_ri", "_rj")).applyInPandas(overlap, schema)
+    return parts.groupBy(*keys, "_id").agg(F.round(F.sum("_s"), 9).alias("_s"))
+
+
+def typical_phrase(rows: DataFrame, keys: Sequence[str], ident: str, text: str, shortest: int = 24, longest: int = 170,
+                   first: int = 256, asked_block: int = 1024, block: int = 4096) -> DataFrame:
+    """Per key the phrase with the highest summed word overlap (Jaccard) with the key's other phrases.
+
+    Spellings differing in case count once, the earliest stands for them. An index of words gives every phrase a lower and an upper bound. Phrases are
+    scored in the order of their upper bound, `first` of a key in the first round and four times as many in each that follows; the best score or lower
+    bound so far is a floor, and a phrase whose upper bound lies below it is never scored. Nothing is left out that could be the best.
+    """
+    keys = list(keys)
+    trimmed = rows.select(*keys, F.col(ident).alias("_id"), F.trim(F.col(text)).alias("_p")).filter(F.length("_p").between(shortest, longest))
+    cand = trimmed.groupBy(*keys, F.lower("_p").alias("_l")).agg(F.min_by("_p", "_id").alias("_p"), F.min("_id").alias("_id"))
+    cand = cut_point(cand.select(*keys, "_id", "_p", F.array_distinct(F.split(squeeze(F.col("_l")), " ")).alias("_w")), "phrases")
+    phrases = cand.select(*keys, "_id", "_w")
+    pending = cut_point(_phrase_bounds(phrases, keys), "bounds")
+    floor, scored = summary(pending.groupBy(*keys).agg(F.max("_low").alias("_floor"))), []
+    while True:
+        pending = pending.join(floor, keys).filter(F.col("_high") >= F.col("_floor") - 1e-6).drop("_floor")
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_high"), "_id"))
+        asked = cut_point(pending.withColumn("_place", place).filter(F.col("_place") <= first).select(*keys, "_id").join(phrases, [*keys, "_id"]), "asked")
+        scored.append(cut_point(_phrase_scores(asked, phrases, keys, asked_block, block), "overlaps"))
+        found = scored[-1].groupBy(*keys).agg(F.max("_s").alias("_best"))
+        floor = summary(floor.join(found, keys, "left").select(*keys, F.greatest("_floor", "_best").alias("_floor")))
+        pending = pending.join(asked.select(*keys, "_id"), [*keys, "_id"], "left_anti")
+        pending = cut_point(pending.join(floor, keys).filter(F.col("_high") >= F.col("_floor") - 1e-6).drop("_floor"), "pending")
+        if pending.isEmpty():
+            break
+        first *= 4
+    scores = scored[0]
+    for s in scored[1:]:
+        scores = scores.unionByName(s)
     best = scores.groupBy(*keys).agg(F.max_by("_id", F.struct(F.col("_s"), -F.col("_id"))).alias("_id"), F.max("_s").alias("overlap"))
-    return best.join(cand.select(*keys, "_id", F.col("_p").alias("phrase")), keys + ["_id"]).select(*keys, F.col("_id").alias(ident), "phrase", "overlap")
+    return best.join(cand.select(*keys, "_id", F.col("_p").alias("phrase")), [*keys, "_id"]).select(*keys, F.col("_id").alias(ident), "phrase", "overlap")

@@ -2,6 +2,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def test_typical_phrase_over_many_blocks(spark):
     rng = random.Random(6)
     words = [f"word{i}" for i in range(30)]
     rows = [("hot" if i % 3 else "k", i, " ".join(rng.sample(words, rng.randint(5, 12)))) for i in range(200)]
-    got = {r.k: r.phrase for r in X.typical_phrase(spark.createDataFrame(rows, "k string, id bigint, p string"), ["k"], "id", "p", block=16).collect()}
+    got = {r.k: r.phrase for r in X.typical_phrase(spark.createDataFrame(rows, "k string, id bigint, p string"), ["k"], "id", "p", first=4, asked_block=8, block=16).collect()}
     for key in ("hot", "k"):
         cand = [(i, p) for k, i, p in rows if k == key and 24 <= len(p) <= 170]
         sets = [set(p.split()) for _, p in cand]
@@ -55,6 +56,31 @@ def test_typical_phrase_over_many_blocks(spark):
         assert got[key] == cand[score.index(max(score))][1]
 
 
+def test_typical_phrase_of_a_key_with_fifty_thousand(spark, monkeypatch):
+    """The best of 50,000 phrases, most of which are never scored."""
+    rng, n = np.random.default_rng(3), 50_000
+    weight = 1 / np.arange(1, 241)
+    rows, sets = [], np.zeros((n, 240), np.float32)
+    for i, size in enumerate(rng.integers(6, 15, n).tolist()):
+        words = rng.choice(240, size, replace=False, p=weight / weight.sum())
+        sets[i, words] = 1
+        rows.append(("k", i, " ".join(f"word{w}" for w in words)))
+    rows = [(k, i, p) for k, i, p in rows if len(p) <= 170]
+    sets, sizes = sets[[i for _, i, _ in rows]], np.array([len(p.split()) for _, _, p in rows])
+    kinds, which = np.unique(sets, axis=0, return_inverse=True)              # orders of the same words are phrases of their own
+    score = np.zeros(len(kinds))
+    for a in range(0, len(kinds), 1000):
+        common = kinds[a:a + 1000] @ sets.T
+        score[a:a + 1000] = (common / (kinds[a:a + 1000].sum(axis=1)[:, None] + sizes - common)).sum(axis=1, dtype=np.float64)
+    asked = []
+    whole = X._phrase_scores
+    monkeypatch.setattr(X, "_phrase_scores", lambda a, *more: asked.append(a.count()) or whole(a, *more))
+    got = X.typical_phrase(spark.createDataFrame(rows, "k string, id bigint, p string"), ["k"], "id", "p").first()
+    at = [i for _, i, _ in rows].index(got.id)
+    assert score[which[at]] == pytest.approx(score.max(), rel=1e-6) and got.overlap == pytest.approx(score.max(), rel=1e-6)
+    assert sum(asked) < n / 4
+
+
 def test_interleave_and_budget(spark):
     rows = spark.createDataFrame([(i, "a" if i < 6 else "b", 10) for i in range(9)], "id bigint, g string, cost bigint")
     turned = X.interleave(rows, "g", "id")
