@@ -21,6 +21,7 @@ from newsgauge.session import cut_point
 SHARD_TURNS = 100_000      # turns of a shard, about
 FAN = 64                   # shards whose outer paths meet in one trie
 BLOCK_BITS = 12            # conversations that end alike are listed in blocks of 2^12 ids
+WINDOW = 512               # slots that are tried at a time for the children of a state
 NEVER = np.iinfo(np.int64).max
 STRAND = "path array<binary>, lens array<long>, n array<long>, conv array<long>, leaves array<long>, saved array<long>, kids array<long>, ends array<string>"
 NODE = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string, key binary, up binary"
@@ -32,7 +33,7 @@ class DoubleArray:
     """BASE and CHECK over dense turn codes from 1 on; state 0 is the root."""
 
     def __init__(self, codes: np.ndarray, lens: np.ndarray):
-        self.base, self.check = np.zeros(1, np.int64), np.full(1, -2, np.int64)
+        self.base, self.check, self.low = np.zeros(1, np.int64), np.full(1, -2, np.int64), 1
         starts, state = np.cumsum(lens) - lens, np.zeros(len(lens), np.int64)
         wide = int(codes.max(initial=0)) + 1
         for d in range(int(lens.max(initial=0))):
@@ -44,27 +45,33 @@ class DoubleArray:
 
     def grow(self, size: int) -> None:
         if size > len(self.base):
-            more = max(size, 2 * len(self.base)) - len(self.base)
+            more = max(size, len(self.base) * 5 // 4) - len(self.base)
             self.base, self.check = np.append(self.base, np.zeros(more, np.int64)), np.append(self.check, np.full(more, -1, np.int64))
 
     def place(self, parents: np.ndarray, codes: np.ndarray) -> None:
         """Give each of these parents, none of which has children yet, slots for all its children (sorted by parent)."""
+        open_slots = np.flatnonzero(self.check[self.low:] == -1)
+        self.low = self.low + int(open_slots[0]) if len(open_slots) else len(self.check)
         first = np.flatnonzero(np.append(True, parents[1:] != parents[:-1]))
         sizes = np.diff(np.append(first, len(parents)))
+        scan = self.low
         for a, n in zip(first[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
             mine = codes[a:a + n] - codes[a]
-            free = np.flatnonzero(self.check == -1)[:16]
-            free = free[free + mine[-1] < len(self.check)]
-            fits = free[(self.check[free[:, None] + mine] == -1).all(axis=1)] if len(free) else free
-            x = int(fits[0]) if len(fits) else len(self.check)
-            self.grow(x + int(mine[-1]) + 1)
+            while True:                                                      # what a window has no room for is left to only children
+                self.grow(scan + WINDOW + int(mine[-1]) + 1)
+                free = scan + np.flatnonzero(self.check[scan:scan + WINDOW] == -1)
+                fits = free[(self.check[free[:, None] + mine] == -1).all(axis=1)]
+                if len(fits):
+                    break
+                scan += WINDOW
+            x = int(fits[0])
             self.base[parents[a]] = x - codes[a]
             self.check[x + mine] = parents[a]
         alone = first[sizes == 1]                                            # an only child fits into any slot
-        free = np.flatnonzero(self.check == -1)
+        free = self.low + np.flatnonzero(self.check[self.low:] == -1)
         if len(free) < len(alone):
             self.grow(len(self.check) + len(alone) - len(free))
-            free = np.flatnonzero(self.check == -1)
+            free = self.low + np.flatnonzero(self.check[self.low:] == -1)
         free = free[:len(alone)]
         self.base[parents[alone]] = free - codes[alone]
         self.check[free] = parents[alone]
@@ -91,6 +98,14 @@ def chained(path: list[bytes]) -> list[bytes]:
     return out
 
 
+def level_codes(keys: pa.Array, lens: np.ndarray) -> np.ndarray:
+    """Dense codes from 1 on, given level by level: turns that follow the same path get neighbouring codes, which pack tightly."""
+    order = np.argsort(np.arange(len(keys)) - np.repeat(np.cumsum(lens) - lens, lens), kind="stable")
+    codes = np.empty(len(keys), np.int64)
+    codes[order] = keys.take(pa.array(order)).dictionary_encode().indices.to_numpy() + 1
+    return codes
+
+
 def flat(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return column.flatten(), np.diff(column.offsets.to_numpy())
 
@@ -102,7 +117,7 @@ def merged(t: pa.Table, shard: int, last_round: bool, named: bool) -> pa.Table:
     """
     keys, lens = flat(t.column("path").combine_chunks())
     col = {c: flat(t.column(c).combine_chunks())[0].to_numpy() for c in ("n", "conv", "leaves", "saved", "kids")}
-    codes = keys.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    codes = level_codes(keys, lens)
     trie = DoubleArray(codes, lens)
     states = trie.walk(codes, lens)
     size = len(trie.base)

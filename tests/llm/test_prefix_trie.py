@@ -79,3 +79,16 @@ def test_double_array_keeps_children_apart():
     assert len(set(seen.values())) == len(seen)
     with pytest.raises(ValueError):
         trie.walk(np.array([9, 9, 9]), np.array([3]))
+
+
+def test_slots_stay_near_the_number_of_nodes():
+    """Thousands of states with several children each, as hot first turns give."""
+    import pyarrow as pa
+    from newsgauge.llm.prefix_trie import DoubleArray, level_codes
+    r = random.Random(1)
+    paths = sorted([f"a{r.randrange(3000)}".encode(), f"b{r.randrange(10 ** 6)}".encode(), f"c{r.randrange(5)}".encode()] for _ in range(20_000))
+    lens = np.full(len(paths), 3)
+    codes = level_codes(pa.array([k for p in paths for k in p]), lens)
+    trie = DoubleArray(codes, lens)
+    nodes = len({tuple(p[:d]) for p in paths for d in range(4)})
+    assert len(np.unique(trie.walk(codes, lens))) == nodes and len(trie.check) < 2 * nodes + len(paths)
