@@ -9,10 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgauge.operators.scaling import rank_by_score
-from newsgauge.session import summary
-
-# Up to this many rows per key Spark cuts a ranking to its first rows before the shuffle.
-LIMITED = 1000
+from newsgauge.session import cut_point, summary
 
 
 def keyword_search(posts: DataFrame, start: str, end_exclusive: str, terms: Mapping[str, Sequence[str]], limit: int) -> DataFrame:
@@ -38,45 +35,104 @@ def unit(vector: str):
     return F.transform(v, lambda x: x / norm)
 
 
-def _score_block(ids, matrix: np.ndarray, asked: pd.DataFrame) -> pd.DataFrame:
-    """Best probe of every event for a block of vectors: one matrix product per event."""
-    out = []
-    for event, mine in asked.sort_values("probe").groupby("event_id"):
-        s = matrix @ np.stack(mine["probe_vector"].to_numpy()).T
-        top = s.argmax(axis=1)
-        out.append(pd.DataFrame({"event_id": event, "id": ids, "score": s[np.arange(len(s)), top], "probe": mine["probe"].to_numpy()[top]}))
-    return pd.concat(out) if out else pd.DataFrame({"event_id": [], "id": [], "score": [], "probe": []})
+def _best_probes(matrix: np.ndarray, mine: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(score, probe) of the best of an event's probes for each vector; mine is sorted by probe, so ties go to the smaller one.
+
+    Cosines are taken to 12 digits: the order of equal ones must not hang on the order of a sum.
+    """
+    s = np.round(matrix @ np.stack(mine["probe_vector"].to_numpy()).T, 12)
+    top = s.argmax(axis=1)
+    return s[np.arange(len(s)), top], mine["probe"].to_numpy()[top]
+
+
+def _first(score: np.ndarray, ident: np.ndarray, top_k: int) -> np.ndarray:
+    """Places of the first K by score, ties by id: a bounded heap of one block."""
+    at = np.arange(len(score)) if len(score) <= top_k else np.flatnonzero(score >= np.partition(score, -top_k)[-top_k])
+    return at[np.lexsort((ident[at], -score[at]))[:top_k]]
 
 
-def probe_scores(vectors: DataFrame, probes: DataFrame, window: str, ident: str, vector: str, rows_per_block: int = 4096, probes_per_block: int = 256) -> DataFrame:
-    """The best probe of every event for every vector of the event's window, as (event_id, id, score, probe); ties go to the smaller probe.
+def _met(vectors: DataFrame, probes: DataFrame, window: str, ident: str, vector: str, rows_per_block: int, probes_per_block: int):
+    """Blocks of vectors and blocks of probes of one window, cogrouped: each block of one side meets each of the other once.
 
-    Vectors and probes must be unit length. Both are dealt into blocks of their window, each block of vectors meets
-    each block of probes as one matrix product, and the best probes of the blocks are combined.
+    An event's probes stay together, unless they alone are more than a block; `_parts` tells in how many they are.
     """
-    count = lambda rows, per, name: rows.groupBy(window).agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias(name))
-    grid = summary(count(vectors, rows_per_block, "_nv").join(count(probes, probes_per_block, "_np"), window))
+    count = lambda rows, keys, per, name: rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias(name))
+    grid = summary(count(vectors, [window], rows_per_block, "_nv").join(count(probes, [window], probes_per_block, "_np"), window))
+    parts = summary(count(probes, ["event_id"], probes_per_block, "_parts"))
     block = lambda n, *of: F.pmod(F.xxhash64(*of), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = vectors.join(grid, window).select(
         F.col(window).alias("_w"), F.col(ident).alias("_id"), F.col(vector).alias("_v"), block("_nv", ident).alias("_b"), every("_np").alias("_p"))
-    asked = probes.join(grid, window).select(
-        F.col(window).alias("_pw"), every("_nv").alias("_pb"), block("_np", "event_id", "probe").alias("_pp"), "event_id", "probe", "probe_vector")
-    kinds = dict(asked.dtypes) | dict(dealt.dtypes)
+    part = F.when(F.col("_parts") > 1, block("_parts", "probe")).otherwise(0)
+    asked = probes.join(grid, window).join(parts, "event_id").withColumn("_part", part).select(
+        F.col(window).alias("_pw"), every("_nv").alias("_pb"), block("_np", "event_id", "_part").alias("_pp"), "event_id", "probe", "probe_vector", "_parts")
+    return dealt.groupBy("_w", "_b", "_p").cogroup(asked.groupBy("_pw", "_pb", "_pp")), dict(asked.dtypes) | dict(dealt.dtypes)
+
+
+def probe_scores(vectors: DataFrame, probes: DataFrame, window: str, ident: str, vector: str, top_k: int | None = None, floor: float | None = None,
+                 rows_per_block: int = 4096, probes_per_block: int = 256) -> DataFrame:
+    """The best probe of every event for every id of the event's window, as (event_id, id, score, probe); ties go to the smaller probe.
+
+    Vectors and probes must be unit length. An id with several vectors (a post's fragments) has the score of its best one, found
+    inside its block. Below `floor` nothing leaves a block, and with `top_k` no more than K ids of an event do: an id among the first K is among
+    the first K of the block that holds its best probe, and what else leaves a block with a lower score ranks behind K others.
+    """
+    met, kinds = _met(vectors, probes, window, ident, vector, rows_per_block, probes_per_block)
     schema = f"event_id {kinds['event_id']}, id {kinds['_id']}, score double, probe {kinds['probe']}"
 
     def best(rows: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or mine.empty:
-            return pd.DataFrame({"event_id": [], "id": [], "score": [], "probe": []})
-        return _score_block(rows["_id"].to_numpy(), np.stack(rows["_v"].to_numpy()), mine)
-
-    partial = dealt.groupBy("_w", "_b", "_p").cogroup(asked.groupBy("_pw", "_pb", "_pp")).applyInPandas(best, schema)
+        out = [pd.DataFrame({"event_id": [], "id": [], "score": [], "probe": []})]
+        if len(rows) and len(mine):
+            order = np.argsort(rows["_id"].to_numpy(), kind="stable")
+            ids, matrix = rows["_id"].to_numpy()[order], np.stack(rows["_v"].to_numpy()[order])
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            for event, group in mine.sort_values("probe").groupby("event_id"):
+                score, probe = _best_probes(matrix, group)
+                if len(first) < len(ids):                                    # the best vector of each id
+                    own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
+                    at = np.lexsort((probe, -score, own))[first]
+                    score, probe = score[at], probe[at]
+                mine_ids = ids[first]
+                if floor is not None:
+                    high = score >= floor
+                    score, probe, mine_ids = score[high], probe[high], mine_ids[high]
+                if top_k is not None:
+                    at = _first(score, mine_ids, top_k)
+                    score, probe, mine_ids = score[at], probe[at], mine_ids[at]
+                out.append(pd.DataFrame({"event_id": event, "id": mine_ids, "score": score, "probe": probe}))
+        return pd.concat(out[1:] if len(out) > 1 else out)
+
+    partial = met.applyInPandas(best, schema)
     return partial.groupBy("event_id", "id").agg(F.max("score").alias("score"), F.min_by("probe", F.struct(-F.col("score"), F.col("probe"))).alias("probe"))
 
 
-def pool_fragments(scores: DataFrame, fragments: DataFrame, owners: DataFrame) -> DataFrame:
-    """A post's score is its best fragment's; a post without fragments scores -1."""
-    best = scores.join(fragments.select("id", "owner_id"), "id").groupBy("event_id", "owner_id").agg(F.max("score").alias("score"))
+def probe_summary(vectors: DataFrame, probes: DataFrame, window: str, ident: str, vector: str, rows_per_block: int = 4096, probes_per_block: int = 256) -> DataFrame:
+    """(event_id, scored, mean_best, best) over the vectors of the event's window, each with its best probe. Ids have one vector each.
+
+    One row of sums for each event leaves a block. Only of an event whose probes are more than a block the vectors' scores do, to meet those of its other probes.
+    """
+    met, kinds = _met(vectors, probes, window, ident, vector, rows_per_block, probes_per_block)
+
+    def sums(rows: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"event_id": [], "id": [], "n": [], "total": [], "best": []})]
+        if len(rows) and len(mine):
+            matrix = np.stack(rows["_v"].to_numpy())
+            for event, group in mine.sort_values("probe").groupby("event_id"):
+                score, _ = _best_probes(matrix, group)
+                whole = group["_parts"].iloc[0] == 1
+                out.append(pd.DataFrame({"event_id": event, "id": [None] if whole else rows["_id"].to_numpy(), "n": [len(score)] if whole else 1,
+                                         "total": [score.sum()] if whole else score, "best": [score.max()] if whole else score}))
+        return pd.concat(out[1:] if len(out) > 1 else out)
+
+    partial = cut_point(met.applyInPandas(sums, f"event_id {kinds['event_id']}, id {kinds['_id']}, n long, total double, best double"), "probe-sums")
+    split = partial.filter("id is not null").groupBy("event_id", "id").agg(F.max("best").alias("best")).select("event_id", F.lit(1).cast("long").alias("n"), F.col("best").alias("total"), "best")
+    both = partial.filter("id is null").select("event_id", "n", "total", "best").unionByName(split)
+    return both.groupBy("event_id").agg(F.sum("n").alias("scored"), (F.sum("total") / F.sum("n")).alias("mean_best"), F.max("best").alias("best"))
+
+
+def pool_fragments(scores: DataFrame, owners: DataFrame) -> DataFrame:
+    """Every post of an event with the score of its best fragment; a post without fragments scores -1. `scores` has posts as ids."""
+    best = scores.select("event_id", F.col("id").alias("owner_id"), "score")
     return owners.join(best, ["event_id", "owner_id"], "left").withColumn("score", F.coalesce("score", F.lit(-1.0)))
 
 
@@ -84,11 +140,10 @@ def candidates(scores: DataFrame, keys: Sequence[str], score: str, ident: str, t
                lo: float = -1.0, hi: float = 1.0) -> DataFrame:
     """Posts in score order, ties by id, above the floor and within the first K."""
     kept = scores if floor is None else scores.filter(F.col(score) >= floor)
-    if top_k is not None and top_k <= LIMITED:
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), ident))
-        return kept.withColumn("rank", place).filter(F.col("rank") <= top_k).withColumn("rank", F.col("rank").cast("long"))
-    ranked = rank_by_score(kept, keys, score, ident, lo, hi)
-    return ranked if top_k is None else ranked.filter(F.col("rank") <= top_k)
+    if top_k is None:
+        return rank_by_score(kept, keys, score, ident, lo, hi)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), ident))      # cut to K rows of a key before the shuffle
+    return kept.withColumn("rank", place).filter(F.col("rank") <= top_k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def space_check(stored: DataFrame, variants: DataFrame, ident: str) -> DataFrame:

@@ -63,7 +63,7 @@ _CONF = f"select event, tp, fp, on_event - tp as lost, fp as extra, tp + fp as k
 sql_view("x_vec", """select vec_id as id, vec_id // 4 as owner_id, (vec_id // 4 % 3)::int as win, label,
   list_transform(embedding::double[], lambda x: x / greatest(sqrt(list_dot_product(embedding::double[], embedding::double[])), 1e-12)) as vector from embeddings""")
 sql_view("x_probe", """select label as event_id, label % 3 as win, rn - 1 as probe, vector as q from (select *, row_number() over (partition by label order by id) as rn from x_vec) where rn <= 3""")
-sql_view("x_ps", """select event_id, v.id, max(list_dot_product(vector, q)) as score, arg_max(probe, list_dot_product(vector, q))::int as probe
+sql_view("x_ps", """select event_id, v.id, max(round(list_dot_product(vector, q), 12)) as score, arg_max(probe, (round(list_dot_product(vector, q), 12), -probe))::int as probe
   from x_vec v join x_probe p on p.win = v.win group by all""")
 
 
@@ -80,8 +80,7 @@ def _(d):
 
 @query("vec_multi_event", "select event_id, count(*) as scored, avg(score) as mean_best, max(score) as best from x_ps group by 1", "mean_best best")
 def _(d):
-    scores = RT.probe_scores(d.vectors, d.probes, "window", "id", "vector")
-    return scores.groupBy("event_id").agg(F.count(F.lit(1)).alias("scored"), F.avg("score").alias("mean_best"), F.max("score").alias("best"))
+    return RT.probe_summary(d.vectors, d.probes, "window", "id", "vector")
 
 
 _POOL = """select e.event_id, o.owner_id, coalesce(max(s.score), -1) as score from (select distinct event_id, win from x_probe) e
@@ -90,20 +89,21 @@ _POOL = """select e.event_id, o.owner_id, coalesce(max(s.score), -1) as score fr
 sql_view("x_pool", _POOL)
 
 
-def _pooled(d):
-    fragments = d.vectors.filter("owner_id % 17 <> 0")
-    owners = d.vectors.select("owner_id", "window").distinct().join(d.probes.select("event_id", "window").distinct(), "window").select("event_id", "owner_id")
-    return RT.pool_fragments(d.probe_scores, fragments, owners)
+def _fragment_scores(d, **limits):
+    """A post's fragments are vectors of one id; every seventeenth post has none."""
+    return RT.probe_scores(d.vectors.filter("owner_id % 17 <> 0"), d.probes, "window", "owner_id", "vector", **limits)
 
 
 @query("vec_fragment_pool", "select * from x_pool", "score")
 def _(d):
-    return _pooled(d)
+    owners = d.vectors.select("owner_id", "window").distinct().join(d.probes.select("event_id", "window").distinct(), "window").select("event_id", "owner_id")
+    return RT.pool_fragments(_fragment_scores(d), owners)
 
 
 @query("vec_top_k", "select * from (select event_id, owner_id, score, row_number() over (partition by event_id order by score desc, owner_id) as rank from x_pool where score >= 0.1) where rank <= 25", "score")
 def _(d):
-    return RT.candidates(_pooled(d), ["event_id"], "score", "owner_id", top_k=25, floor=0.1)
+    scores = _fragment_scores(d, top_k=25, floor=0.1).select("event_id", F.col("id").alias("owner_id"), "score")
+    return RT.candidates(scores, ["event_id"], "score", "owner_id", top_k=25, floor=0.1)
 
 
 @query("vec_space_check", """with v as (select id, 'rounded' as variant, list_transform(vector, lambda x: round(x, 1)) as b from x_vec union all

@@ -17,6 +17,7 @@ def build_session(app: str = "newsgauge", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "10000")    # rankings with k up to this are cut to k rows per key before the shuffle
     )
     if master:
         b = b.master(master)

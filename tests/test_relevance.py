@@ -80,7 +80,7 @@ def test_probe_scores_in_many_blocks(spark):
     probes = [(e, w, p, unit([rng.gauss(0, 1) for _ in range(8)])) for e, w in ((1, 0), (2, 1), (3, 1)) for p in range(3)]
     v = spark.createDataFrame(vecs, "id bigint, window int, vector array<double>")
     q = spark.createDataFrame(probes, "event_id int, window int, probe int, probe_vector array<double>")
-    whole, dealt = ({(r.event_id, r.id): (round(r.score, 9), r.probe) for r in RT.probe_scores(v, q, "window", "id", "vector", *sizes).collect()}
+    whole, dealt = ({(r.event_id, r.id): (round(r.score, 9), r.probe) for r in RT.probe_scores(v, q, "window", "id", "vector", rows_per_block=sizes[0], probes_per_block=sizes[1]).collect()}
                     for sizes in ((4096, 256), (20, 2)))
     want = {}
     for e in (1, 2, 3):
@@ -90,3 +90,25 @@ def test_probe_scores_in_many_blocks(spark):
                 s = [sum(a * b for a, b in zip(vec, p[3])) for p in mine]
                 want[e, i] = (round(max(s), 9), s.index(max(s)))
     assert whole == want and dealt == want
+    sizes = {"rows_per_block": 20, "probes_per_block": 2}
+    pooled = {}
+    for (e, i), (score, probe) in want.items():
+        pooled[e, i // 4] = min(pooled.get((e, i // 4), (9, 9)), (-score, probe))
+    posts = RT.probe_scores(v.withColumn("post", (v.id / 4).cast("bigint")), q, "window", "post", "vector", **sizes).collect()
+    assert {(r.event_id, r.id): (-round(r.score, 9), r.probe) for r in posts} == pooled
+    few = RT.probe_scores(v, q, "window", "id", "vector", top_k=5, floor=0.3, **sizes)
+    got = {(r.event_id, r.id, round(r.score, 9), r.rank) for r in RT.candidates(few.drop("probe"), ["event_id"], "score", "id", top_k=5).collect()}
+    ranked = {(e, i, s, k) for e in (1, 2, 3) for k, (s, i) in enumerate(sorted(((s, i) for (e2, i), (s, _) in want.items() if e2 == e and s >= 0.3), key=lambda x: (-x[0], x[1]))[:5], 1)}
+    assert got == ranked
+    for sums in (RT.probe_summary(v, q, "window", "id", "vector", **sizes), RT.probe_summary(v, q, "window", "id", "vector")):
+        for r in sums.collect():
+            mine = [s for (e, _), (s, _) in want.items() if e == r.event_id]
+            assert (r.scored, round(r.best, 9)) == (len(mine), max(mine)) and r.mean_best == pytest.approx(sum(mine) / len(mine))
+
+
+def test_no_more_than_k_rows_of_an_event_leave_a_block(spark, monkeypatch):
+    rng = random.Random(9)
+    v = spark.createDataFrame([(i, 0, [rng.gauss(0, 1) for _ in range(4)]) for i in range(400)], "id bigint, window int, vector array<double>")
+    q = spark.createDataFrame([(e, 0, 0, [rng.gauss(0, 1) for _ in range(4)]) for e in range(3)], "event_id int, window int, probe int, probe_vector array<double>")
+    few = RT.probe_scores(v, q, "window", "id", "vector", top_k=2, rows_per_block=100)
+    assert few.count() <= 4 * 3 * 2 and RT.probe_scores(v, q, "window", "id", "vector", rows_per_block=100).count() == 1200
