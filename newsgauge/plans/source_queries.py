@@ -14,6 +14,7 @@ from newsgauge.session import run_dir
 from newsgauge.sources import previews as PV
 from newsgauge.sources import readers as RD
 from newsgauge.sources import sinks as SK
+from newsgauge.sources.store import PostStore
 
 
 @query("src_csv_infer", "select year, week, event, nullif(description, '') as description, percentage from x_rawsurvey")
@@ -105,7 +106,11 @@ def _(d):
     posts = d.posts.select("source_name", "message_id", "published_at")
     stop = F.date_sub(F.lit("1998-06-01").cast("date"), F.length("source_name") * 10).cast("timestamp_ntz")
     arriving = posts.filter(F.col("published_at") >= F.lit("1998-01-01").cast("timestamp_ntz"))
-    return RD.append_newer(posts.filter(F.col("published_at") < stop), arriving, "source_name", "published_at", ["source_name", "message_id"]).select("source_name", "message_id")
+    schema = ", ".join(f"{c} {kind}" for c, kind in posts.dtypes)
+    store = PostStore(d.spark, run_dir(d.spark, "posts"), schema, "source_name", "published_at", "message_id").create()
+    store.append(posts.filter(F.col("published_at") < stop), "archive")
+    store.append(arriving, "collected")
+    return store.posts(F.col("batch") == "collected").select("source_name", "message_id")
 
 
 @query("src_resume_pending", "select doc_id as message_id from documents where doc_id % 3 <> 0 or doc_id % 9 = 0")
@@ -176,9 +181,9 @@ def _(d):
   count(*) filter (where k and not keyword_match) as kept_semantic_only, (count(*) filter (where k and keyword_match))::double / count(*) filter (where keyword_match) as keyword_pool_retention
   from (select *, rerank_score >= 0.95::double as k from x_rawmatches)""", "keyword_pool_retention")
 def _(d):
-    path = run_dir(d.spark, "manifest")
-    SK.run_manifest(d.raw_matches, "rerank_score", 0.95, "keyword_match", {"retriever": "fulltext"}).write.json(path)
-    return d.spark.read.json(path).select("params.rerank_threshold", "counts.*")
+    path = run_dir(d.spark, "run")
+    SK.write_run(d.raw_matches, "rerank_score", 0.95, "keyword_match", {"retriever": "fulltext"}, path)
+    return d.spark.read.json(f"{path}/manifest").select("params.rerank_threshold", "counts.*")
 
 
 @query("sink_partitioned_detail", """with g as (select event_id, count(*) as n from x_coverage group by 1), y as (select event_id, count(*) as n, sum(matched_posts)::bigint as m from x_daily group by 1),
@@ -210,7 +215,9 @@ def _(d):
   union all select 'week_events', (select count(*) from x_weekevents)""")
 def _(d):
     marts = {"event_overview": d.overview, "event_group_coverage": d.coverage, "week_events": d.week_events, "messages": d.messages}
-    return SK.publish(marts, ["event_overview", "event_group_coverage", "week_events"], run_dir(d.spark, "published"))
+    folder = run_dir(d.spark, "published")
+    SK.publish(marts, ["event_overview", "event_group_coverage", "week_events"], folder)
+    return SK.published_counts(d.spark, folder)
 
 
 # ---------------------------------------------------------------------------- preview pages

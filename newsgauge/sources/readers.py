@@ -86,13 +86,6 @@ def corpus_union(archive: DataFrame, newer: DataFrame) -> DataFrame:
     return a.select(*columns).unionByName(missing.select(*columns))
 
 
-def append_newer(existing: DataFrame, arriving: DataFrame, source: str, at: str, keys: Sequence[str]) -> DataFrame:
-    """Arriving rows past each source's newest stored one, each key once, none already stored."""
-    mark = existing.groupBy(source).agg(F.max(at).alias("_mark"))
-    fresh = arriving.join(mark, source, "left").filter(F.col("_mark").isNull() | (F.col(at) > F.col("_mark"))).drop("_mark")
-    return fresh.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
-
-
 def read_done_ids(lines: DataFrame, column: str = "value", field: str = "message_id") -> DataFrame:
     """Ids out of result lines; a broken or incomplete line gives none."""
     ident = F.get_json_object(column, f"$.{field}")

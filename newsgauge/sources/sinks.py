@@ -1,9 +1,12 @@
 """Writing results: datasets, manifests, per-event bundles, monthly text and published marts."""
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,14 +19,17 @@ def write_dataset(candidates: DataFrame, kept: DataFrame, folder: str) -> dict[s
     return paths
 
 
-def run_manifest(candidates: DataFrame, score: str, cut: float, keyword: str, settings: Mapping[str, str]) -> DataFrame:
-    """One row of settings and counts for a matching run."""
-    kept, word = F.col(score) >= cut, F.col(keyword)
-    c = candidates.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(kept).alias("kept"), F.count_if(kept & word).alias("kept_keyword"),
-                       F.count_if(kept & ~word).alias("kept_semantic_only"), F.count_if(word).alias("_pool"))
-    retention = F.col("kept_keyword").cast("double") / F.nullif(F.col("_pool"), F.lit(0))
-    params = F.struct(*[F.lit(v).alias(k) for k, v in settings.items()], F.lit(cut).alias("rerank_threshold"))
-    return c.select(params.alias("params"), F.struct("candidates", "kept", "kept_keyword", "kept_semantic_only", retention.alias("keyword_pool_retention")).alias("counts"))
+def write_run(candidates: DataFrame, score: str, cut: float, keyword: str, settings: Mapping[str, str], folder: str) -> dict[str, int]:
+    """Write a matching run's candidates, and a manifest of its settings and counts. The counts are taken while the candidates are written, in one pass."""
+    kept, word, seen = F.col(score) >= cut, F.col(keyword), Observation()
+    counted = candidates.observe(seen, F.count(F.lit(1)).alias("candidates"), F.count_if(kept).alias("kept"), F.count_if(kept & word).alias("kept_keyword"),
+                                 F.count_if(kept & ~word).alias("kept_semantic_only"), F.count_if(word).alias("pool"))
+    counted.write.parquet(f"{folder}/candidates")
+    counts = dict(seen.get)
+    pool = counts.pop("pool")
+    row = {"params": {**settings, "rerank_threshold": cut}, "counts": {**counts, "keyword_pool_retention": counts["kept_keyword"] / pool if pool else None}}
+    candidates.sparkSession.createDataFrame([(json.dumps(row),)], "value string").coalesce(1).write.text(f"{folder}/manifest")
+    return counts
 
 
 def detail_bundles(events: DataFrame, parts: Mapping[str, DataFrame]) -> DataFrame:
@@ -46,14 +52,49 @@ def write_partitioned(df: DataFrame, path: str, by: str, fmt: str = "json") -> s
     return path
 
 
-def publish(marts: Mapping[str, DataFrame], allowed: Sequence[str], folder: str) -> DataFrame:
-    """Write the allowed marts and report their row counts; a missing mart stops the run before anything is written."""
+COMMITS = "mart string, path string, rows long, seq int"
+
+
+def commits(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(COMMITS).json(f"{folder}/commits")
+
+
+def _last(spark: SparkSession, folder: str) -> int:
+    try:
+        return commits(spark, folder).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    except AnalysisException as e:                                           # nothing was published here yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+
+
+def publish(marts: Mapping[str, DataFrame], allowed: Sequence[str], folder: str) -> int:
+    """Publish the allowed marts together and return the number of the set. A missing mart stops the run before anything is written.
+
+    Marts are written to a folder of their own, each counted while it is written. One small file then names the set; until it is there, readers
+    have the set before, and a mart that fails leaves that as it was.
+    """
     missing = [name for name in allowed if name not in marts]
     if missing:
-        raise RuntimeError("these marts are not built: " + ", ".join(missing))
-    report = None
+        raise RuntimeError("marts asked for but not given: " + ", ".join(missing))
+    staged, spark, rows = f"{folder}/sets/{uuid.uuid4().hex[:12]}", None, []
     for name in allowed:
-        marts[name].write.parquet(f"{folder}/{name}")
-        part = marts[name].sparkSession.read.parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("mart"), "rows")
-        report = part if report is None else report.unionByName(part)
-    return report
+        seen, spark = Observation(), marts[name].sparkSession
+        marts[name].observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{staged}/{name}")
+        rows.append(json.dumps({"mart": name, "path": f"{staged}/{name}", "rows": seen.get["rows"]}))
+    seq = _last(spark, folder) + 1
+    spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.text(f"{folder}/commits/seq={seq}")
+    return seq
+
+
+def published_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(mart, rows) of the set that readers have now."""
+    return commits(spark, folder).filter(F.col("seq") == _last(spark, folder)).select("mart", "rows")
+
+
+def read_published(spark: SparkSession, folder: str, mart: str) -> DataFrame:
+    """A mart of the set published last."""
+    path = commits(spark, folder).filter((F.col("seq") == _last(spark, folder)) & (F.col("mart") == mart)).first()
+    if path is None:
+        raise LookupError(f"no mart {mart} in the last set")
+    return spark.read.parquet(path.path)

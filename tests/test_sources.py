@@ -10,7 +10,8 @@ from newsgauge.session import run_dir
 from newsgauge.sources import previews as PV
 from newsgauge.sources import readers as RD
 from newsgauge.sources import sinks as SK
-from newsgauge.streaming.collector import follow_posts
+from newsgauge.sources.store import PostStore
+from newsgauge.streaming.collector import daily_coverage, follow_posts
 
 POST = "source_name string, message_id bigint, published_at timestamp"
 
@@ -37,16 +38,38 @@ def test_empty_search_that_kept_posts_stops_the_load(spark):
     assert RD.manifest_rows(RD.read_manifests(spark, good)).first().retriever == "summary"
 
 
-def test_publish_and_bundles_refuse_gaps(spark):
-    df = spark.range(3)
-    with pytest.raises(RuntimeError, match="not built: b"):
-        SK.publish({"a": df}, ["a", "b"], run_dir(spark, "p"))
+def test_bundles_refuse_gaps(spark):
     events = spark.createDataFrame([("e1",)], "event_id string")
     part = spark.createDataFrame([("e1", 1), ("e2", 2)], "event_id string, n int")
     with pytest.raises(Exception, match="unknown event e2"):
         SK.detail_bundles(events, {"rows": part}).collect()
 
 
+def test_publish_keeps_the_old_set_until_all_is_written(spark):
+    folder, names = run_dir(spark, "p"), ["a", "b"]
+    with pytest.raises(RuntimeError, match="not given: b"):
+        SK.publish({"a": spark.range(3)}, names, folder)
+    assert SK.publish({"a": spark.range(3), "b": spark.range(4), "c": spark.range(1)}, names, folder) == 1
+    with pytest.raises(Exception, match="broken"):
+        SK.publish({"a": spark.range(9), "b": spark.range(1).select(F.raise_error(F.lit("broken")).alias("id"))}, names, folder)
+    assert SK.read_published(spark, folder, "a").count() == 3
+    assert SK.publish({"a": spark.range(5), "b": spark.range(0)}, names, folder) == 2
+    assert {(r.mart, r.rows) for r in SK.published_counts(spark, folder).collect()} == {("a", 5), ("b", 0)}
+    assert SK.read_published(spark, folder, "a").count() == 5 and SK.read_published(spark, folder, "b").count() == 0
+    with pytest.raises(LookupError):
+        SK.read_published(spark, folder, "c")
+
+
+def test_a_run_is_counted_while_it_is_written(spark):
+    rows = spark.createDataFrame([(1, 0.9, True), (2, 0.2, True), (3, 0.8, False), (4, 0.1, False)], "id int, s double, word boolean")
+    passes = spark.sparkContext.accumulator(0)
+    counted = rows.rdd.map(lambda r: (passes.add(1), r)[1]).toDF(rows.schema)
+    assert SK.write_run(counted, "s", 0.5, "word", {"retriever": "x"}, folder := run_dir(spark, "run")) == {"candidates": 4, "kept": 2, "kept_keyword": 1, "kept_semantic_only": 1}
+    assert passes.value == 4                                                 # one pass over the candidates
+    back = spark.read.json(f"{folder}/manifest").first()
+    assert back.params.retriever == "x" and back.counts.keyword_pool_retention == 0.5 and spark.read.parquet(f"{folder}/candidates").count() == 4
+
+
 def test_checks_find_what_is_wrong(spark):
     df = spark.createDataFrame([(1, "a", "x"), (1, "b", None), (2, "z", "y")], "id int, kind string, v string")
     assert Q.unique(df, ["id"]).count() == 1 and Q.unique(df, ["id"], "kind = 'a'").count() == 0
@@ -68,16 +91,68 @@ def test_parameterised_sql_drops_empty_pieces(spark):
     assert [r.n for r in run_sql(spark, q, {"t": df}, {"low": 1, "k": "b"}).collect()] == [2]
 
 
+T = lambda d, h=0: datetime(2025, 1, d, h)
+
+
+def store_of(spark, rows=()):
+    store = PostStore(spark, run_dir(spark, "store"), POST, "source_name", "published_at", "message_id").create()
+    if rows:
+        store.append(spark.createDataFrame(rows, POST), "archive")
+    return store
+
+
+def held(store):
+    return sorted((r.source_name, r.message_id) for r in store.posts().collect())
+
+
 def test_collector_appends_newer_posts_once(spark):
-    arriving, stored = run_dir(spark, "in"), run_dir(spark, "out")
-    t = lambda d: datetime(2025, 1, d)
-    spark.createDataFrame([("a", 1, t(1)), ("a", 2, t(5))], POST).write.parquet(stored)
-    spark.createDataFrame([("a", 2, t(5)), ("a", 3, t(4)), ("a", 4, t(6)), ("a", 4, t(6)), ("b", 1, t(1))], POST).write.parquet(arriving)
+    arriving, store = run_dir(spark, "in"), store_of(spark, [("a", 1, T(1)), ("a", 2, T(5))])
+    spark.createDataFrame([("a", 2, T(5)), ("a", 3, T(4)), ("a", 4, T(6)), ("a", 4, T(6)), ("b", 1, T(1)), ("a", 2, T(9)), ("a", 0, T(8))], POST).write.parquet(arriving)
     for _ in range(2):          # a second run over the same files adds nothing
-        q = follow_posts(spark, arriving, POST, stored, "source_name", "published_at", ["source_name", "message_id"])
-        q.awaitTermination()
-    got = sorted((r.source_name, r.message_id) for r in spark.read.parquet(stored).collect())
-    assert got == [("a", 1), ("a", 2), ("a", 4), ("b", 1)]
+        follow_posts(store, arriving).awaitTermination()
+    assert held(store) == [("a", 0), ("a", 1), ("a", 2), ("a", 4), ("b", 1)]
+
+
+def test_a_batch_killed_half_way_is_replayed(spark, monkeypatch):
+    arriving, store, checkpoint = run_dir(spark, "in"), store_of(spark, [("a", 1, T(1))]), run_dir(spark, "check")
+    spark.createDataFrame([("a", 2, T(2)), ("b", 7, T(3))], POST).write.parquet(arriving)
+
+    def killed(*_):
+        raise OSError("the driver is gone")
+    monkeypatch.setattr(PostStore, "_commit", killed)
+    with pytest.raises(Exception, match="driver is gone"):
+        follow_posts(store, arriving, checkpoint).awaitTermination()
+    monkeypatch.undo()
+    left = spark.read.parquet(f"{store.folder}/posts")
+    assert left.count() == 3 and held(store) == [("a", 1)]                   # posts of the dead batch lie there, no reader sees them
+    follow_posts(store, arriving, checkpoint).awaitTermination()
+    assert held(store) == [("a", 1), ("a", 2), ("b", 7)] and spark.read.parquet(f"{store.folder}/posts").count() == 3
+    batch = sorted(store.committed()[1] - {"archive"})[0]
+    assert not store.append(spark.createDataFrame([("a", 3, T(9))], POST), batch)      # committed once, whatever comes again under its name
+
+
+def test_only_wanted_folders_are_read(spark):
+    store = store_of(spark, [("a", d, T(d)) for d in range(1, 20)])
+    for k in range(3):
+        store.append(spark.createDataFrame([("a", 30 + k, T(20 + k))], POST), f"b{k}")
+    assert {(r.source, r.newest, r.largest) for r in store.newest().collect()} == {("a", T(22), 32)}
+    plan = store.posts((F.col("month") >= F.lit("2025-01-01").cast("date")) & (F.col("batch") != "archive"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "month" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    fresh = store.fresh(spark.createDataFrame([("a", 40, T(23)), ("b", 1, T(1))], POST), 4)
+    assert "/posts" not in str(fresh.inputFiles()) and sorted(r.message_id for r in fresh.collect()) == [1, 40]
+
+
+def test_daily_coverage_of_a_stream_with_late_and_repeated_posts(spark):
+    schema = "source_name string, message_id bigint, published_at timestamp, media_group string, views bigint"
+    folder, out, checkpoint = run_dir(spark, "in"), run_dir(spark, "days"), run_dir(spark, "check")
+    batches = [[("a", 1, T(1), "g", 10), ("a", 2, T(1, 5), "g", 1), ("a", 1, T(1), "g", 10)], [("a", 3, T(2), "h", 5), ("a", 1, T(1), "g", 10), ("b", 9, T(1, 23), "g", 2)],
+               [("a", 4, T(9), "g", 1)], [("b", 1, T(1), "g", 100), ("a", 5, T(8), "g", 3)], [("a", 6, T(20), "g", 1)], [("a", 7, T(28), "g", 1)]]
+    for rows in batches:                                                     # one file, one batch
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = daily_coverage(spark.readStream.schema(schema).parquet(folder), "published_at", ["source_name", "message_id"], "media_group")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = {(str(r.day), r.media_group): (r.posts, r.views) for r in spark.read.parquet(out).collect()}
+    assert got == {("2025-01-01", "g"): (3, 13), ("2025-01-02", "h"): (1, 5), ("2025-01-08", "g"): (1, 3), ("2025-01-09", "g"): (1, 1), ("2025-01-20", "g"): (1, 1)}
 
 
 def test_resume_skips_done_and_broken_lines(spark):
