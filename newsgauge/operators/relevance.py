@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,21 +155,83 @@ def rank_band(rank: Column, edges: Sequence[int]) -> Column:
     return band
 
 
-def sample_picks(df: DataFrame, keys: Sequence[str], ident: str, score: str, weight: str, n: int, seeds: int, bands: int = 10) -> DataFrame:
+# The multipliers of a common 32-bit finaliser and of the golden ratio.
+_MIX, _SPREAD = (2246822507, 3266489909), (2654435769, 2246822519)
+
+
+def _shuffled(digest: np.ndarray, seeds: np.ndarray, spread: int) -> np.ndarray:
+    """32 bits for each digest and each seed, as even and as independent as a hash of both."""
+    x = digest[:, None].astype(np.uint64) ^ (seeds * np.uint64(spread) & np.uint64(0xFFFFFFFF))
+    for shift, times in ((16, _MIX[0]), (13, _MIX[1])):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(times) & np.uint64(0xFFFFFFFF)
+    return x ^ (x >> np.uint64(16))
+
+
+class Reservoirs:
+    """For each seed the `size` rows with the smallest draws. Once a reservoir is full, a row above its greatest draw is passed over."""
+
+    def __init__(self, size: int, seeds: int):
+        self.size, self.seeds = size, seeds
+        self.limit = np.full(seeds, np.inf)
+        self.draw, self.seed, self.row, self.rows = np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64), None
+
+    def offer(self, rows: pd.DataFrame, draws: np.ndarray) -> None:
+        at, seed = np.nonzero(draws < self.limit)
+        if len(at):
+            taken, number = np.unique(at, return_inverse=True)
+            held = 0 if self.rows is None else len(self.rows)
+            self.rows = rows.iloc[taken] if self.rows is None else pd.concat([self.rows, rows.iloc[taken]])
+            self.draw, self.seed, self.row = (np.concatenate(p) for p in ((self.draw, draws[at, seed]), (self.seed, seed), (self.row, number + held)))
+            self.prune()
+
+    def prune(self) -> None:
+        order = np.lexsort((self.draw, self.seed))
+        seed = self.seed[order]
+        first = np.searchsorted(seed, np.arange(self.seeds))
+        place = np.arange(len(order)) - first[seed]
+        full = np.searchsorted(seed, np.arange(self.seeds), side="right") - first >= self.size
+        self.limit[full] = self.draw[order[first[full] + self.size - 1]]
+        keep = order[place < self.size]
+        used, row = np.unique(self.row[keep], return_inverse=True)
+        self.draw, self.seed, self.row, self.rows = self.draw[keep], self.seed[keep], row, self.rows.iloc[used]
+
+    def result(self) -> pd.DataFrame:
+        return self.rows.iloc[self.row].assign(seed=(self.seed + 1).astype(np.int32), _draw=self.draw)
+
+
+def sample_picks(df: DataFrame, keys: Sequence[str], ident: str, score: str, weight: str, n: int, seeds: int, bands: int = 10, chunk: int = 4096) -> DataFrame:
     """For every seed, n // bands posts per score band, drawn by weight without replacement.
 
-    Draw order is -ln(u)/weight with u from a digest of (seed, key, post), which equals successive
-    weighted draws. row_number() <= k keeps k rows per band and seed on each task before the shuffle.
+    A post's draw is -ln(u)/weight with u from a digest of (key, post) shuffled by the seed; the smallest draws equal successive weighted draws.
+    The rows are read once for all seeds: a task fills a reservoir for each band and seed, and only reservoirs leave it.
+    Skipping ahead by random jumps would draw the same way, but not the same posts again when a task is run again over other partitions.
     """
     keys = list(keys)
     per = max(1, n // bands)
     banded = width_bands(df, keys, score, bands)
-    mass = banded.groupBy(*keys, "band").agg(F.sum(weight).alias("_mass"), F.count(F.lit(1)).alias("_size"))
-    drawn = banded.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds))))
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", "seed", *keys, ident)), 1, 8), 16, 10).cast("double") + 1.0) / 4294967297.0
-    order = Window.partitionBy(*keys, "band", "seed").orderBy(-F.ln(u) / F.col(weight), ident)
+    mass = summary(banded.groupBy(*keys, "band").agg(F.sum(weight).alias("_mass"), F.count(F.lit(1)).alias("_size")))
+    digest = F.md5(F.concat_ws("|", *keys, ident))
+    part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    number = np.arange(1, seeds + 1).astype(np.uint64)
+
+    def fill(batches):
+        held: dict[tuple, Reservoirs] = {}
+        for b in batches:
+            for key, rows in b.groupby([*keys, "band"], sort=False, dropna=False):
+                mine = held.setdefault(tuple("" if x is None else x for x in key), Reservoirs(per, seeds))
+                for a in range(0, len(rows), chunk):
+                    r = rows.iloc[a:a + chunk]
+                    high, low = _shuffled(r["_h"].to_numpy(), number, _SPREAD[0]), _shuffled(r["_l"].to_numpy(), number, _SPREAD[1])
+                    u = ((high >> np.uint64(5)) * np.uint64(1 << 26) + (low >> np.uint64(6)) + np.uint64(1)).astype(np.float64) / 9007199254740993.0
+                    mine.offer(r.drop(columns=["_h", "_l"]), -np.log(u) / r[weight].to_numpy(dtype=float)[:, None])
+        for r in held.values():
+            if r.rows is not None:
+                yield r.result()
+    types = ", ".join(f"`{c}` {kind}" for c, kind in banded.dtypes)
+    drawn = banded.withColumns({"_h": part(1), "_l": part(9)}).mapInPandas(fill, f"{types}, seed int, _draw double")
+    order = Window.partitionBy(*keys, "band", "seed").orderBy("_draw", ident)
     picked = drawn.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= per)
-    return picked.join(mass, keys + ["band"]).withColumn("sample_weight", F.col("_mass") / F.least(F.col("_size"), F.lit(per))).drop("_rn", "_mass", "_size")
+    return picked.join(mass, keys + ["band"]).withColumn("sample_weight", F.col("_mass") / F.least(F.col("_size"), F.lit(per))).drop("_rn", "_mass", "_size", "_draw")
 
 
 def sample_cut(df: DataFrame, keys: Sequence[str], ident: str, score: str, truth: str, weight: str, n: int = 60, seeds: int = 200,

@@ -306,13 +306,24 @@ def _(d):
     return RL.take_per_band(banded, E, "band", "post_id", 150, "18").select("event", "post_id", "band", "weight")
 
 
+def _mixed(x: str, at: int, spread: int) -> str:
+    """A digest's 32 bits shuffled by the seed; {x}5 is the last step."""
+    low = "% 4294967296::ubigint"
+    steps = f"xor(('0x' || substr(digest, {at}, 8))::ubigint, (seed::ubigint * {spread}::ubigint) {low}) as {x}0, xor({x}0, {x}0 >> 16) as {x}1, ({x}1 * {RL._MIX[0]}::ubigint) {low} as {x}2"
+    return steps + f", xor({x}2, {x}2 >> 13) as {x}3, ({x}3 * {RL._MIX[1]}::ubigint) {low} as {x}4, xor({x}4, {x}4 >> 16) as {x}5"
+
+
+_SPREAD = RL._SPREAD
+
+
 def sample_sql(prefix: str, score: str, label: str, source: str = "x_lab", per: int = 6) -> None:
     """Views of the 200-seed sample cut: {prefix} has (event, seed, cut)."""
     band = _BAND.replace("score_a", score)
     sql_view(f"{prefix}_picks", f"""with b as (select event, post_id, {score} as s, {label} as lab, weight, {band} as wband from {source}),
       m as (select *, count(*) over (partition by event, wband) as size, sum(weight) over (partition by event, wband) as mass from b),
-      k as (select *, row_number() over (partition by event, wband, seed order by -ln((('0x' || substr(md5(seed || '|' || event || '|' || post_id), 1, 8))::bigint::double + 1) / 4294967297::double) / weight, post_id) as rn
-        from m, range(1, 201) r(seed))
+      d as (select *, md5(event || '|' || post_id) as digest from m),
+      h as (select *, {_mixed('h', 1, _SPREAD[0])}, {_mixed('l', 9, _SPREAD[1])} from d, range(1, 201) r(seed)),
+      k as (select *, row_number() over (partition by event, wband, seed order by -ln(((h5 >> 5) * 67108864 + (l5 >> 6) + 1)::double / 9007199254740993::double) / weight, post_id) as rn from h)
       select event, seed, s, lab, mass / least(size, {per}) as w from k where rn <= {per}""")
     sql_view(prefix, f"""with c as (select distinct event, seed, round(s, 4) as cut from {prefix}_picks),
       f as (select c.event, c.seed, cut, coalesce(sum(w) filter (where lab and s >= cut), 0) as tp, coalesce(sum(w) filter (where not lab and s >= cut), 0) as fp,

@@ -57,6 +57,18 @@ def test_sample_draws_by_weight(spark, table):
     assert all(r.f1_p10 <= r.f1 <= best[r.event] + 1e-9 for r in runs)
 
 
+def test_reservoirs_read_each_row_once_and_draw_by_weight(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [("e", i, 0.5, rng.random() < 0.5, 1.0 if i % 4 else 9.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "event string, post_id bigint, score double, truth boolean, weight double")
+    one, many = (sorted((r.seed, r.post_id) for r in RL.sample_picks(df.repartition(k), ["event"], "post_id", "score", "weight", 20, 400, chunk=c).collect()) for k, c in ((1, 4096), (7, 11)))
+    assert one == many and len(one) == 2 * 400                               # the same posts, however the rows lie
+    first = sum(i % 4 == 0 for _, i in one) / len(one)                       # 100 of weight 9 and 300 of weight 1: 0.75 for the first, 0.7493 for the second draw
+    assert first == pytest.approx(0.7496, abs=0.05)
+    plan = RL.sample_picks(df, ["event"], "post_id", "score", "weight", 20, 400)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("MapInPandas") == 1         # rows go in as they are, not once for every seed
+
+
 def test_stop_rule_ends_after_the_first_poor_batch(spark):
     scores = [1.0] * 10 + [0.0] * 5 + [1.0] * 10
     df = spark.createDataFrame([("e", i + 1, s) for i, s in enumerate(scores)], "event string, rank bigint, score double")
