@@ -1,9 +1,10 @@
-"""Benchmark decontamination: pairs of neighbouring words bring passages to test items, Smith-Waterman scores what they meet.
+"""Benchmark decontamination: rare pairs of neighbouring words bring passages to test items, Smith-Waterman scores what they meet.
 
-Test items are taken in blocks of bounded size, so what a task holds of them is bounded however many there are. Every pair of
-neighbouring words of an item is a seed, however often it occurs in the documents. A passage that reaches the least score leaves
-some pairs whole and most words in place, within a bounded stretch of text: an insertion costs a point and parts one pair, a changed
-word costs three and parts two. Only stretches with too few pairs or words for that go without an alignment, so none is lost.
+Test items are taken in blocks of bounded size, one after the other, so what the driver or a task holds of them is bounded however many there are.
+A passage that reaches the least score leaves at least p of an item's pairs of neighbouring words whole, within a bounded stretch of text: an insertion
+costs a point and parts one pair, a changed word costs three and parts two. So the item's rarest pairs, all but p - 1 of them, are its seeds: one of them is
+always whole. How rare a pair is, is counted over all documents, and only compared with the item's other pairs, so the seeds are as many at every size.
+Texts that a seed brings to an item are looked at again with all its pairs; only stretches with too few pairs or words go without an alignment, so none is lost.
 Items too short for such a promise are matched as whole word sequences.
 """
 from __future__ import annotations
@@ -20,7 +21,7 @@ SEED = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 16 << 20
 LEAST_WORDS = 6            # items of fewer words are matched whole
-LEAKS = "doc_id long, item_id long, score double, first_word long, last_word long"
+LEAKS = "doc_id long, text_id long, item_id long, score double, first_word long, last_word long"
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -48,7 +49,9 @@ class Block:
         places, owner = inner_starts(self.lens, SEED)
         hashes = window_hashes(self.words, SEED)[places] if len(places) else np.empty(0, np.uint64)
         use = self.lens[owner] >= LEAST_WORDS if len(places) else np.empty(0, bool)
-        self.seed_hash, self.seed_owner, self.seed_at = self.ordered(hashes[use], owner[use], (places - (self.ends - self.lens)[owner])[use] if len(places) else places)
+        self.pair_hash, self.pair_owner = self.ordered(hashes[use], owner[use])
+        self.kinds = np.unique(self.pair_hash)
+        self.seed_hash, self.seed_owner = self.pair_hash, self.pair_owner
         self.short = {}                                                      # number of words -> (hash of the whole item, item), by hash
         for n in range(1, LEAST_WORDS):
             mine = np.flatnonzero(self.lens == n)
@@ -60,6 +63,16 @@ class Block:
         order = np.argsort(hashes, kind="stable")
         return hashes[order], *(x[order] for x in others)
 
+    def choose(self, counts: np.ndarray, least: float) -> None:
+        """Keep as seeds the rarest pairs of each item, as many as make sure that one of them is whole; `counts` go with `kinds`."""
+        rare = counts[np.searchsorted(self.kinds, self.pair_hash)]
+        order = np.lexsort((self.pair_hash, rare, self.pair_owner))
+        owner = self.pair_owner[order]
+        place = np.arange(len(order)) - np.searchsorted(owner, owner)
+        size = self.lens[owner]
+        keep = np.sort(order[place <= size - 1 - least_pairs(size, least)])
+        self.seed_hash, self.seed_owner = self.pair_hash[keep], self.pair_owner[keep]
+
     def item(self, k: int) -> np.ndarray:
         return self.words[self.ends[k] - self.lens[k]:self.ends[k]]
 
@@ -77,6 +90,12 @@ def spot(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == x if len(table) else np.zeros(len(x), bool)
 
 
+def spot_all(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of x that are in the sorted table, where)."""
+    at, ok = spot(table, x)
+    return np.flatnonzero(ok), at[ok]
+
+
 def least_pairs(size: np.ndarray, least: float) -> np.ndarray:
     """How many pairs at least an alignment of `least` leaves whole: each point of the score that is missing parts one at most."""
     return np.maximum(1, size - 1 - np.floor(2 * size * (1 - least) + 1e-9)).astype(np.int64)
@@ -125,8 +144,15 @@ def meet(block: Block, words: np.ndarray, ends: np.ndarray, lens: np.ndarray, pl
     i, row = hits(block.seed_hash, grams)
     if not len(i):
         return []
-    text = np.searchsorted(ends, places[i], side="right")
-    key = np.unique(np.stack((text * len(block.ids) + block.seed_owner[row], places[i])), axis=1)       # a place counts once for an item
+    brought = np.unique(np.searchsorted(ends, places[i], side="right") * len(block.ids) + block.seed_owner[row])
+    text = np.searchsorted(ends, places, side="right")
+    here = np.zeros(len(ends), bool)
+    here[brought // len(block.ids)] = True
+    near = np.flatnonzero(here[text])
+    i, row = hits(block.pair_hash, grams[near])
+    key = text[near[i]] * len(block.ids) + block.pair_owner[row]
+    known, _ = spot_all(brought, key)
+    key = np.unique(np.stack((key[known], places[near[i[known]]])), axis=1)                            # a place counts once for an item
     key, where = key[0], key[1]
     reach = np.floor(block.lens * (1 + 2 * (1 - least)) + 1e-9).astype(np.int64)                         # words of text that an alignment spans at most
     k = key % len(block.ids)
@@ -158,8 +184,40 @@ def meet(block: Block, words: np.ndarray, ends: np.ndarray, lens: np.ndarray, pl
     return [(t, n, score / (MATCH * int(block.lens[n])), first, last) for (t, n), (score, first, last) in sorted(best.items())]
 
 
+def pair_counts(docs: DataFrame, block: Block) -> np.ndarray:
+    """How often each pair of the block's items stands in the documents. A task adds up its own; a row for each kind of pair comes back."""
+    kinds = block.kinds
+
+    def run(batches):
+        total = np.zeros(len(kinds), np.int64)
+        for b in slices(batches):
+            _, _, _, grams = hashed(raw_texts(b))
+            _, at = spot_all(kinds, grams)
+            total += np.bincount(at, minlength=len(kinds))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
+    rows = docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(len(kinds), np.int64)
+    counts[rows["pair"].to_numpy(np.int64)] = rows["n"]
+    return counts
+
+
+def found_in(docs: DataFrame, block: Block, least: float) -> DataFrame:
+    """The leaks of the items of one block."""
+    def run(batches):
+        for b in slices(batches):
+            words, lens, places, grams = hashed(raw_texts(b))
+            ends, docs_of, text_of = np.cumsum(lens), b.column("doc_id").to_pylist(), b.column("text_id").to_pylist()
+            rows = [(docs_of[t], text_of[t], block.ids[n], *r) for t, n, *r in sorted(meet(block, words, ends, lens, places, grams, least) + whole(block, words, ends, lens))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64() if k == 3 else pa.int64()) for k, x in enumerate(zip(*rows, strict=True))],
+                                                 names=[c.split()[0] for c in LEAKS.split(", ")])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text").mapInArrow(run, LEAKS)
+
+
 def leaks(docs: DataFrame, tests: DataFrame, least: float = 0.6, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per document and test item whose best local alignment reaches `least` of the item's own score: doc_id, item_id, score, first_word, last_word.
+    """One row per document and test item whose best local alignment reaches `least` of the item's own score: doc_id, text_id (a hash of
+    the text, as an id may repeat), item_id, score, first_word, last_word.
 
     Words are lower-cased and cut at white space. Items of fewer than six words have to stand in the text as they are. Null
     texts match nothing; repeated documents and items are judged each by itself; empty tables give an empty result.
@@ -167,25 +225,11 @@ def leaks(docs: DataFrame, tests: DataFrame, least: float = 0.6, block_chars: in
     spark = docs.sparkSession
     tests = tests.filter("text is not null").select("item_id", "text")
     blocks = max(1, -(-(tests.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
-    parts = []
-    for k in range(blocks):
-        block = Block([tuple(r) for r in tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()])   # about block_chars, by the count above
-        if not len(block.words):
-            continue
-
-        def run(batches, block=block):
-            for b in slices(batches):
-                words, lens, places, grams = hashed(raw_texts(b))
-                ends, docs_of = np.cumsum(lens), b.column("doc_id").to_pylist()
-                rows = [(docs_of[t], block.ids[n], *r) for t, n, *r in sorted(meet(block, words, ends, lens, places, grams, least) + whole(block, words, ends, lens))]
-                if not rows:
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, (
-                    pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "score", "first_word", "last_word"])
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, LEAKS))
-    if not parts:
-        return spark.createDataFrame([], LEAKS)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    return cut_point(found, "leaks")
+    found = spark.createDataFrame([], LEAKS)
+    for k in range(blocks):                                                  # one block after the other: about block_chars, by the count above
+        block = Block([tuple(r) for r in tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()])
+        if len(block.words):
+            if len(block.kinds):
+                block.choose(pair_counts(docs, block), least)
+            found = found.unionByName(cut_point(found_in(docs, block, least), "leaks"))
+    return found

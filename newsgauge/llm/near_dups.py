@@ -25,7 +25,7 @@ BUCKET_BITS, MANTISSA, BAND_ROWS = 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
 BANDS = BUCKETS // BAND_ROWS
 BLOCK_SHINGLES, COLUMNS = 50_000, 4096
-SKETCH = "doc_id long, n_shingles long, digest binary, registers binary, filled binary"
+SKETCH = "doc_id long, text_id long, n_shingles long, digest binary, registers binary, filled binary"
 
 
 def borrow_order() -> np.ndarray:
@@ -84,11 +84,11 @@ def sketches(docs: DataFrame) -> DataFrame:
         dense, own = registers_of(sets, order)
         bits = np.packbits(own, axis=1)
         return pa.RecordBatch.from_arrays([
-            batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+            batch.column("doc_id").cast(pa.int64()), batch.column("text_id"), pa.array([len(s) for s in sets], pa.int64()),
             pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
             pa.array([r.astype("<u2").tobytes() for r in dense], pa.binary()), pa.array([r.tobytes() for r in bits], pa.binary()),
-        ], names=["doc_id", "n_shingles", "digest", "registers", "filled"])
-    return over_texts(docs, ["doc_id", "text"], make, SKETCH)
+        ], names=["doc_id", "text_id", "n_shingles", "digest", "registers", "filled"])
+    return over_texts(docs.select("doc_id", "text", F.xxhash64("text").alias("text_id")), ["doc_id", "text_id", "text"], make, SKETCH)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, own_a: np.ndarray, own_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +201,7 @@ def block_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, for every row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept, text_id (a hash of the text, as an id may repeat), for every row of docs (doc_id, text).
 
     Documents without a word are linked with nothing. Rows that repeat an id and a text are one document; a row
     without an id is linked with nothing and is kept. Other columns are ignored. An empty table gives an empty one.
@@ -237,6 +237,6 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
         "digest", F.coalesce("component_id", "doc_id").alias("class_component"))
     has = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     of_class = cut_point(of_class, "groups")
-    out = sketch.select("doc_id", "n_shingles", F.when(has, F.col("digest")).alias("digest")).join(of_class, "digest", "left")
+    out = sketch.select("doc_id", "text_id", "n_shingles", F.when(has, F.col("digest")).alias("digest")).join(of_class, "digest", "left")
     component = F.coalesce("class_component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_id")

@@ -31,7 +31,7 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     from newsgauge.llm.near_dups import near_groups
-    return near_groups(table(spark, folder, "documents"))
+    return near_groups(table(spark, folder, "documents")).drop("text_id")
 
 
 SQL["op2_url_filter"] = URL_SQL
@@ -72,7 +72,7 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from newsgauge.llm.decontaminate import leaks
-    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).withColumn("score", F.round("score", 6))
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).withColumn("score", F.round("score", 6)).drop("text_id")
 
 
 @query

@@ -139,16 +139,56 @@ def test_repeated_passages_go_whatever_stands_around_them(spark):
     assert got[1].n_removed >= 1 and got[50].n_removed == 0
 
 
-def test_chunks_alone_equal_their_sql(spark):
+def test_lines_go_only_out_of_whole_copies_of_one_stretch(spark):
+    """Two repeats that meet in a third text are no passage of fifty words; neither are lines that stand apart."""
+    from newsgauge.llm.line_dedup import without_repeats
+    a, b, c = (words(20, 700 + k, 9000) for k in range(3))
+    rows = [(1, f"{a}\n{b}\nown1"), (2, f"{b}\n{c}\nown2"), (3, f"{a}\n{b}\n{c}"), (4, f"{a}\nbetween\n{b}\nbetween too\n{c}"), (5, f"x\n{a}\n{b}\n\n{c}\ny")]
+    got = {r.doc_id: r.text for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == [dict(rows)[i] for i in (1, 2, 3, 4)] and got[5] == "x\ny"
+
+
+def test_hot_stretches_are_salted_and_names_do_not_clash(spark, monkeypatch):
+    import newsgauge.llm.line_dedup as L
+    monkeypatch.setattr(L, "SALTED", 3)
+    a, b = words(30, 801, 9000), words(30, 802, 9000)
+    rows = [(i, f"head {i}\n{a}\n{b}\ntail {i}", i, "k", "g", [1]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `_key` long, gone string, `row` string, ends array<int>")
+    got = {r.doc_id: r for r in L.without_repeats(docs).collect()}
+    assert got[0].text == rows[0][1] and all(got[i].text == f"head {i}\ntail {i}" for i in range(1, 60))
+    assert all((got[i]["_key"], got[i].gone, got[i].row, got[i].ends) == (i, "k", "g", [1]) for i in got)
+
+
+def test_line_dedup_equals_its_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     from newsgauge.llm.line_dedup import CHECK_SQL, without_repeats
     folder = "/root/testdata/sf0.001/documents.parquet"
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{folder}'")
-    got = without_repeats(spark.read.parquet(folder), runs=False).select("doc_id", "text", "n_chunks", "n_removed").collect()
+    got = without_repeats(spark.read.parquet(folder)).select("doc_id", "text", "n_chunks", "n_removed").collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(CHECK_SQL).fetchall())
 
 
+def test_every_repeated_passage_of_fifty_words_goes(spark):
+    """Passages that many texts share, put into other lines at random: no run of lines with fifty words that stood before is left."""
+    from newsgauge.llm.line_dedup import without_repeats
+    r = random.Random(21)
+    lines = [words(r.randrange(3, 30), 900 + k, 9000) for k in range(30)]
+    rows = []
+    for i in range(60):
+        a = r.randrange(24)
+        rows.append((i, "\n".join([f"own {i} {words(5, i)}", *lines[a:a + r.randrange(1, 7)], f"more {i}", *[""] * r.randrange(2), f"alone {r.randrange(30)}", f"end {i}"])))
+    left = {x.doc_id: x.text.split("\n") for x in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen: set[tuple] = set()
+    for i, text in rows:
+        rich = [x for x in text.split("\n") if x]
+        runs = {tuple(rich[a:z]) for a in range(len(rich)) for z in range(a + 2, len(rich) + 1) if sum(len(x.split()) for x in rich[a:z]) >= 50}
+        gone = {x for run in runs & seen for x in run}
+        assert not gone & set(left[i]), i
+        assert all(x in left[i] for x in rich if x.startswith(("own", "more", "end")))
+        seen |= runs
+
+
 def test_leaks_find_exact_and_edited_copies(spark, docs):
     from newsgauge.llm.decontaminate import leaks
     item = words(40, 77, 5000)
@@ -189,11 +229,23 @@ def test_leaks_equal_alignment_of_everything_when_all_words_are_common(spark):
     assert got == want and (600, 3) in want
 
 
+def test_seeds_without_enough_of_them_together(spark):
+    from newsgauge.llm.decontaminate import Block, leaks
+    item = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "x w0 w1 y z"), (2, "w0 w1 " * 30), (3, item)], "doc_id long, text string")
+    assert [(r.doc_id, r.score) for r in leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()] == [(3, 1.0)]
+    block = Block([(7, item)])
+    counts = np.zeros(len(block.kinds), np.int64)
+    counts[:5] = 9                                                           # five common pairs; 39 pairs, of which an alignment of 0.6 leaves 7 whole
+    block.choose(counts, 0.6)
+    assert len(block.seed_hash) == 33 and not set(block.seed_hash) & set(block.kinds[:5])
+
+
 def test_short_items_are_matched_whole(spark):
     from newsgauge.llm.decontaminate import leaks
     docs = spark.createDataFrame([(1, "x the quick Fox y the quick fox"), (2, "the quick brown fox"), (3, "fox"), (4, "the quick"), (5, "fox runs")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "The quick fox"), (2, "fox"), (3, "a b c d e"), (4, " ")], "item_id long, text string")
-    assert {tuple(r) for r in leaks(docs, items).collect()} == {(1, 1, 1.0, 1, 4), (1, 2, 1.0, 3, 4), (2, 2, 1.0, 3, 4), (3, 2, 1.0, 0, 1), (5, 2, 1.0, 0, 1)}
+    assert {tuple(r) for r in leaks(docs, items).drop("text_id").collect()} == {(1, 1, 1.0, 1, 4), (1, 2, 1.0, 3, 4), (2, 2, 1.0, 3, 4), (3, 2, 1.0, 0, 1), (5, 2, 1.0, 0, 1)}
 
 
 def test_language_model_prefers_trusted_text(spark, docs, labels):
@@ -384,3 +436,15 @@ def test_pipeline_keeps_columns_and_decides(spark, tmp_path, docs, labels):
         assert step.columns == d.columns, name
     got = {r.doc_id for r in C.run(spark, str(tmp_path)).collect()}
     assert set(range(50, 70)) <= got and 90 not in got and not got & {5, 6, 7, 8, 9, 10} and len(got & {1, 2, 3}) == 1
+
+
+def test_pipeline_keeps_other_texts_of_a_repeated_id(spark, tmp_path):
+    """A near copy and a leak go, a different text under the same id stays."""
+    import corpus_pipeline as C
+    base, other, item = words(80, 401, 9000), words(80, 402, 9000), words(30, 403, 9000)
+    rows = [(1, base), (9, base), (9, other), (9, words(60, 404, 9000) + " " + item), (None, base)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    one = C.near_dedup(spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id or 0, r.text) for r in one.collect())) == sorted([(0, base), (1, base), (9, other), (9, rows[3][1])])
+    assert sorted(((r.doc_id or 0, r.text) for r in C.decontamination(spark, one, str(tmp_path)).collect())) == sorted([(0, base), (1, base), (9, other)])
