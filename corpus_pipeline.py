@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts rid of chunks of lines that occurred before; n_chars is counted anew. A document of which nothing but white space is left goes."""
+    """Texts rid of chunks and stretches of lines that occurred before; n_chars is counted anew. A document of which nothing but white space is left goes."""
     from newsgauge.llm.line_dedup import without_repeats
     cut = without_repeats(docs)
     left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
@@ -27,18 +27,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.filter(left).withColumn("n_chars", counted).select(docs.columns)
 
 
+def without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without the rows that `found` names by doc_id and text_id (a hash of the text): an id may stand for several texts."""
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left_anti").select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
     from newsgauge.llm.near_dups import near_groups
-    extra = cut_point(near_groups(docs).filter(~F.col("kept")).select("doc_id").distinct(), "extra")
-    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, cut_point(near_groups(docs).filter(~F.col("kept")).select("doc_id", "text_id"), "extra"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found."""
     from newsgauge.llm.decontaminate import leaks
-    found = cut_point(leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaking")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
