@@ -5,6 +5,7 @@ first, and everything after works on those counts.
 """
 from __future__ import annotations
 
+import math
 import unicodedata
 import zlib
 from collections.abc import Sequence
@@ -128,6 +129,35 @@ def narrative_counts(records: DataFrame) -> DataFrame:
     return records.filter(F.col("narrative_id").isNotNull()).groupBy(*EG, "narrative_id").agg(n_rows().alias("n"))
 
 
+def binomial_quantile(n: int, p: float, q: float) -> int:
+    """The smallest k with P(X <= k) >= q for X out of n draws of chance p, by summed log-factorials around the mean."""
+    if p >= 1.0:
+        return n
+    spread = int(12 * math.sqrt(n * p * (1 - p))) + 12
+    ks = range(max(0, int(n * p) - spread), min(n, int(n * p) + spread) + 1)
+    total = 0.0
+    for k in ks:
+        total += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
+        if total >= q:
+            return k
+    return n
+
+
+def interval_checks(intervals: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each drawn interval beside the exact one. A label's count in a resample is binomial, so the percentiles that the draws aim at are its
+    quantiles; `close` tells that both drawn bounds lie within half a standard deviation and one message of them."""
+    @F.pandas_udf("struct<exact_lo:double,exact_hi:double>")
+    def exact(n: pd.Series, k: pd.Series) -> pd.DataFrame:
+        rows = [(binomial_quantile(a, b / a, 0.025) / a, binomial_quantile(a, b / a, 0.975) / a) for a, b in zip(n.tolist(), k.tolist(), strict=True)]
+        return pd.DataFrame(rows, columns=["exact_lo", "exact_hi"])
+    d = intervals.join(counts.withColumnRenamed("n", "_k"), [*EG, "narrative_id"])
+    d = d.withColumn("x", exact("n", "_k")).withColumns({"exact_lo": F.col("x.exact_lo"), "exact_hi": F.col("x.exact_hi")})
+    p, n = F.col("_k") / F.col("n"), F.col("n")
+    near = F.sqrt(p * (1 - p) / n) / 2 + 1 / n + F.lit(0.0005)                # bounds are given to three digits
+    close = (F.abs(F.col("ci_lo") - F.col("exact_lo")) <= near) & (F.abs(F.col("ci_hi") - F.col("exact_hi")) <= near)
+    return d.select(*EG, "narrative_id", "n", "share", "exact_lo", "exact_hi", close.alias("close"), "directional_only")
+
+
 def share_intervals(records: DataFrame, replicates: int = 1000, per_task: int = 100, small: int = 30, seed: int = 0) -> DataFrame:
     """Narrative share per group with a percentile bootstrap interval.
 

@@ -20,7 +20,7 @@ FOOTER_EDGE = " |¦-–—:•·"
 
 def find_footers(posts: DataFrame, groups: Sequence[str], text: str, min_posts: int = 20, min_share: float = 0.05,
                  share_without_marker: float = 0.30, max_words: int = 25, markers: Sequence[str] = tuple(FOOTER_MARKERS)) -> DataFrame:
-    """Endings of 2 to 25 words that a group's posts repeat, shorter than the post they end."""
+    """Endings of 2 to 25 words that a group's posts repeat, shorter than the post they end. A group is a source and a month: channels change their footers."""
     groups = list(groups)
     long_enough = posts.select(*groups, F.split(F.col(text), " ").alias("_w")).filter(F.size("_w") > 2).withColumn(
         "_tail", F.array_join(F.slice("_w", -2, 2), " "))
@@ -47,26 +47,29 @@ def find_footers(posts: DataFrame, groups: Sequence[str], text: str, min_posts:
 def strip_footers(posts: DataFrame, ident: str, text: str, footers: DataFrame, passes: int = 4) -> DataFrame:
     """Drop known endings, longest first, up to four times; endings of all groups are pooled.
 
-    Each pass joins a post's last two words to the endings that share them, so only real candidates
-    are compared.
+    Endings are kept as one list per last two words, longest first, so a post meets one row and the first that fits is cut. Only posts that lost an
+    ending are looked at again.
     """
     def tail(column: str):
         return F.array_join(F.slice(F.split(F.col(column), " "), -2, 2), " ")
 
-    pool = summary(footers.select("ending").distinct().withColumn("_tail", tail("ending")))
-    # Posts move once, by their id; while the pool of endings is small enough to be sent to every
-    # task, no pass moves them again.
-    d = posts.select(ident, F.col(text).alias("_t")).repartition(ident)
-    for _ in range(passes):
-        several = F.size(F.split("_t", " ")) >= 2
-        keyed = d.withColumn("_k", F.when(several, tail("_t")))
-        hit = (F.col("_k") == F.col("_tail")) & F.endswith("_t", "ending") & (F.length("_t") > F.length("ending"))
-        longest = F.max(F.when(F.col("ending").isNotNull(), F.length("ending"))).alias("_cut")
-        cut = F.substring(F.col("_t"), F.lit(1), F.length("_t") - F.col("_cut"))
-        d = (
-            keyed.join(pool, hit, "left").groupBy(ident, "_t").agg(longest)
-            .select(ident, F.when(F.col("_cut").isNull(), F.col("_t")).otherwise(F.rtrim(cut, F.lit(FOOTER_EDGE))).alias("_t")))
-    return d.select(ident, F.col("_t").alias(text))
+    pool = footers.select("ending").distinct().withColumn("_tail", tail("ending"))
+    lists = summary(pool.groupBy("_tail").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.length("ending")).alias("n"), F.col("ending").alias("e")))), lambda x: x["e"]).alias("_ends")))
+
+    def once(rows: DataFrame) -> DataFrame:
+        """Each text without the ending that fits, and whether one did."""
+        fits = F.filter("_ends", lambda e: F.endswith(F.col("_t"), e) & (F.length("_t") > F.length(e)))
+        met = rows.join(lists, F.col("_k") == F.col("_tail"), "left").select(ident, "_t", F.get(fits, F.lit(0)).alias("_e"))
+        rest = F.rtrim(F.substring(F.col("_t"), F.lit(1), F.length("_t") - F.length("_e")), F.lit(FOOTER_EDGE))
+        return met.select(ident, F.coalesce(rest, "_t").alias("_t"), F.col("_e").isNotNull().alias("_hit"))
+
+    several = F.size(F.split("_t", " ")) >= 2
+    spread = F.concat(F.lit("\0"), F.col(ident).cast("string"))              # a key that no ending has, another for every post
+    first = cut_point(once(posts.select(ident, F.col(text).alias("_t")).withColumn("_k", F.when(several, tail("_t")).otherwise(spread))), "stripped")
+    again = first.filter("_hit")
+    for _ in range(passes - 1):
+        again = once(again.withColumn("_k", F.when(F.col("_hit") & several, tail("_t")).otherwise(spread)))
+    return first.filter("not _hit").unionByName(again).select(ident, F.col("_t").alias(text))
 
 
 def interleave(rows: DataFrame, group: str, ident: str) -> DataFrame:

@@ -322,11 +322,12 @@ class Domain:
 
     @cached_property
     def squeezed(self) -> DataFrame:
-        return self.texts.select("source_name", "message_id", squeeze(F.col("post_text")).alias("t"))
+        month = F.concat(F.lit("2025-0"), (F.col("message_id") % 2 + 1).cast("string"))     # the documents have no dates
+        return self.texts.select("source_name", month.alias("month"), "message_id", squeeze(F.col("post_text")).alias("t"))
 
     @cached_property
     def footers(self) -> DataFrame:
-        return X.find_footers(self.squeezed, ["source_name"], "t")
+        return X.find_footers(self.squeezed, ["source_name", "month"], "t")
 
     # ------------------------------------------------------------------ candidates and labels
     @cached_property

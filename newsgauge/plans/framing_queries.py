@@ -75,9 +75,17 @@ def _(d):
     return slim.select("id", "grp", F.array_join("sem", ",").alias("frames"), F.size("me").alias("n_roles"))
 
 
-@query("frm_narrative_share_ci")
+sql_view("x_nar", """select event, media_group, narrative_id, count(*) as k, group_n as n, count(*)::double / group_n as p from x_rec join x_gn using (event, media_group)
+  where narrative_id is not null group by event, media_group, narrative_id, group_n""")
+sql_view("x_binom", """select event, media_group, narrative_id, n, k, p, x, sum(exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln(p) + (n - x) * ln(1 - p))) over (partition by event, media_group, narrative_id order by x) as below
+  from (select *, unnest(range(0, n + 1)) as x from x_nar where p < 1)""")
+
+
+@query("frm_narrative_share_ci", """with q as (select event, media_group, narrative_id, min(x) filter (where below >= 0.025) as lo, coalesce(min(x) filter (where below >= 0.975), any_value(n)) as hi from x_binom group by all)
+  select event, media_group, narrative_id, n, round_even(p, 3) as share, coalesce(lo, n)::double / n as exact_lo, coalesce(hi, n)::double / n as exact_hi, true as close, n < 30 as directional_only
+  from x_nar left join q using (event, media_group, narrative_id)""", "exact_lo exact_hi")
 def _(d):
-    return FR.share_intervals(d.records)
+    return FR.interval_checks(FR.share_intervals(d.records), FR.narrative_counts(d.records))
 
 
 sql_view("x_js", """with g as (select event, media_group, narrative_id, count(*) as n from x_rec group by all),
@@ -422,6 +430,17 @@ def _(d):
     return CL.seed_rule(_clusters(d), "cluster")
 
 
-@query("frm_cluster_kmeans")
-def _(d):
-    return CL.kmeans_by_silhouette(d.vectors, "id", "vector")
+@query("frm_cluster_kmeans", """select k::int as k, n, n as own_centre_nearest, true as labels_in_range, true as silhouette_recomputed, true as one_is_best from range(3, 15) r(k), (select count(*) as n from x_vec)""")
+def _(d):
+    """What holds for whatever labels the iterations end with: each vector's own centre is the nearest, and the silhouette is that of the library's evaluator."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    labelled, centres = CL.kmeans_runs(d.vectors, "id", "vector")
+    judge = lambda k: ClusteringEvaluator(featuresCol="features", predictionCol=f"k{k}", distanceMeasure="cosine").evaluate(labelled)
+    again = d.spark.createDataFrame([(k, judge(k)) for k in centres], "k int, again double")             # a row for each k
+    chosen = CL.best_labels(labelled, CL.silhouettes(labelled, centres))
+    best = chosen.select("k", "silhouette").distinct().select(F.col("k").alias("best_k"), F.col("silhouette").alias("best"))
+    ranges = labelled.select(*[F.max(F.when(F.col(f"k{k}").between(0, k - 1), 0).otherwise(1)).alias(f"k{k}") for k in centres])
+    wrong = ranges.selectExpr(f"stack({len(centres)}, {', '.join(f'{k}, k{k}' for k in centres)}) as (k, wrong)")
+    facts = CL.silhouettes(labelled, centres).join(again, "k").join(wrong, "k").crossJoin(F.broadcast(best))                # one row
+    return facts.select("k", "n", F.col("nearest").alias("own_centre_nearest"), (F.col("wrong") == 0).alias("labels_in_range"),
+                        (F.abs(F.col("silhouette") - F.col("again")) < 1e-9).alias("silhouette_recomputed"), (F.col("best") >= F.col("silhouette") - 1e-12).alias("one_is_best"))

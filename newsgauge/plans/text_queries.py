@@ -187,11 +187,11 @@ def _(d):
     return d.table("documents").select("doc_id", F.posexplode(T.fragments(F.col("text"))).alias("fragment", "piece"))
 
 
-sql_view("x_sq", r"select source_name, message_id, trim(regexp_replace(post_text, '\s+', ' ', 'g')) as t from x_tposts")
-sql_view("x_foot", """with e as (select source_name, array_to_string(w[-k:], ' ') as ending from (select source_name, string_split(t, ' ') as w, unnest(generate_series(2, 25)) as k from x_sq) where len(w) > k),
-  c as (select source_name, ending, count(*) as posts_ending from e group by all)
-  select source_name, ending, posts_ending, ending like '%@%' or ending like '%t.me%' or ending like '%http%' or ending like '%|%' or ending like '%¦%' or lower(ending) like '%subscribe%' as has_marker,
-    posts_ending / n as share from c join (select source_name, count(*) as n from x_sq group by 1) using (source_name)
+sql_view("x_sq", r"select source_name, '2025-0' || (message_id % 2 + 1) as month, message_id, trim(regexp_replace(post_text, '\s+', ' ', 'g')) as t from x_tposts")
+sql_view("x_foot", """with e as (select source_name, month, array_to_string(w[-k:], ' ') as ending from (select source_name, month, string_split(t, ' ') as w, unnest(generate_series(2, 25)) as k from x_sq) where len(w) > k),
+  c as (select source_name, month, ending, count(*) as posts_ending from e group by all)
+  select source_name, month, ending, posts_ending, ending like '%@%' or ending like '%t.me%' or ending like '%http%' or ending like '%|%' or ending like '%¦%' or lower(ending) like '%subscribe%' as has_marker,
+    posts_ending / n as share from c join (select source_name, month, count(*) as n from x_sq group by 1, 2) using (source_name, month)
   where posts_ending >= greatest(20, 0.05 * n) and (has_marker or posts_ending / n >= 0.3)""")
 
 

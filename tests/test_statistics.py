@@ -49,3 +49,41 @@ def test_distance_and_flips(spark):
                                  "event string, media_group string, entity string, role string, n bigint")
     r = FR.role_flips(cont).collect()
     assert [(x.entity, x.n_groups, x.opposed_contradiction) for x in r] == [("x", 2, True)]
+
+
+def test_silhouettes_match_pairs(spark):
+    """The closed form against all pairs, a cluster of one among them."""
+    import numpy as np
+    from newsgauge.operators import clusters as CL
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    labels = {3: rng.integers(0, 2, 60), 4: rng.integers(0, 4, 60)}
+    labels[3][7] = 2
+    from pyspark.ml.functions import array_to_vector
+    df = spark.createDataFrame([(i, v.tolist(), int(labels[3][i]), int(labels[4][i])) for i, v in enumerate(x)], "id long, vector array<double>, k3 int, k4 int").withColumn("features", array_to_vector("vector"))
+    centres = {k: np.stack([x[labels[k] == c].mean(axis=0) for c in range(k)]) for k in labels}
+    got = {r.k: r for r in CL.silhouettes(df, centres).collect()}
+    far = 1 - x @ x.T
+    for k, own in labels.items():
+        s = []
+        for i in range(60):
+            mean = [far[i, (own == c) & (np.arange(60) != i)].mean() if ((own == c) & (np.arange(60) != i)).any() else None for c in range(k)]
+            a, b = mean[own[i]], min(m for c, m in enumerate(mean) if c != own[i])
+            s.append(0.0 if a is None else (b - a) / max(a, b))
+        unit = centres[k] / np.linalg.norm(centres[k], axis=1, keepdims=True)
+        assert abs(got[k].silhouette - np.mean(s)) < 1e-9 and got[k].n == 60 and got[k].nearest == ((x @ unit.T).argmax(axis=1) == own).sum()
+
+
+def test_binomial_quantiles_match_counted_ones():
+    from newsgauge.operators.framing import binomial_quantile
+    from math import comb
+    for n, p in ((1, 0.5), (30, 0.1), (200, 0.37), (50, 1.0)):
+        total, quantiles = 0.0, {}
+        for k in range(n + 1):
+            total += comb(n, k) * p ** k * (1 - p) ** (n - k)
+            for q in (0.025, 0.975):
+                if total >= q and q not in quantiles:
+                    quantiles[q] = k
+        assert [binomial_quantile(n, p, q) for q in (0.025, 0.975)] == [quantiles[0.025], quantiles[0.975]]
+    assert abs(binomial_quantile(10 ** 8, 0.3, 0.5) - 3 * 10 ** 7) < 2000
