@@ -7,6 +7,8 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsgauge.functions import wording as W
+
 
 def event_fingerprint(year: Column, week: Column, name: Column) -> Column:
     return F.md5(F.concat_ws("|", year.cast("string"), week.cast("string"), name))
@@ -148,9 +150,9 @@ def fixed_point(x: Column, digits: int) -> Column:
 def coverage_cell(posts: Column, per_1000: Column, published: Column) -> Column:
     """A group's coverage as text with its three zeros apart: not publishing, none of N, too few to compare."""
     noun = F.when(posts == 1, " post").otherwise(" posts")
-    few = F.when(posts < 5, ", too few to compare").otherwise("")
+    few = F.when(posts < 5, W.FEW).otherwise("")
     return (
-        F.when(F.coalesce(published, F.lit(0)) == 0, "not publishing in this window")
+        F.when(F.coalesce(published, F.lit(0)) == 0, W.SILENT)
         .when(posts == 0, F.concat(F.lit("0 of "), thousands(published), F.lit(" posts")))
         .otherwise(F.concat(fixed_point(per_1000, 1), F.lit(" · "), thousands(posts), noun, few))
     )
@@ -159,14 +161,8 @@ def coverage_cell(posts: Column, per_1000: Column, published: Column) -> Column:
 def trust_warning(standard_cutoff: Column, threshold: Column, searchable_share: Column,
                   searchable: Column, published: Column) -> Column:
     """Two separate reasons a count cannot be compared, joined; NULL when neither holds."""
-    cut = F.when(
-        ~standard_cutoff,
-        F.concat(F.lit("Posts were kept at a relevance score of "), threshold.cast("string"),
-                 F.lit(" instead of 0.35, so weaker matches were counted and the total is too high next to other events.")))
-    seen = F.when(
-        searchable_share < 0.9,
-        F.concat(F.lit("Only "), thousands(searchable), F.lit(" of "), thousands(published),
-                 F.lit(" posts in the window could be searched, so the total is too low next to other events.")))
+    cut = F.when(~standard_cutoff, W.filled(W.LOOSE_CUT, threshold))
+    seen = F.when(searchable_share < 0.9, W.filled(W.PART_SEARCHED, thousands(searchable), thousands(published)))
     return F.nullif(F.concat_ws(" ", cut, seen), F.lit(""))
 
 

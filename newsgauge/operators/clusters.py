@@ -9,6 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsgauge.operators.texts import top_words
 from newsgauge.session import cut_point
 
 
@@ -89,6 +90,21 @@ def nearest(labelled: DataFrame, cluster: str, ident: str, vector: str, k: int)
     return scored.withColumn("place", place.cast("long")).filter(F.col("place") <= k).join(sizes, cluster)
 
 
+def cluster_summary(labelled: DataFrame, cluster: str, ident: str, vector: str, texts: DataFrame, text: str, group: str, stop: DataFrame, k: int = 6) -> DataFrame:
+    """Clusters by size (the largest first, ties by label): the member nearest to the centre with its text, the k most used words outside the stop list,
+    and how the members split over groups. `texts` has id, text and group of members; noise (-1) is left out."""
+    medoids = nearest(labelled, cluster, ident, vector, 1).select(cluster, F.col(ident).alias("medoid"), "size")
+    members = labelled.filter(F.col(cluster) != -1).select(cluster, ident).join(texts.select(ident, text, group), ident)
+    words = top_words(members, [cluster], text, stop, k)
+    listed = lambda rows, order, shown, name: rows.groupBy(cluster).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, shown.alias("_s")))), lambda x: x["_s"]), ", ").alias(name))
+    terms = listed(words, ["place"], F.col("word"), "terms")
+    split = members.groupBy(cluster, group).agg(F.count(F.lit(1)).alias("n"))
+    groups = listed(split, [(-F.col("n")).alias("o"), F.col(group).alias("g")], F.concat(group, F.lit(" "), "n"), "groups")
+    place = F.row_number().over(Window.orderBy(F.desc("size"), cluster)).cast("long")                    # one row for each cluster
+    return (medoids.join(texts.select(F.col(ident).alias("medoid"), F.col(text).alias("medoid_text")), "medoid", "left").join(terms, cluster, "left").join(groups, cluster, "left")
+            .withColumn("place", place))
+
+
 def seed_rule(labelled: DataFrame, cluster: str, max_narratives: int = 8) -> DataFrame:
     """Whether a clustering is too coarse to start from, and how many k-means groups to use instead."""
     sizes = labelled.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))

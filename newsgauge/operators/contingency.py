@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsgauge.session import summary
+
 DIM = ["event", "dimension"]
 
 
@@ -43,7 +45,7 @@ def chi_square(counts: DataFrame) -> DataFrame:
 
     Every cell of the table counts, also the empty ones, so cells come from the two margins.
     """
-    cells = counts.filter("n > 0").groupBy(*DIM, "category", "media_group").agg(F.sum("n").alias("n"))
+    cells = summary(counts.filter("n > 0").groupBy(*DIM, "category", "media_group").agg(F.sum("n").alias("n")))     # read by both margins, the shape and the grid
     rows = cells.groupBy(*DIM, "category").agg(F.sum("n").alias("r"))
     cols = cells.groupBy(*DIM, "media_group").agg(F.sum("n").alias("c"))
     shape = rows.groupBy(*DIM).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("r").alias("total")).join(

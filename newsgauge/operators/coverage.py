@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from newsgauge.functions.dates import hours_between, iso_week_monday, window_days
 from newsgauge.functions.text import event_fingerprint, json_message
-from newsgauge.operators.scaling import exact_median
+from newsgauge.operators.scaling import exact_median, percent_ranks
 
 UNKNOWN_GROUP = "Ungrouped source (unexpected)"
 UNKNOWN_GROUP_KEY = "ungrouped_unexpected"
@@ -247,16 +247,12 @@ def coverage_gaps(overview: DataFrame) -> DataFrame:
     """Public attention against media volume, both as positions among the ranked events (one row per event)."""
     ranked = overview.filter(F.col("attention_percentage").isNotNull() & F.col("matched_posts").isNotNull())
 
-    def position(column: str) -> Column:
-        return F.percent_rank().over(Window.orderBy(F.col(column).asc_nulls_last()))
-
     gap = F.col("attention_position") - F.col("volume_position")
+    ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.count(F.lit(1)).alias("events_ranked"))))          # one row
+    for column, position in (("attention_percentage", "attention_position"), ("matched_posts", "volume_position"), ("matched_posts_per_1000_published", "intensity_position")):
+        ranked = percent_ranks(ranked, column, position)
     return (
-        ranked.withColumn("events_ranked", F.count(F.lit(1)).over(Window.partitionBy()))
-        .withColumn("attention_position", position("attention_percentage"))
-        .withColumn("volume_position", position("matched_posts"))
-        .withColumn("intensity_position", position("matched_posts_per_1000_published"))
-        .select(
+        ranked.select(
             "event_id", "event_slug", "event_name", "survey_year", "survey_week", "match_start", "attention_percentage",
             "matched_posts", "matched_posts_per_1000_published", "sources_covering", "sources_active", "groups_covering",
             "groups_active", "events_ranked", "attention_position", "volume_position", "intensity_position",

@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 import unicodedata
 import zlib
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -257,9 +257,10 @@ def frame_prevalence(records: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------- comparison tables
-def dimensions(records: DataFrame, cast_of: Sequence[str] = (), min_group: int = 15, top_causes: int = 5) -> DataFrame:
+def dimensions(records: DataFrame, cast_of: Sequence[str] = (), min_group: int = 15, top_causes: int = 5, clusters: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Every aggregatable framing dimension as one long table of counts: event, dimension, unit, category, group.
 
+    `clusters` gives, for a field, the cluster of each message (message_id, cluster); messages without one do not count there.
     Groups below `min_group` messages are left out.
     """
     r = records
@@ -279,6 +280,8 @@ def dimensions(records: DataFrame, cast_of: Sequence[str] = (), min_group: int =
     add(men, "Role type (overall cast)", "role assignment", role_category(F.col("role")))
     for e in cast_of:
         add(men.filter(F.col("entity") == e), f"Cast of: {e}", "role assignment", role_category(F.col("role")))
+    for field, labelled in (clusters or {}).items():
+        add(r.select(*EG, "message_id").join(labelled, "message_id"), f"{field} cluster", "message", F.concat(F.lit("C"), "cluster"))
     blamed = by_cause.join(first, ["event", "c"], "left").groupBy(*EG, F.when(F.col("_top"), F.col("c")).otherwise("(other)").alias("category")).agg(F.sum("n").alias("n"))
     parts.append(blamed.select(*EG, F.lit("Blamed entity (cause)").alias("dimension"), F.lit("msg w/ cause").alias("unit"), "category", "n"))
     out = parts[0]
@@ -534,8 +537,9 @@ def provenance(records: DataFrame) -> DataFrame:
         return s.map(lambda xs: [unicodedata.normalize("NFKC", x) if x else x for x in xs])
 
     spans = F.filter(F.transform(evidence_fields(), lambda s: s["span"]), lambda s: F.trim(s) != "")
-    words = records.select("event", "message_id", F.transform(nfkc(F.concat(F.array("text_used"), spans)), plain_words).alias("_w"))
-    split = words.select("event", "message_id", F.element_at("_w", 1).alias("_t"), F.slice("_w", F.lit(2), F.size("_w")).alias("_s")).filter(F.size("_s") > 0)
+    quoted = records.select("event", "message_id", "text_used", spans.alias("_q")).filter(F.size("_q") > 0)                # before the Python step, which then runs once
+    words = quoted.select("event", "message_id", F.transform(nfkc(F.concat(F.array("text_used"), "_q")), plain_words).alias("_w"))
+    split = words.select("event", "message_id", F.element_at("_w", 1).alias("_t"), F.slice("_w", F.lit(2), F.size("_w")).alias("_s"))
     found = split.select("event", "message_id", F.size("_s").alias("_n"), F.size(F.filter("_s", lambda s: grounded(F.col("_t"), s))).alias("_f"))
     return found.groupBy("event", "message_id").agg(F.sum("_n").alias("n_total"), F.sum("_f").alias("n_found")).withColumn(
         "score", F.col("n_found").cast("double") / F.col("n_total"))

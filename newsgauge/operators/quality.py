@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsgauge.functions import wording as W
+
 from newsgauge.operators.vocabulary import TERM
 
 
@@ -130,8 +132,7 @@ def theme_weeks_unique(attention: DataFrame, theme_coverage: DataFrame) -> DataF
 def nonstandard_settings(overview: DataFrame) -> DataFrame:
     """Events whose counts cannot be compared with the others', with the reason (a warning)."""
     low, thin = ~F.col("standard_relevance_cutoff"), F.col("searchable_share_of_window") < 0.9
-    reason = (F.when(low & thin, "lower relevance cut-off AND an incomplete search of the window").when(low, "lower relevance cut-off than the other events")
-              .otherwise("incomplete search: part of the window had no embedding vectors"))
+    reason = F.when(low & thin, W.LOOSE_AND_PART).when(low, W.LOOSE_ONLY).otherwise(W.PART_ONLY)
     return with_severity(overview.filter(low | thin).select(
         "event_slug", "retriever", "rerank_threshold", "matched_posts", "searchable_posts_in_window", "posts_published_in_window",
         F.round("searchable_share_of_window", 3).alias("searchable_share_of_window"), reason.alias("reason")), "warn")

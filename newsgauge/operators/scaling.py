@@ -91,6 +91,22 @@ def rank_by_id(df: DataFrame, keys: Sequence[str], ident: str, out: str = "rank"
     return rank_in_blocks(df, keys, F.shiftright(F.col(ident).cast("long"), bits), [F.col(ident)], out)
 
 
+def percent_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """percent_rank() over all rows by a number, NULLs last and equal values alike, without sorting all rows in one task.
+
+    Values are counted, the counts of blocks of values added up, and values sorted inside a block only.
+    """
+    block = F.coalesce(magnitude_block(F.col(value)), F.lit(2 ** 31 - 1))
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", block)
+    prior = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)                      # one row for each block: 64 a doubling
+    offsets = counts.groupBy("_block").agg(F.sum("_n").alias("_bn")).select(
+        "_block", F.coalesce(F.sum("_bn").over(prior), F.lit(0)).alias("_before"), F.sum("_bn").over(Window.partitionBy()).alias("_all"))
+    inside = Window.partitionBy("_block").orderBy(F.col(value).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    share = (F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).cast("double") / F.greatest(F.col("_all") - 1, F.lit(1))
+    ranks = summary(counts.join(offsets, "_block").select(F.col(value).alias("_v"), share.alias(out)))
+    return df.join(ranks, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
+
+
 def running_sum(
     df: DataFrame, position: str, value: str, out: str, keys: Sequence[str] = (), bits: int = 14
 ) -> DataFrame:

@@ -401,7 +401,7 @@ class Domain:
         statuses = ["asserted"] * 5 + ["attributed", "attributed", "hedged", "denied", "questioned"]
         quote = F.substring(F.col("text"), (h("q", 40) + 1).cast("int"), F.lit(40))
         broken = F.concat(F.substring(quote, 1, 10), F.lit(" zzz "), F.substring(quote, 16, 25))
-        evidence = F.when(h("qq", 3) == 0, broken).otherwise(F.concat(F.lit("«"), quote, F.lit("»")))
+        evidence = F.when(h("qq", 3) == 0, broken).otherwise(F.concat(F.lit("«"), F.replace(F.replace(quote, F.lit("t"), F.lit("ｔ")), F.lit("fi"), F.lit("ﬁ")), F.lit("»")))
         entity = several(h("ne", 3) + 1, lambda i: F.struct(
             F.concat(F.lit("m"), i).alias("mention"), F.concat(F.lit("actor"), h("en", 8, i)).alias("canonical"), pick(["person", "org", "place"], h("et", 3, i)).alias("type")))
         label = several(h("na", 4), lambda i: F.struct(

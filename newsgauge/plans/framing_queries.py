@@ -186,6 +186,7 @@ _DIMS = f"""select event, media_group, 'Epistemic status' as dimension, 'message
   union all select event, media_group, 'Cast of: ' || entity, 'role assignment', {_CAT}, count(*) from x_men where entity in ('actor1', 'actor2') group by all
   union all select event, media_group, 'Blamed entity (cause)', 'msg w/ cause', case when (event, cause) in (select event, cause from (select event, cause, row_number() over (partition by event order by count(*) desc, cause) as r
     from x_rec where cause is not null group by event, cause) where r <= 5) then cause else '(other)' end, count(*) from x_rec where cause is not null group by all"""
+_DIMS += " union all select event, media_group, 'problem_definition cluster', 'message', 'C' || label, count(*) from x_rec join x_vec on id = message_id group by all"
 sql_view("x_dims", f"select * from ({_DIMS}) where (event, media_group) in (select event, media_group from x_gn where group_n >= 15)")
 sql_view("x_chi", """with c as (select event, dimension, category, media_group, sum(n) as n from x_dims group by all), r as (select event, dimension, category, sum(n) as r from c group by all),
   k as (select event, dimension, media_group, sum(n) as c from c group by all), s as (select event, dimension, count(*) as nr, sum(r) as t from r group by all), z as (select event, dimension, count(*) as nc from k group by all),
@@ -204,7 +205,7 @@ sql_view("x_holm", """with r as (select *, row_number() over (partition by event
 
 
 def _dims(d):
-    return FR.dimensions(d.records, ["actor1", "actor2"])
+    return FR.dimensions(d.records, ["actor1", "actor2"], clusters={"problem_definition": d.vectors.select(F.col("id").alias("message_id"), F.col("label").alias("cluster"))})
 
 
 @query("frm_dimensions", "select * from x_dims")
@@ -389,9 +390,9 @@ def _(d):
 
 
 @query("txt_provenance", r"""with q as (select event, message_id, doc_id, text, substring(text, (%s + 1)::int, 40) as quote, %s as bad from x_rec),
-  s as (select event, message_id, text, case when bad = 0 then substring(quote, 1, 10) || ' zzz ' || substring(quote, 16, 25) else '«' || quote || '»' end as span from q union all select event, message_id, text, substring(text, 1, 30) from x_rec),
+  s as (select event, message_id, text, case when bad = 0 then substring(quote, 1, 10) || ' zzz ' || substring(quote, 16, 25) else '«' || replace(replace(quote, 't', 'ｔ'), 'fi', 'ﬁ') || '»' end as span from q union all select event, message_id, text, substring(text, 1, 30) from x_rec),
   n as (select event, message_id, trim(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '[^\pL\pM\pN_\s]', ' ', 'g'), '\s+', ' ', 'g')) as t,
-    trim(regexp_replace(regexp_replace(lower(nfc_normalize(span)), '[^\pL\pM\pN_\s]', ' ', 'g'), '\s+', ' ', 'g')) as s from s where trim(span) <> ''),
+    trim(regexp_replace(regexp_replace(lower(replace(replace(nfc_normalize(span), 'ｔ', 't'), 'ﬁ', 'fi')), '[^\pL\pM\pN_\s]', ' ', 'g'), '\s+', ' ', 'g')) as s from s where trim(span) <> ''),
   f as (select *, length(s) < 6 or contains(t, s) or len(list_filter(range(1, greatest(length(s) - ceil(length(s) * 0.85::double)::bigint + 1, 1) + 1), lambda i: contains(t, substring(s, i, ceil(length(s) * 0.85::double)::bigint)))) > 0 as ok from n)
   select event, message_id, count(*) as n_total, count(*) filter (where ok) as n_found, (count(*) filter (where ok))::double / count(*) as score from f group by all""" % (H("q", 40), H("qq", 3)), "score")
 def _(d):
@@ -414,12 +415,16 @@ def _(d):
     return CL.nearest(_clusters(d), "cluster", "id", "vector", 6)
 
 
-@query("frm_cluster_medoid", """select m.cluster, m.id as medoid, m.size, count(*) filter (where c.id % 2 = 0) as even_group, count(*) filter (where c.id % 2 = 1) as odd_group
-  from x_near m join x_clu c using (cluster) where place = 1 group by all""")
+@query("frm_cluster_medoid", f"""with m as (select c.cluster, d.text, 'g' || {_G} as media_group from x_clu c join documents d on d.doc_id = c.id where cluster <> -1),
+  w as (select cluster, word, row_number() over (partition by cluster order by count(*) desc, word) as r from (select cluster, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) as word from m)
+    where word not in (select term from x_stop) group by cluster, word),
+  t as (select cluster, string_agg(word, ', ' order by r) as terms from w where r <= 6 group by 1),
+  g as (select cluster, string_agg(media_group || ' ' || n, ', ' order by n desc, media_group) as groups from (select cluster, media_group, count(*) as n from m group by all) group by 1)
+  select n.cluster, n.id as medoid, n.size, md5(d.text) as medoid_text, terms, groups, row_number() over (order by n.size desc, n.cluster) as place
+  from x_near n left join documents d on d.doc_id = n.id left join t using (cluster) left join g using (cluster) where n.place = 1""")
 def _(d):
-    c = _clusters(d)
-    spread = c.groupBy("cluster").agg(F.count_if(F.col("id") % 2 == 0).alias("even_group"), F.count_if(F.col("id") % 2 == 1).alias("odd_group"))
-    return CL.nearest(c, "cluster", "id", "vector", 1).select("cluster", F.col("id").alias("medoid"), "size").join(spread, "cluster")
+    texts = d.table("documents").select(F.col("doc_id").alias("id"), "text", F.concat(F.lit("g"), F.expr("substring(source, 4)").cast("int") % 5).alias("media_group"))
+    return CL.cluster_summary(_clusters(d), "cluster", "id", "vector", texts, "text", "media_group", d.stopwords).withColumn("medoid_text", F.md5("medoid_text"))
 
 
 @query("frm_cluster_seed_rule", """with s as (select cluster, count(*) as n from x_clu group by 1),

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsgauge.functions import wording as W
 from newsgauge.operators import quality as Q
 from newsgauge.operators import vocabulary as V
 from newsgauge.plans.catalog import query
@@ -118,9 +119,9 @@ def _(d):
     return Q.theme_weeks_unique(d.theme_attention, d.theme_coverage)
 
 
-@query("dq_nonstandard_warn", """select event_slug, retriever, rerank_threshold, matched_posts, searchable_posts_in_window, posts_published_in_window, round(searchable_share_of_window, 3) as searchable_share_of_window,
-  case when not standard_relevance_cutoff and searchable_share_of_window < 0.9 then 'lower relevance cut-off AND an incomplete search of the window'
-    when not standard_relevance_cutoff then 'lower relevance cut-off than the other events' else 'incomplete search: part of the window had no embedding vectors' end as reason, 'warn' as severity
+@query("dq_nonstandard_warn", f"""select event_slug, retriever, rerank_threshold, matched_posts, searchable_posts_in_window, posts_published_in_window, round(searchable_share_of_window, 3) as searchable_share_of_window,
+  case when not standard_relevance_cutoff and searchable_share_of_window < 0.9 then {W.quoted(W.LOOSE_AND_PART)}
+    when not standard_relevance_cutoff then {W.quoted(W.LOOSE_ONLY)} else {W.quoted(W.PART_ONLY)} end as reason, 'warn' as severity
   from x_overview where not standard_relevance_cutoff or searchable_share_of_window < 0.9""")
 def _(d):
     return Q.nonstandard_settings(d.overview)

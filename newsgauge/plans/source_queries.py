@@ -35,7 +35,7 @@ def _(d):
     rows = d.raw_matches.join(d.survey.select("event_id", "survey_year"), "event_id").withColumn("is_digest", digest).drop("event_slug", "published_date")
     folder = run_dir(d.spark, "matches-csv")
     for name, part in (("old", rows.filter("survey_year < 1996")), ("new", rows.filter("survey_year >= 1996").drop("forwards"))):
-        part.repartition("survey_year").write.partitionBy("survey_year").csv(f"{folder}/{name}", header=True, escape='"')
+        part.hint("rebalance", "survey_year").write.partitionBy("survey_year").csv(f"{folder}/{name}", header=True, escape='"')
     columns = {"event_id": "string", **RD.MATCH_COLUMNS}
     stacked = RD.read_match_stack(d.spark, [f"{folder}/old", f"{folder}/new"], columns, ["survey_year"])
     return stacked.join(d.archived, "source_name", "left_anti").select(*_STACK_COLUMNS)
