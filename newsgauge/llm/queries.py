@@ -11,6 +11,7 @@ from newsgauge.llm.common import table
 from newsgauge.llm.line_dedup import CHECK_SQL as LINE_SQL
 from newsgauge.llm.prefix_trie import CHECK_SQL as TRIE_SQL
 from newsgauge.llm.url_filter import CHECK_SQL as URL_SQL
+from newsgauge.session import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,8 +66,9 @@ SHARDS = {f"shard-{k:03d}": 2 if k % 16 == 0 else 1 for k in range(64)}        #
 
 @query
 def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    from newsgauge.llm.sharding import placed
-    return placed(table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars"), ["doc_id"], SHARDS)
+    from newsgauge.llm.sharding import write_shards
+    files = write_shards(table(spark, folder, "documents"), ["doc_id"], SHARDS, run_dir(spark, "shards"))
+    return files.select("doc_id", "source", "lang", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), "slot", "shard")
 
 
 @query
@@ -97,20 +99,19 @@ TOOLS = {
 
 
 def with_calls(conversations: DataFrame) -> DataFrame:
-    """The given conversations hold no tool calls, so each user turn gets a call over its own words and each assistant turn answers the turn before.
+    """The given conversations hold no tool calls, so each user turn gets a call over its own text and each assistant turn answers the turn before with its own.
 
     Every third conversation has its calls wait for later ones, every seventh for both sides (a circle), and some calls, arguments or answers are at fault.
     """
     c, t = F.col("conv_id"), F.col("turn")
     cid = lambda turn: F.concat(F.lit("c"), c, F.lit("-"), turn)
-    words = F.substring("text", 1, 40)
-    args = (F.when(t % 4 == 0, F.to_json(F.struct(words.alias("query"), (t + 1).alias("limit")))).when(t % 4 == 1, F.to_json(F.struct(words.alias("text"), F.lit("words").alias("unit"))))
+    args = (F.when(t % 4 == 0, F.to_json(F.struct(F.col("text").alias("query"), (t + 1).alias("limit")))).when(t % 4 == 1, F.to_json(F.struct("text", F.lit("words").alias("unit"))))
             .when(c % 5 == 0, F.to_json(F.struct(F.lit("two").alias("turn")))).otherwise(F.to_json(F.struct(t.alias("turn")))))
     name = F.when(c % 11 == 0, "delete").when(t % 4 == 0, "search").when(t % 4 == 1, "count").otherwise("quote")
     back = F.when((t >= 2) & ((c % 3 != 0) | (c % 7 == 0)), F.concat(F.lit('"'), cid(t - 2), F.lit('"')))
     on = F.when((c % 3 == 0) | (c % 7 == 0), F.concat(F.lit('"'), cid(t + 2), F.lit('"')))
     call = F.concat(F.lit('{"tool_call":{"id":"'), cid(t), F.lit('","name":"'), name, F.lit('","arguments":'), args, F.lit(',"after":['), F.concat_ws(",", back, on), F.lit("]}}"))
-    result = F.concat(F.lit('{"tool_result":{"id":"'), cid(t - 1), F.lit('","content":'), F.to_json(F.struct(F.length("text").alias("chars"))), F.lit("}}"))
+    result = F.concat(F.lit('{"tool_result":{"id":"'), cid(t - 1), F.lit('","content":'), F.to_json(F.struct(F.length("text").alias("chars"), "text")), F.lit("}}"))
     line = F.when(F.col("role") == "user", call).when((F.col("role") == "assistant") & (c % 13 != 0), result)
     return conversations.withColumn("text", F.concat_ws("\n", "text", line))
 

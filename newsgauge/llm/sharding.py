@@ -54,12 +54,20 @@ def slot_of(*keys: Column | str, slots: int = SLOTS) -> Column:
 
 
 def placed(df: DataFrame, keys: list[str], shards: dict[str, int], slots: int = SLOTS) -> DataFrame:
-    """df with `slot` and `shard`; columns of these names are replaced. Every row is placed, equal keys alike, nothing is shuffled."""
+    """df with `slot` and `shard`; columns of these names are replaced. Every row is placed, equal keys alike, nothing is shuffled.
+
+    Repeated rows stay as many as they are, null keys go together, an empty table gives an empty one.
+    """
     table = lookup_table(df.sparkSession, shards, slots)                     # at most LARGEST short rows
     return df.drop("slot", "shard").withColumn("slot", slot_of(*keys, slots=slots)).join(F.broadcast(table), "slot").select(
         *[c for c in df.columns if c not in ("slot", "shard")], "slot", "shard")
 
 
-def write_shards(df: DataFrame, keys: list[str], shards: dict[str, int], path: str, slots: int = SLOTS) -> None:
-    """Write one folder per shard. A REBALANCE hint lets Spark deal a large shard to several tasks."""
-    placed(df, keys, shards, slots).drop("slot").hint("rebalance", "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, keys: list[str], shards: dict[str, int], path: str, slots: int = SLOTS) -> DataFrame:
+    """Write whole rows with their slots, one folder per shard, and return what the files hold. A REBALANCE hint lets Spark deal a large shard to several tasks.
+
+    A shard that no row fell to has no folder; an empty table leaves none and reads as empty.
+    """
+    done = placed(df, keys, shards, slots)
+    done.hint("rebalance", "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    return df.sparkSession.read.schema(done.schema).parquet(path).select(done.columns)

@@ -1,7 +1,8 @@
 """URL filters: fixed host rules first, then token combinations that FP-growth finds in the labels.
 
 A URL is a basket of host labels, path segments (digits as #) and query keys. Labelled baskets, with the label as one more
-item, go through Spark's FP-growth; rules that lead to the label are kept by support, confidence and lift. Rules are
+item, go through Spark's FP-growth; rules of any length that lead to the label are kept by support, confidence and lift. Only those
+go that a part of them implies with no less confidence: they change no verdict and no confidence. Rules are
 indexed under their rarest token, and each distinct basket is looked up once, however many URLs share it.
 """
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from newsgauge.session import cut_point
 
 BAD = "=block"
-SUPPORT, CONFIDENCE, LIFT, LARGEST = 0.002, 0.5, 2.0, 3
+SUPPORT, CONFIDENCE, LIFT = 0.002, 0.5, 2.0
 # Fixed values: (host, path, verdict); the longest rule that fits wins.
 HOST_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -46,15 +47,19 @@ def host_rule(host: Column, path: Column, rules=HOST_RULES) -> tuple[Column, Col
 
 
 def mined_rules(baskets: DataFrame, bad: Column, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
-    """(items, confidence, probe): token combinations of up to LARGEST that lead to the bad label; probe is the rarest of them."""
+    """(items, confidence, probe): token combinations that lead to the bad label; probe is the rarest of them."""
     marked = baskets.select(F.when(bad, F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(marked)
-    leads = (F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= LARGEST) & (F.col("lift") >= lift)
+    leads = (F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= lift)
     rules = model.associationRules.filter(leads).select(F.array_sort("antecedent").alias("items"), "confidence")
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     probes = rules.select("items", "confidence", F.explode("items").alias("token")).join(single, "token")
-    return cut_point(probes.groupBy("items", "confidence").agg(F.min(F.struct("freq", "token")).alias("rare")).select(
+    rules = cut_point(probes.groupBy("items", "confidence").agg(F.min(F.struct("freq", "token")).alias("rare")).select(
         "items", "confidence", F.col("rare.token").alias("probe")), "url-rules")
+    part = rules.select(F.col("items").alias("part"), F.col("confidence").alias("part_confidence"), "probe")
+    inside = (F.size("part") < F.size("items")) & (F.col("part_confidence") >= F.col("confidence")) & (F.size(F.array_intersect("items", "part")) == F.size("part"))
+    implied = rules.select("items", "confidence", F.explode("items").alias("probe")).join(part, "probe").filter(inside).select("items").distinct()
+    return cut_point(rules.join(implied, "items", "left_anti"), "url-rules")
 
 
 def judged(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -86,10 +91,8 @@ t AS (SELECT *, list_distinct(list_concat(list_concat(list_transform(list_filter
 k AS (SELECT doc_id AS page_id, min(quality) = 0 AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 m AS (SELECT t.page_id, tokens, bad FROM t JOIN k USING (page_id)),
 n AS (SELECT count(*) AS n, count(*) FILTER (WHERE bad) AS n_bad FROM m),
-i AS (SELECT page_id, bad, unnest(tokens) AS tok FROM m),
-s AS (SELECT [tok] AS items, count(*) AS f, count(*) FILTER (WHERE bad) AS fb FROM i GROUP BY tok
-  UNION ALL SELECT [a.tok, b.tok], count(*), count(*) FILTER (WHERE a.bad) FROM i a JOIN i b ON a.page_id = b.page_id AND a.tok < b.tok GROUP BY a.tok, b.tok
-  UNION ALL SELECT [a.tok, b.tok, c.tok], count(*), count(*) FILTER (WHERE a.bad) FROM i a JOIN i b ON a.page_id = b.page_id AND a.tok < b.tok JOIN i c ON b.page_id = c.page_id AND b.tok < c.tok GROUP BY a.tok, b.tok, c.tok),
+i AS (SELECT bad, list_sort(tokens) AS tokens, unnest(range(1, CAST(pow(2, len(tokens)) AS BIGINT))) AS mask FROM m),
+s AS (SELECT items, count(*) AS f, count(*) FILTER (WHERE bad) AS fb FROM (SELECT bad, list_filter(tokens, lambda x, n: (mask >> (n - 1)) & 1 = 1) AS items FROM i) GROUP BY items),
 r AS (SELECT items, CAST(fb AS DOUBLE) / f AS confidence FROM s, n WHERE fb >= ceil({SUPPORT} * n) AND fb > 0 AND CAST(fb AS DOUBLE) / f >= {CONFIDENCE}
   AND (CAST(fb AS DOUBLE) / f) / (CAST(n_bad AS DOUBLE) / n) >= {LIFT}),
 b AS (SELECT page_id, max(confidence) AS confidence FROM t JOIN r ON list_has_all(tokens, items) GROUP BY page_id),

@@ -365,6 +365,31 @@ def test_url_parts_rules_and_mined_tokens(spark):
     assert judged(pages.limit(0), labels).count() == 0
 
 
+def test_url_rules_of_any_length(spark):
+    """Pages that only four tokens together tell apart from good ones."""
+    from itertools import combinations
+    from newsgauge.llm.url_filter import judged, mined_rules, tokens
+    good = [c for n in (2, 3) for c in combinations("abcd", n)]
+    urls = [f"http://x.net/{'/'.join(c)}/" for c in good for _ in range(6)] + ["http://x.net/a/b/c/d/"] * 20 + ["http://x.net/zz/"] * 60
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    bad = {i for i, u in enumerate(urls) if u.endswith("a/b/c/d/")}
+    labels = spark.createDataFrame([(i, 0 if i in bad else 1) for i in range(len(urls))], "doc_id long, quality int")
+    got = {r.page_id: (r.verdict, r.confidence) for r in judged(pages, labels).collect()}
+    baskets = [frozenset(["h:x", "h:net", *[f"p:{x}" for x in u.split("/")[3:] if x]]) for u in urls]
+    rules = {}
+    for k in range(1, 7):                                                    # every combination there is
+        for s in {frozenset(c) for b in baskets for c in combinations(sorted(b), k)}:
+            n, hit = sum(s <= b for b in baskets), sum(s <= b for i, b in enumerate(baskets) if i in bad)
+            if hit >= 0.002 * len(urls) and hit / n >= 0.5 and hit / n >= 2 * len(bad) / len(urls):
+                rules[s] = hit / n
+    want = {i: max((c for s, c in rules.items() if s <= b), default=None) for i, b in enumerate(baskets)}
+    assert got == {i: ("block" if c else "allow", c) for i, c in want.items()} and {len(s) for s in rules} >= {4, 5, 6}
+    from newsgauge.llm.url_filter import host, path
+    parts = pages.join(labels, pages.page_id == labels.doc_id).withColumn("tokens", tokens(F.col("url"), host(F.col("url")), path(F.col("url"))))
+    kept = {frozenset(r["items"]): r.confidence for r in mined_rules(parts, F.col("quality") == 0).collect()}
+    assert kept == {s: c for s, c in rules.items() if not any(t < s and d >= c for t, d in rules.items())}
+
+
 def test_shards_are_even_and_few_keys_move(spark):
     from newsgauge.llm.sharding import fill, placed, write_shards
     table = fill({f"s{i}": 2 if i == 0 else 1 for i in range(9)}, 1009)
@@ -376,9 +401,14 @@ def test_shards_are_even_and_few_keys_move(spark):
     got = placed(df, ["k"], {"a": 1, "b": 1}, 101)
     assert got.count() == 1000 and got.filter("k is null").select("shard").distinct().count() == 1
     from newsgauge.session import run_dir
-    path = run_dir(spark, "shards")
-    write_shards(df, ["k"], {"a": 1, "b": 1}, path, 101)
-    assert spark.read.parquet(path).count() == 1000
+    path, two = run_dir(spark, "shards"), {"a": 1, "b": 1}
+    files = write_shards(df.withColumn("shard", F.lit("mine")), ["k"], two, path, 101)
+    assert files.count() == 1000 and spark.read.parquet(path).count() == 1000
+    at = fill(two, 101)
+    assert all(r.shard == at[r.slot] for r in files.collect())               # the table, row by row
+    again = placed(df.union(df), ["k"], two, 101).collect()
+    assert len(again) == 2000 and len({(r.k, r.slot, r.shard) for r in again}) == 991                       # ten null keys alike
+    assert write_shards(df.limit(0), ["k"], two, run_dir(spark, "shards"), 101).count() == 0
     with pytest.raises(ValueError):
         fill({"a": 1}, 100)
 
