@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from newsgauge.llm.common import Pool, slices
 
 BLANK = "▁"
-CACHE, SHORT, SLICE, INDEXED = 300_000, 48, 4 << 20, 30_000
+CACHE, SHORT, SLICE, INDEXED = 800_000, 48, 4 << 20, 60_000
 ENCODED = "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean"
 
 
@@ -47,9 +48,12 @@ class Pieces:
         self.scores = np.array([proto.pieces[i].score for i in self.ids], np.float64)
         self.size = np.array([len(w) for w in words], np.int64)
         self.depth = int(self.size.max())
-        self.codes = np.zeros((len(words), self.depth), np.int64)
+        most = (1 << 21) - 1                                                 # above any character
+        spelled = np.full((len(words), -(-self.depth // 3) * 3), -1, np.int64)
         for i, w in enumerate(words):
-            self.codes[i, :len(w)] = [ord(c) for c in w]
+            spelled[i, :len(w)] = [ord(c) for c in w]
+        three = lambda x: x[:, ::3] << 42 | x[:, 1::3] << 21 | x[:, 2::3]
+        self.least, self.most = three(spelled + 1), three(np.where(spelled < 0, most, spelled + 1))      # what a text that starts with the piece lies between
         self.single = {w: int(i) for w, i in zip(words, self.ids, strict=True) if len(w) == 1}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds["BYTE"]}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == kinds["UNKNOWN"])
@@ -81,37 +85,62 @@ def sentencepiece_type(model) -> dict[str, int]:
     return dict(model.ModelProto.SentencePiece.Type.items())
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Places sorted by the `depth` characters from them, by doubling."""
-    rank, width = np.unique(codes, return_inverse=True)[1].astype(np.int64), 1
+def packed(codes: np.ndarray) -> np.ndarray:
+    """The three characters from each place on as one number that sorts as they do; -1 stands for no character."""
+    x = np.concatenate((codes + 1, np.zeros(2, np.int64)))
+    return x[:-2] << 42 | x[1:-1] << 21 | x[2:]
+
+
+def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, dense rank) of numbers."""
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
+    return order, rank
+
+
+def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
+    """Places sorted by the `depth` characters from them, by doubling from three (`words`) on."""
+    (order, rank), width = ranked(words), 3
     while width < depth:
         later = np.zeros(len(rank), np.int64)
         later[:-width or None] = rank[width:] + 1 if width < len(rank) else 0
-        rank, width = np.unique(rank * (len(rank) + 2) + later, return_inverse=True)[1].astype(np.int64), width * 2
-    return np.argsort(rank, kind="stable")
+        (order, rank), width = ranked(rank * (len(rank) + 2) + later), width * 2
+    return order
 
 
 def occurrences(codes: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """(place, piece number) of every occurrence of every piece, by bisection of the suffix array, sorted by place."""
-    order = suffix_array(codes, p.depth)
-    wide = np.concatenate((codes, np.full(p.depth, -1)))
-
-    def bound(right: bool) -> np.ndarray:
-        low, high = np.zeros(len(p.ids), np.int64), np.full(len(p.ids), len(order))
-        while (low < high).any():
-            middle = (low + high) // 2
-            at = order[np.minimum(middle, len(order) - 1)]
-            less, decided = np.zeros(len(at), bool), np.zeros(len(at), bool)
-            for k in range(p.depth):
-                diff = (wide[at + k] - p.codes[:, k]) * (~decided & (k < p.size))
-                less |= diff < 0
-                decided |= diff != 0
-                if decided.all():
+    """(place, piece number) of every occurrence of every piece, by bisection of the suffix array, sorted by place.
+
+    Three characters are compared at a time; the first three are looked up for all pieces at once, longer pieces are bisected inside that range.
+    """
+    words = packed(codes)
+    order = suffix_array(words, p.depth)
+    first = words[order]
+    low, high = np.searchsorted(first, p.least[:, 0], side="left"), np.searchsorted(first, p.most[:, 0], side="right")
+    wide = np.concatenate((words, np.zeros(3 * p.least.shape[1], np.int64)))
+
+    def bound(edge: np.ndarray, right: bool, low=low, high=high) -> np.ndarray:
+        """Where the suffixes end that lie before `edge`, those equal to it included if `right`."""
+        out, a, z = (low if not right else high).copy(), low.copy(), high.copy()
+        now = np.flatnonzero((p.size > 3) & (low < high))
+        while len(now):
+            middle = (a[now] + z[now]) // 2
+            at = order[middle]
+            go, open_ = np.full(len(now), right), np.ones(len(now), bool)
+            for k in range(1, edge.shape[1]):
+                x, y = wide[at + 3 * k], edge[now, k]
+                differs = open_ & (x != y)
+                go[differs] = x[differs] < y[differs]
+                open_ &= x == y
+                if not open_.any():
                     break
-            go = (less | (~decided & right)) & (low < high)
-            low, high = np.where(go, middle + 1, low), np.where(go | (low >= high), high, middle)
-        return low
-    low, high = bound(False), bound(True)
+            a[now], z[now] = np.where(go, middle + 1, a[now]), np.where(go, z[now], middle)
+            done = a[now] >= z[now]
+            out[now[done]] = a[now[done]]
+            now = now[~done]
+        return out
+    low, high = bound(p.least, False), bound(p.most, True)
     n = high - low
     piece = np.repeat(np.arange(len(n)), n)
     place = order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
@@ -245,6 +274,12 @@ class Coder:
         return ids, np.concatenate(([0], ends))[np.cumsum(lens)]
 
 
+@lru_cache(maxsize=1)
+def coder_of(path: str) -> Coder:
+    """One coder for each Python worker, so that what it has met serves later tasks too; CACHE bounds it."""
+    return Coder(path)
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, n_pieces, ids_crc32 (of little-endian 32-bit ids), round_trip (decoding gives the text) of every row of docs (doc_id, text).
 
@@ -252,7 +287,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     Where the model's own rules change a text before encoding, round_trip compares with the changed text.
     """
     def run(batches):
-        coder = Coder(path)                                                  # goes with the task, and its memory too
+        coder = coder_of(path)
         for b in slices(batches, limit=SLICE):
             texts = [t or "" for t in b.column("text").to_pylist()]
             ids, ends = coder.encode(texts)
