@@ -26,7 +26,7 @@ from newsgauge.llm.common import Pool, slices
 from newsgauge.session import cut_point, run_dir
 
 MAGIC, BLOCK = b"WMX1", 512
-SHARD_TOKENS, CACHE = 2_000_000, 700_000
+SHARD_TOKENS, CACHE, SLICE = 2_000_000, 1_200_000, 16 << 20
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard string"
 
 
@@ -232,7 +232,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, vocabulary: int = 5
             seq, ids, names = seq + 1, [], []
             return row
         held = 0
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):                              # a chunk is looked up once for each slice
             for doc, got in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                 ids.append(np.concatenate((got, end)))
                 names.append(doc)
