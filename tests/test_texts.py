@@ -57,28 +57,37 @@ def test_typical_phrase_over_many_blocks(spark):
 
 
 def test_typical_phrase_of_a_key_with_fifty_thousand(spark, monkeypatch):
-    """The best of 50,000 phrases, most of which are never scored."""
+    """The best of 50,000 phrases, most of which are never scored; bounds hold the scores of phrases taken at random."""
     rng, n = np.random.default_rng(3), 50_000
-    weight = 1 / np.arange(1, 241)
-    rows, sets = [], np.zeros((n, 240), np.float32)
+    weight = np.cumsum(1 / np.arange(1, 241))
+    rows = []
     for i, size in enumerate(rng.integers(6, 15, n).tolist()):
-        words = rng.choice(240, size, replace=False, p=weight / weight.sum())
-        sets[i, words] = 1
-        rows.append(("k", i, " ".join(f"word{w}" for w in words)))
-    rows = [(k, i, p) for k, i, p in rows if len(p) <= 170]
-    sets, sizes = sets[[i for _, i, _ in rows]], np.array([len(p.split()) for _, _, p in rows])
-    kinds, which = np.unique(sets, axis=0, return_inverse=True)              # orders of the same words are phrases of their own
-    score = np.zeros(len(kinds))
-    for a in range(0, len(kinds), 1000):
-        common = kinds[a:a + 1000] @ sets.T
-        score[a:a + 1000] = (common / (kinds[a:a + 1000].sum(axis=1)[:, None] + sizes - common)).sum(axis=1, dtype=np.float64)
-    asked = []
-    whole = X._phrase_scores
+        words = np.unique(np.searchsorted(weight / weight[-1], rng.random(size)))
+        rows.append(("k", i, " ".join(f"word{w}" for w in [*words, 300 + i % 7])))      # seven more words, so that few phrases are the same
+    rows = [(k, i, p) for k, i, p in rows if 24 <= len(p) <= 170]
+    kept = {p: i for _, i, p in reversed(rows)}
+    ids = sorted(kept.values())
+    words = [set(rows[k][2].split()) for k in range(len(rows))]
+    by_id = {i: w for (_, i, _), w in zip(rows, words, strict=True)}
+    vocabulary = {w: k for k, w in enumerate(sorted(set().union(*words)))}
+    grid = np.zeros((len(ids), len(vocabulary)), np.float32)
+    for r, i in enumerate(ids):
+        grid[r, [vocabulary[w] for w in by_id[i]]] = 1
+    sizes = grid.sum(axis=1)
+    some = np.append(rng.choice(len(ids), 300, replace=False), sizes.argmax())
+    common = grid[some] @ grid.T
+    score = (common / (sizes[some][:, None] + sizes - common)).sum(axis=1, dtype=np.float64)
+    asked, whole = [], X._phrase_scores
     monkeypatch.setattr(X, "_phrase_scores", lambda a, *more: asked.append(a.count()) or whole(a, *more))
-    got = X.typical_phrase(spark.createDataFrame(rows, "k string, id bigint, p string"), ["k"], "id", "p").first()
-    at = [i for _, i, _ in rows].index(got.id)
-    assert score[which[at]] == pytest.approx(score.max(), rel=1e-6) and got.overlap == pytest.approx(score.max(), rel=1e-6)
-    assert sum(asked) < n / 4
+    df = spark.createDataFrame(rows, "k string, id bigint, p string")
+    got = X.typical_phrase(df, ["k"], "id", "p").first()
+    mine = grid[ids.index(got.id)] @ grid.T
+    best = (mine / (sizes[ids.index(got.id)] + sizes - mine)).sum(dtype=np.float64)
+    assert got.overlap == pytest.approx(best, rel=1e-6) and best >= score.max() - 1e-3 and sum(asked) < n / 4
+    phrases = spark.createDataFrame([("k", i, sorted(by_id[i])) for i in ids], "k string, _id bigint, _w array<string>")
+    bounds = {r._id: (r._low, r._high) for r in X._phrase_bounds(phrases, ["k"]).filter(F.col("_id").isin([ids[k] for k in some])).collect()}
+    assert all(bounds[ids[k]][0] - 1e-3 <= s <= bounds[ids[k]][1] + 1e-3 for k, s in zip(some, score, strict=True))
+    assert best >= max(low for low, _ in bounds.values()) - 1e-3
 
 
 def test_interleave_and_budget(spark):
