@@ -7,6 +7,8 @@ The items' words are taken in blocks where they are many, so no task holds more
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,14 +29,15 @@ BAGS = "doc_id long, n long, bag binary"
 FOUND = "item long, class_id long, score long, first long"
 
 
-def item_blocks(items: DataFrame, block_words: int) -> list[pd.DataFrame]:
-    """The items' words in blocks: (item, word, times). An item is whole in its block; what is stated is small beside what is searched."""
+def item_blocks(items: DataFrame, block_words: int) -> Iterator[pd.DataFrame]:
+    """The items' words in blocks: (item, word, times), one block at a time. An item is whole in its block."""
     words = items.select("item", F.explode(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
                                                                 F.lit(r"[^\x{0}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+"), F.lit(0))).alias("word"))
     counts = cut_point(words.groupBy("item", "word").agg(F.count(F.lit(1)).alias("times")), "item-words")
     size = counts.count()
     blocks = max(1, -(-size // block_words))
-    return [counts.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).toPandas() for k in range(blocks)] if size else []
+    for k in range(blocks if size else 0):
+        yield counts.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).toPandas()
 
 
 def bags(docs: DataFrame, words: list[bytes]) -> DataFrame:

@@ -94,7 +94,7 @@ def later_copies(docs: DataFrame, table: DataFrame) -> DataFrame:
     copies = rows.join(again.hint("merge"), "digest").withColumn("salts", salts)                      # digests and ids have no bound: never sent to every task
     wanted = cut_point(copies.groupBy("doc_id", "key").agg(F.collect_list(F.struct("kind", "a", "z", "digest", "salts")).alias("found")), "wanted")
     wanted = wanted.select(F.col("doc_id").alias("id"), F.col("key").alias("text_key"), "found")
-    d = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").distinct()
+    d = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")            # a repeated row gives its stretches again, at the same place
     d = d.join(wanted.hint("merge"), d["doc_id"].eqNullSafe(wanted["id"]) & (d["key"] == wanted["text_key"])).drop("id", "text_key")
     d = once(d, "lines", lines_of(F.col("text"))).select("doc_id", "key", "lines", F.explode("found").alias("x"))
     mine = F.slice("lines", F.col("x.a") + 1, F.col("x.z") - F.col("x.a") + 1)
