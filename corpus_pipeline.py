@@ -29,14 +29,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs without the rows that `found` names by doc_id and text_id (a hash of the text): an id may stand for several texts."""
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text")).distinct()
+    found = cut_point(found.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text")).distinct(), "gone")
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
     from newsgauge.llm.near_dups import near_groups
-    return without(docs, cut_point(near_groups(docs).filter(~F.col("kept")).select("doc_id", "text_id"), "extra"))
+    return without(docs, near_groups(docs).filter(~F.col("kept")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
