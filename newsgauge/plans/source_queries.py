@@ -263,10 +263,10 @@ sql_view("x_prev", r"""with p as (select page_id, unnest(string_split(html, '<p>
 
 
 @query("src_html_posts", """select page_id, n as message_id, 'ch' || page_id % 7 as handle, printf('2025-01-%02dT07:00:00', n % 28 + 1) as published_utc, md5(text) as digest, record_type, n % 13 = 0 as has_media,
-  views_text from x_prev where n % 11 <> 0""")
+  views_text, undated from (select *, count(*) filter (where n % 11 = 0) over (partition by page_id) as undated from x_prev) where n % 11 <> 0""")
 def _(d):
-    posts = PV.parse_posts(preview_pages(d), "page_id", "preview")
-    return posts.select("page_id", "message_id", "handle", "published_utc", F.md5("text").alias("digest"), "record_type", "has_media", "views_text")
+    posts, missing = PV.parse_posts(preview_pages(d), "page_id", "preview"), PV.undated(preview_pages(d), "page_id", "preview").select("page_id", "undated")
+    return posts.join(missing, "page_id").select("page_id", "message_id", "handle", "published_utc", F.md5("text").alias("digest"), "record_type", "has_media", "views_text", "undated")
 
 
 @query("prj_views_text", """select page_id, n as message_id, case when n % 3 = 0 then 'many' else coalesce(views_text, '12') end as raw,
