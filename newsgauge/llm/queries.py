@@ -10,6 +10,7 @@ from newsgauge.llm.bag_search import CHECK_SQL as BAG_SQL
 from newsgauge.llm.common import table
 from newsgauge.llm.line_dedup import CHECK_SQL as LINE_SQL
 from newsgauge.llm.prefix_trie import CHECK_SQL as TRIE_SQL
+from newsgauge.llm.suffixes import CHECK_SQL as SUFFIX_SQL
 from newsgauge.llm.url_filter import CHECK_SQL as URL_SQL
 from newsgauge.session import run_dir
 
@@ -136,6 +137,7 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op13_prefix_trie"] = TRIE_SQL
+SQL["op11_suffix_dedup"] = SUFFIX_SQL
 
 
 @query

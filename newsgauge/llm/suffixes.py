@@ -368,3 +368,19 @@ def without_repeats(docs: DataFrame, least: int = LEAST, bucket: int = BUCKET) -
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("ident"), F.col("text").cast("string").alias("text")).mapInArrow(packed, "doc_id long, ident long, packed binary")
     d = d.join(repeats.hint("merge"), (d["doc_id"] == repeats["_doc"]) & (d["ident"] == repeats["_ident"]), "left").select("doc_id", "packed", "spans")
     return d.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+
+
+# The rows of the query op11: every stretch of 50 bytes as hex digits, looked up as it is. Texts are cut into pieces first, as long strings are slow to step through.
+CHECK_SQL = """
+WITH n AS (SELECT r, doc_id, x, len(x) // 2 AS n FROM (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents)),
+p AS (SELECT r, doc_id, n, p, substr(x, 4000 * p + 1, 4098) AS y FROM (SELECT *, unnest(range(0, greatest(n - 49, 0) // 2000 + 1)) AS p FROM n)),
+w AS (SELECT r, doc_id, 2000 * p + k AS i, substr(y, CAST(2 * k + 1 AS BIGINT), 100) AS s FROM (SELECT *, unnest(range(0, greatest(least(2000, n - 49 - 2000 * p), 0))) AS k FROM p) WHERE doc_id IS NOT NULL),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM w JOIN f USING (s) WHERE doc_id > first),
+h AS (SELECT r, i, sum(CASE WHEN i - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS span FROM g),
+e AS (SELECT r, min(i) AS a, max(i) + 50 AS z FROM h GROUP BY r, span),
+k AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS s FROM e),
+t AS (SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last, string_agg(substr(x, CAST(2 * s + 1 AS BIGINT), CAST(2 * (a - s) AS BIGINT)), '' ORDER BY a) AS head FROM k JOIN n USING (r) GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(x, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM n LEFT JOIN t USING (r)
+"""
