@@ -157,10 +157,18 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def learn(self, chunks: list[str]) -> None:
-        odd = np.array([not c or any(a in c for a in self.added) or (len(c) == 1 or c[1].isspace() if c[0] == "\n" else c[0].isspace()) for c in chunks], bool)
-        plain = [c if c[0] == "\n" else " " + c for c, o in zip(chunks, odd, strict=True) if not o]
-        joined = ["".join(plain[i:i + 1000]) for i in range(0, len(plain), 1000)]
+    def learn(self, new: pa.Array, chunks: list[str]) -> None:
+        """Encode chunks that were not met before, given as an Arrow array and as a list."""
+        first, second = pc.utf8_slice_codeunits(new, 0, 1), pc.utf8_slice_codeunits(new, 1, 2)
+        broken = pc.equal(first, "\n")
+        blank = lambda x: pc.or_(pc.equal(x, ""), pc.utf8_is_space(x))
+        odd = pc.if_else(broken, blank(second), blank(first))
+        for a in self.added:
+            odd = pc.or_(odd, pc.match_substring(new, a))
+        plain = pc.if_else(broken, new, pc.binary_join_element_wise(pa.scalar(" ", new.type), new, pa.scalar("", new.type))).filter(pc.invert(odd))
+        odd = odd.to_numpy(zero_copy_only=False)
+        parts = pa.LargeListArray.from_arrays(pa.array(np.append(np.arange(0, len(plain), 1000), len(plain)), pa.int64()), plain)
+        joined = pc.binary_join(parts, pa.scalar("", new.type)).to_pylist()
         got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
         ids = np.concatenate([*got, np.empty(0, np.uint32)])
         lens = np.zeros(len(chunks), np.int64)
@@ -185,7 +193,7 @@ class Encoder:
         new = np.flatnonzero(place < 0)
         if len(new):
             place[new] = len(self.pool.known) + np.arange(len(new))
-            self.learn([distinct[i] for i in new])
+            self.learn(coded.dictionary.take(pa.array(new)), [distinct[i] for i in new])
         place = place[codes]
         ids, total = self.pool.unfold(place)
         ends = np.cumsum(lens)
