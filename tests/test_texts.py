@@ -143,3 +143,40 @@ def test_bootstrap_interval(spark):
         half = 1.96 * (p * (1 - p) / 200) ** .5
         assert r.share == pytest.approx(p, abs=6e-4) and not r.directional_only
         assert r.ci_lo == pytest.approx(p - half, abs=0.02) and r.ci_hi == pytest.approx(p + half, abs=0.02)
+
+
+def test_words_of_a_text_are_counted_where_it_is(spark, monkeypatch):
+    """Common and rare words, copies, empty and missing texts; no row of a text is shuffled to be counted."""
+    rng = random.Random(11)
+    words = ["and", "cat", "cats", "flood", "floods", "river", "s1", "1999", "of", "x"] + [f"word{i}s" for i in range(60)]
+    texts = [" ".join(rng.choice(words[:8]) if rng.random() < .7 else rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(80)]
+    posts = spark.createDataFrame([("s1", i, t) for i, t in enumerate(texts + texts[:20] + ["", "...", None])], "source_name string, message_id bigint, post_text string")
+    split = V.split_texts(posts).cache()
+    tok = V.split_tokens(split)
+    want, lengths = Counter(), Counter()
+    for r in split.collect():
+        lengths[r.post_text_id] = sum(len(w) >= 2 for w in r.words)
+        want.update((r.post_text_id, a, b) for a, b in zip(r.words, r.words[1:]) if len(a) >= 3 and len(b) >= 3)
+    pairs = V.pair_counts(split, 3, "n")
+    assert {(r.post_text_id, r.word, r.next_word): r.n for r in pairs.collect()} == want
+    assert "hashpartitioning(post_text_id" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {r.post_text_id: r.words for r in V.text_lengths(split).collect()} == {k: n for k, n in lengths.items() if n}
+    dictionary = V.distinct_words(tok).select("word", F.regexp_replace("word", "s$", "").alias("lemma"))
+    lex = V.lexicon(V.distinct_words(tok), spark.createDataFrame([("and",)], "term string"), posts.select("source_name"), dictionary, dictionary.limit(0)).cache()
+    for of in (1, 30, 10 ** 6):                            # no word, some and all of them are common
+        common = V.common_words(lex, V.word_uses(tok), of)
+        forms = V.split_forms(split, lex, common)
+        rows, plain = ([tuple(r) for r in f.collect()] for f in (forms, V.term_forms(tok, lex)))
+        assert Counter(rows) == Counter(plain) and rows
+        flags = ["is_stopword", "is_number", "is_source_name"]
+        got = V.look_up(tok.drop("next_word"), lex, common, flags, False).select("post_text_id", "word_position", "word", *flags)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, tok.join(lex, "word").select(*got.columns).collect()))
+
+
+def test_no_term_is_shuffled_by_the_few_keys_of_groups(spark):
+    pww = spark.createDataFrame([("e", "e", f"g{i % 2}", f"s{i % 4}", i, f"t{i % 9}") for i in range(60)],
+                                "event_id string, event_slug string, media_group string, source_name string, message_id bigint, post_text_id string")
+    terms = spark.createDataFrame([(f"t{i}", "word", f"w{j}", 1 + j) for i in range(9) for j in range(i)], "post_text_id string, term_type string, term_key string, term_uses bigint")
+    plan = V.term_scores(pww, V.source_terms(pww, terms))._jdf.queryExecution().executedPlan().toString()
+    few = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "term_key" not in line and "post_text_id" not in line]
+    assert not few, few
