@@ -1,4 +1,5 @@
 """The two worked examples every coverage number is judged by."""
+import re
 from datetime import date, datetime
 
 from newsgauge.operators import coverage as C
@@ -30,3 +31,37 @@ def test_window_crosses_the_year(spark):
     r = C.stage_survey(raw, ["none"], ["other"]).first()
     assert (r.week_start, r.week_end, r.match_start, r.match_end_exclusive) == (date(2024, 12, 30), date(2025, 1, 5), date(2024, 12, 27), date(2025, 1, 16))
     assert r.event_kind == "specific event"
+
+
+def test_sources_of_a_window_are_summed_where_they_are(spark):
+    """Silent, undated and unnamed sources, an event with two slugs, posts of no known event; shuffled by source alone."""
+    from datetime import timedelta
+    first = date(2025, 1, 1)
+    day = lambda n: first + timedelta(days=n)
+    at = lambda n: datetime(2025, 1, 1) + timedelta(days=n)
+    datasets = [("e1", "a", 0, 4), ("e1", "b", 2, 6), ("e2", None, 1, 3), (None, "n", 0, 2)]
+    activity = [(f"s{s}" if s else None, n, s + n + 1) for s in range(4) for n in range(7) if (s + n) % 3]
+    by_day = [("e1", "s1", 0, 2), ("e1", "s1", 3, 1), ("e2", "s2", 2, 4), ("e1", None, 1, 5), ("e9", "s1", 1, 7), (None, "s1", 1, 3), ("e2", "s9", 1, 1)]
+    ds = spark.createDataFrame([(e, s, day(a), day(b)) for e, s, a, b in datasets], "event_id string, event_slug string, match_start date, match_end_exclusive date")
+    act = spark.createDataFrame([(s, day(n), c) for s, n, c in activity], "source_name string, activity_date date, post_count bigint")
+    seen = spark.createDataFrame([(e, s, day(n), c, at(n), at(n), 10 * c, None, 1) for e, s, n, c in by_day],
+                                 "event_id string, source_name string, published_date date, posts bigint, first_at timestamp, last_at timestamp, views bigint, forwards bigint, digests bigint")
+    groups = spark.createDataFrame([("s1", "One", "one")], "source_name string, media_group string, media_group_key string")
+    want, active = {}, {}
+    for e, slug, a, b in datasets:
+        for s in {r[0] for r in activity}:
+            mine = [c for t, n, c in activity if t == s and a <= n < b]
+            hits = [(n, c) for f, t, n, c in by_day if f == e and t == s and e and s]
+            if mine:
+                active[e, slug, s] = (sum(mine), len(mine))
+                want[e, slug, s] = (sum(mine), len(mine), sum(c for _, c in hits), len(hits), min((at(n) for n, _ in hits), default=None),
+                                    10 * sum(c for _, c in hits) if hits else None, None, bool(hits), "One" if s == "s1" else C.UNKNOWN_GROUP)
+    plain = C.window_activity(ds, act)
+    assert {(r.event_id, r.event_slug, r.source_name): (r.posts_published_in_window, r.active_days_in_window) for r in plain.collect()} == active
+    rows = C.source_window(ds, act, groups, seen)
+    got = {(r.event_id, r.event_slug, r.source_name): (r.posts_published_in_window, r.active_days_in_window, r.matched_posts, r.digest_posts, r.first_matched_at,
+                                                       r.views_total, r.forwards_total, r.covered_event, r.media_group) for r in rows.collect()}
+    assert got == want and len(got) == rows.count()
+    for df in (C.window_activity(ds, act), C.source_window(ds, act, groups, seen)):
+        shuffles = re.findall(r"Exchange hashpartitioning\((.*?),", df._jdf.queryExecution().executedPlan().toString())
+        assert shuffles and all(key.startswith("source_name#") for key in shuffles), shuffles
