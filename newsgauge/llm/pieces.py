@@ -19,10 +19,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from newsgauge.llm.common import Pool, slices
+from newsgauge.llm.common import Pool, slices, trim
 
 BLANK = "▁"
-CACHE, SHORT, SLICE, INDEXED = 800_000, 48, 4 << 20, 60_000
+CACHE, SHORT, SLICE, INDEXED = 800_000, 48, 2 << 20, 60_000
 ENCODED = "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean"
 
 
@@ -92,8 +92,8 @@ def packed(codes: np.ndarray) -> np.ndarray:
 
 
 def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, dense rank) of numbers."""
-    order = np.argsort(key, kind="stable")
+    """(order, dense rank) of numbers; equal numbers come in any order."""
+    order = np.argsort(key)
     rank = np.empty(len(key), np.int64)
     rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
     return order, rank
@@ -144,13 +144,13 @@ def occurrences(codes: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     n = high - low
     piece = np.repeat(np.arange(len(n)), n)
     place = order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    by = np.argsort(place, kind="stable")
+    by = np.argsort(place)
     return place[by], piece[by]
 
 
 def merge_rounds(place: np.ndarray, end: np.ndarray, piece: np.ndarray, rank: np.ndarray, segment: np.ndarray, after: np.ndarray, name: np.ndarray) -> None:
     """Relax the edges of many short segments at once: each round joins the best two neighbours of every segment. `after` (the end of the
-    symbol that starts at a place, -1 inside one) and `name` (its piece) are changed."""
+    symbol that starts at a place, -1 inside one) and `name` (its piece) are changed. Edges come by place, and so by segment."""
     while len(place):
         middle = after[place]
         alive = (middle >= 0) & (middle < end)
@@ -159,8 +159,8 @@ def merge_rounds(place: np.ndarray, end: np.ndarray, piece: np.ndarray, rank: np
         two = np.flatnonzero(after[middle] == end)
         if not len(two):
             return
-        best = two[np.lexsort((place[two], rank[two], segment[two]))]
-        best = best[np.diff(segment[best], prepend=-1) != 0]
+        firsts = np.flatnonzero(np.diff(segment[two], prepend=-1))
+        best = two[np.minimum.reduceat(rank[two] * len(two) + np.arange(len(two)), firsts) % len(two)]
         after[place[best]], name[place[best]], after[middle[best]] = end[best], piece[best], -1
         more = np.zeros(int(segment.max()) + 1, bool)
         more[segment[best]] = True
@@ -287,6 +287,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     Where the model's own rules change a text before encoding, round_trip compares with the changed text.
     """
     def run(batches):
+        trim()                                                               # what earlier tasks of this worker left
         coder = coder_of(path)
         for b in slices(batches, limit=SLICE):
             texts = [t or "" for t in b.column("text").to_pylist()]
