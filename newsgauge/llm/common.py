@@ -31,8 +31,28 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each slice holds about `limit` bytes of text; a longer single text is a slice of its own."""
+_KEPT: dict[tuple, object] = {}
+
+
+def let_go(but: tuple = ()) -> None:
+    """Free what other operators' tasks left in this worker."""
+    if any(k != but for k in _KEPT):
+        for k in [k for k in _KEPT if k != but]:
+            del _KEPT[k]
+        trim()
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What the tasks of one operator keep in a Python worker, such as chunks encoded before; a worker keeps it until it comes to another operator."""
+    let_go(key)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, keeps: tuple = ()) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each slice holds about `limit` bytes of text; a longer single text is a slice of its own. Only what was kept as `keeps` stays."""
+    let_go(keeps)
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -327,6 +327,32 @@ def test_wavelet_and_token_files(spark, docs):
     assert token_table(docs.limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_planes_are_parted_by_places_and_not_by_masks():
+    import time
+
+    from newsgauge.llm.wavelet import STRIP, Wavelet
+    x = np.random.default_rng(4).integers(0, 1 << 16, 20 * STRIP + 77).astype(np.uint16)
+
+    def by_masks():
+        now, planes = x, []
+        for k in range(15, -1, -1):
+            planes.append((now & np.uint16(1 << k)) != 0)
+            now = np.concatenate((now[~planes[-1]], now[planes[-1]]))
+        return planes
+
+    def least(run):
+        took = []
+        for _ in range(3):
+            start = time.process_time()
+            got = run()
+            took.append(time.process_time() - start)
+        return got, min(took)
+    (planes, slow), (w, quick) = least(by_masks), least(lambda: Wavelet.build(x, 16))
+    decoded, back = least(w.decode)
+    assert all((w.bits(k) == planes[k]).all() for k in range(16)) and (decoded == x).all()
+    assert quick < 0.7 * slow and back < 0.7 * slow
+
+
 def test_added_tokens_get_the_ids_of_the_library(spark):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
