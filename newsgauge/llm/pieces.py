@@ -12,14 +12,13 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from newsgauge.llm.common import Pool, slices, trim
+from newsgauge.llm.common import Pool, kept, slices, trim
 
 BLANK = "▁"
 CACHE, SHORT, SLICE, INDEXED = 800_000, 48, 2 << 20, 60_000
@@ -274,10 +273,9 @@ class Coder:
         return ids, np.concatenate(([0], ends))[np.cumsum(lens)]
 
 
-@lru_cache(maxsize=1)
 def coder_of(path: str) -> Coder:
     """One coder for each Python worker, so that what it has met serves later tasks too; CACHE bounds it."""
-    return Coder(path)
+    return kept(("pieces", path), lambda: Coder(path))
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -289,7 +287,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         trim()                                                               # what earlier tasks of this worker left
         coder = coder_of(path)
-        for b in slices(batches, limit=SLICE):
+        for b in slices(batches, limit=SLICE, keeps=("pieces", path)):
             texts = [t or "" for t in b.column("text").to_pylist()]
             ids, ends = coder.encode(texts)
             back = coder.pieces.decode(ids, ends)
@@ -300,4 +298,6 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 b.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.astype(np.int32))),
                 pa.array(ends - starts), pa.array([zlib.crc32(raw[a:z].tobytes()) for a, z in zip(starts, ends, strict=True)], pa.int64()),
                 pa.array([a == plain(t) for a, t in zip(back, texts, strict=True)])], names=["doc_id", "ids", "n_pieces", "ids_crc32", "round_trip"])
+            b = texts = ids = ends = back = starts = raw = None
+        trim()                                                               # the worker may wait long for its next task
     return docs.select("doc_id", "text").mapInArrow(run, ENCODED)

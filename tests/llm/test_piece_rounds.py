@@ -20,3 +20,22 @@ def test_rounds_join_the_best_and_leftmost_pair_of_each_segment(monkeypatch):
     after, name = np.array([1, 2, 3, -1, 5, 6, 7, -1]), np.full(8, -1)
     P.merge_rounds(place, end, piece, rank, owner, after, name)
     assert after.tolist() == [2, -1, 3, -1, 5, 7, -1, -1] and name[[0, 5]].tolist() == [7, 8]
+
+
+def test_a_worker_lets_go_of_one_operators_cache_when_it_comes_to_another():
+    import weakref
+
+    from newsgauge.llm import common as K
+
+    class Cache:
+        pass
+
+    mine = K.kept(("pieces", "a"), Cache)
+    held = weakref.ref(mine)
+    del mine
+    batch = pa.RecordBatch.from_pydict({"text": ["word"]})
+    assert K.kept(("pieces", "a"), Cache) is held()
+    list(K.slices([batch], keeps=("pieces", "a")))
+    assert held() is not None
+    list(K.slices([batch]))                                                  # as quality rules or near-dedup read their texts
+    assert held() is None
