@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from newsgauge.llm.common import Pool, kept, slices, trim
 
 BLANK = "▁"
-CACHE, SHORT, SLICE, INDEXED = 800_000, 48, 2 << 20, 60_000
+CACHE, SHORT, SLICE, INDEXED = 500_000, 48, 1 << 19, 20_000
 ENCODED = "doc_id long, ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean"
 
 
@@ -248,10 +248,14 @@ def encode_segments(segments: list[str], p: Pieces) -> tuple[np.ndarray, np.ndar
 
 
 class Coder:
-    """Encodes batches of texts; segments met before are looked up."""
+    """Encodes batches of texts; segments met before are looked up.
+
+    They lie in two pools of half of CACHE each. When the younger one is full the older one goes; what is met again moves to the
+    younger one, so frequent segments stay while those met once go.
+    """
 
     def __init__(self, path: str):
-        self.pieces, self.pool = Pieces(path), Pool()
+        self.pieces, self.pool, self.older = Pieces(path), Pool(), Pool()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after the other, ends of the texts)."""
@@ -263,9 +267,14 @@ class Coder:
             flat[at:at + n] = parts
             at += n
         codes, distinct = pd.factorize(flat)
-        if len(self.pool.known) + len(distinct) > CACHE:
-            self.pool = Pool()
+        if len(self.pool.known) + len(distinct) > CACHE // 2:
+            self.pool, self.older = Pool(), self.pool
         new = [s for s in distinct if s not in self.pool.known]
+        again = [s for s in new if s in self.older.known]
+        if again:
+            ids, ends = self.older.unfold(np.array([self.older.known[s] for s in again]))
+            self.pool.add(again, np.diff(ends, prepend=0), ids)
+            new = [s for s in new if s not in self.older.known]
         for k in range(0, len(new), INDEXED):                               # one suffix array holds so many segments
             self.pool.add(new[k:k + INDEXED], *encode_segments(new[k:k + INDEXED], self.pieces))
         place = np.fromiter((self.pool.known[s] for s in distinct), np.int64, len(distinct))

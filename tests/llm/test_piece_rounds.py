@@ -39,3 +39,20 @@ def test_a_worker_lets_go_of_one_operators_cache_when_it_comes_to_another():
     assert held() is not None
     list(K.slices([batch]))                                                  # as quality rules or near-dedup read their texts
     assert held() is None
+
+
+def test_frequent_segments_stay_when_the_cache_turns_over(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [f"the house {word} {word}s" for word in ("red", "green", "blue", "white", "black", "brown")]
+    whole = [P.Coder(path).encode([t]) for t in texts]
+    seen, plain = [], P.encode_segments
+    monkeypatch.setattr(P, "CACHE", 10)
+    monkeypatch.setattr(P, "encode_segments", lambda new, p: (seen.extend(new), plain(new, p))[1])
+    coder = P.Coder(path)
+    for t, (ids, ends) in zip(texts, whole, strict=True):
+        got, got_ends = coder.encode([t])
+        assert got.tolist() == ids.tolist() and got_ends.tolist() == ends.tolist()
+        assert len(coder.pool.known) <= 5 and len(coder.older.known) <= 5
+    assert len(coder.older.known) > 0 and len(seen) == len(set(seen)) == 2 + 2 * len(texts)
