@@ -71,3 +71,24 @@ def test_labels_do_not_shuffle_terms_that_did_not_survive(spark):
     assert [r.term_label for r in labels.collect()] == ["red cars"] and plan(labels).count("_unneeded") == 0
     wide = spark.createDataFrame([("e", "g", "s", "phrase", "red car", 1)], "event_id string, media_group string, source_name string, term_type string, term_key string, posts_with_term bigint")
     assert len(re.findall("Scan ExistingRDD", plan(V.term_labels(posts, posts, forms, wide)))) == 4         # phrases twice, their forms, words
+
+
+def test_terms_are_shuffled_by_the_number_of_a_source(spark):
+    """Missing names are a source of their own; a post that comes twice counts twice."""
+    posts = [("e", "e", "g", "s1", 1, "a"), ("e", "e", "g", "s1", 1, "a"), ("e", "e", "g", None, 2, "a"), (None, None, None, "s1", 3, "b"), ("f", "f", "g", "s1", 4, "c")]
+    posts = spark.createDataFrame(posts, "event_id string, event_slug string, media_group string, source_name string, message_id bigint, post_text_id string")
+    terms = spark.createDataFrame([("a", "word", "tree", 2), ("b", "word", "tree", 5)], "post_text_id string, term_type string, term_key string, term_uses bigint")
+    found = V.source_terms(posts, terms)
+    assert rows(found) == {("e", "g", "s1", "word", "tree", 2, 4): 1, ("e", "g", None, "word", "tree", 1, 2): 1, (None, None, "s1", "word", "tree", 1, 5): 1}
+    by_term = [line for line in plan(found).splitlines() if "Exchange hashpartitioning(" in line and "term_key" in line]
+    assert len(by_term) == 1 and "hashpartitioning(_own#" in by_term[0]
+
+
+def test_fingerprints_need_the_terms_of_a_text_only(spark):
+    from types import SimpleNamespace
+
+    import newsgauge.plans.queries  # noqa: F401
+    from newsgauge.plans.catalog import CATALOG
+    terms = spark.createDataFrame([("a", 1, ["tree", "red car"], [1, 2])], "post_text_id string, n_words int, term_key array<string>, term_uses array<bigint>")
+    assert CATALOG["dq_hash_unique"].plan(SimpleNamespace(terms=terms)).count() == 0
+    assert rows(V.each_term(terms)) == {("a", "word", "tree", 1): 1, ("a", "phrase", "red car", 2): 1}
